@@ -10,11 +10,14 @@ of fewer words is one shingle). Two documents are linked if 100 * |A and B| >= 7
    3 in a million), so it must meet among each side's 33 rarest pairs. Only this prefix is
    posted, and values of a single document are skipped: a passage that thousands share fills
    the common coordinates and is hardly ever posted.
-3. In a posting list each member meets the list's centres. Round by round the lists that still
-   span several components get eight times the centres, spread by a hash, until a list is in one
-   component or each member has been a centre. So no pair is lost, and a group of near copies of any
-   size is joined by its first star.
-4. Met pairs must agree in 32 coordinates (count of collisions), then the link is confirmed on the full sets.
+3. In a posting list each member of a fitting set size meets the smallest one, its centre. Met pairs
+   must agree in 32 coordinates (the count of collisions); then the link is confirmed on the full sets.
+   So a group of near copies of any size is joined by its star.
+4. What a list leaves in several components is settled on the sets themselves: their members are
+   posted under their rarest shingles, of which a linked pair must share one (prefix filter), and lists
+   that span components get sixteen times the centres, spread by a hash, round by round, until a list is
+   in one component or each member has been a centre. So no link is lost, and pairs that are
+   joined already are not made.
 5. Links between representatives become components by star contraction.
 
 Null doc_id: the row is returned with its set size, linked with nothing, kept. Null text, or one
@@ -38,7 +41,6 @@ COORDINATES = 64
 MATCHES = 32
 PERCENT = 75
 _A = stream(COORDINATES, 1201) | U64(1)
-_B = stream(COORDINATES, 1301)
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.list_(pa.int64()))])
 
 
@@ -58,9 +60,10 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(full):
             h[0, full] = np.add.reduceat(mix(values ^ U64(0x51ED270B)), heads)
             h[1, full] = np.add.reduceat(mix(values * U64(0xD6E8FEB86659FD93)), heads)
+            values, buffer = mix(values), np.empty_like(values)
             for k in range(COORDINATES):
-                low = np.minimum.reduceat((values * _A[k] + _B[k]) >> U64(24), heads)  # 40 bits
-                sig[:, k] = low.astype(np.int64) | (k << 40)
+                low = np.minimum.reduceat(np.multiply(values, _A[k], out=buffer), heads)
+                sig[:, k] = (low >> U64(8)).astype(np.int64) | (k << 56)
         offsets = np.zeros(len(n) + 1, dtype=np.int32)
         np.cumsum(np.where(n > 0, COORDINATES, 0), out=offsets[1:])
         yield pa.RecordBatch.from_arrays(
@@ -89,6 +92,61 @@ def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ok, pa.bool_())], names=["a", "b", "linked"])
 
 
+def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for i in range(batch.num_rows):
+            x = np.frombuffer(batch.column(1)[i].as_buffer(), U64)
+            rep = pa.array(np.full(len(x), batch.column(0)[i].as_py(), dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([rep, pa.array(np.full(len(x), len(x), dtype=np.int64)), pa.array(x.view(np.int64))], names=["rep", "n", "token"])
+
+
+def _slot(centres: int):
+    return F.pmod(F.xxhash64("rep"), F.lit(centres)).alias("slot")
+
+
+class _Linker:
+    """Finds links in posting lists (rep, n, token, pos) and keeps the components they make."""
+
+    def __init__(self, scratch: Scratch, classes: DataFrame, sets: DataFrame):
+        self.scratch, self.sigs, self.sets = scratch, classes.select("rep", "sig"), sets
+        self.links: DataFrame | None = None
+        self.roots: DataFrame | None = None
+        self.tested: DataFrame | None = None
+
+    def rooted(self, posts: DataFrame) -> DataFrame:
+        if self.roots is None:
+            return posts.withColumn("root", F.col("rep"))
+        return posts.join(self.roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+
+    def step(self, lists: DataFrame, centres: int) -> DataFrame:
+        """Meets each member of ``lists`` (rep, n, token, pos, root) with its list's centres of other components
+        and returns the lists that still span components."""
+        head = F.min(F.struct("rep", "n", "pos", "root")).alias("c")
+        heads = lists.groupBy("token", _slot(centres)).agg(head).select("token", F.col("c.rep").alias("c"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos"), F.col("c.root").alias("croot"))
+        # From its first common shingle on, each side must hold enough for the overlap that a link needs.
+        room = F.least(F.col("n") - F.col("pos"), F.col("cn") - F.col("cpos"))
+        met = lists.join(heads, "token").where((F.col("croot") != F.col("root")) & ((100 + PERCENT) * room >= PERCENT * (F.col("n") + F.col("cn"))))
+        pairs = met.select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        two = lambda df, x: [df.select(F.col("rep").alias(k), F.col(x).alias(x + k)) for k in "ab"]
+        sa, sb = two(self.sigs, "sig")
+        agree = F.size(F.array_intersect("siga", "sigb"))
+        pairs = self.scratch.keep(pairs.join(sa, "a").join(sb, "b").select("a", "b", (agree >= MATCHES).alias("close")), "pairs")
+        xa, xb = two(self.sets, "shingles")
+        full = pairs.where("close").select("a", "b").join(xa, "a").join(xb, "b").select("a", "b", "shinglesa", "shinglesb")
+        found = self.scratch.keep(full.mapInArrow(_confirm, "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
+        self.tested = pairs.select("a", "b") if self.tested is None else self.tested.unionByName(pairs.select("a", "b"))
+        if self.roots is None or not found.isEmpty():
+            self.links = found if self.links is None else self.links.unionByName(found)
+            self.roots = self.scratch.keep(components(self.links, self.scratch), "roots")
+        now = self.rooted(lists.drop("root"))
+        # A list is done when it lies in one component, or when each of its members was a centre.
+        crowd = now.groupBy("token", _slot(centres)).agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"))
+        crowd = crowd.groupBy("token").agg(F.max("k").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi and k > 1").select("token")
+        return self.scratch.keep(now.join(crowd, "token", "left_semi"), "lists")
+
+
 def near_duplicates(documents: DataFrame) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     spark = documents.sparkSession
@@ -99,47 +157,33 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     real = features.where("doc_id is not null and n > 0")
     classes = scratch.keep(real.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
 
-    tokens = classes.select("rep", F.explode("sig").alias("token"))
+    tokens = classes.select("rep", "n", F.explode("sig").alias("token"))
     common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    prefix = COORDINATES - MATCHES + 1
-    ranked = tokens.join(common, "token").groupBy("rep").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    room = F.lit(prefix - COORDINATES) + F.size("t")  # what single values leave of the prefix
-    posted = ranked.where(room > 0).select("rep", F.explode(F.slice("t", F.lit(1), room)).alias("t")).select("rep", F.col("t.token").alias("token"))
-    posts = scratch.keep(posted, "posts")
-    scarce = posts.select("rep").distinct()
-    sets = scratch.keep(docs.join(scarce.withColumnRenamed("rep", "doc_id"), "doc_id", "left_semi").mapInArrow(_set_rows, "rep long, shingles binary"), "sets")
-    sets = sets.groupBy("rep").agg(F.first("shingles").alias("shingles")) if _repeated(features) else sets
-    sigs = classes.join(scarce, "rep", "left_semi").select("rep", "sig")
-
-    links, tested, roots, centres = None, None, None, 1
-    lists = posts
-    while True:
-        slot = F.pmod(F.xxhash64("rep"), F.lit(centres))
-        heads = lists.groupBy("token", slot.alias("slot")).agg(F.min("rep").alias("centre"))
-        met = lists.join(heads.select("token", "centre"), "token")
-        if roots is not None:
-            r = roots.select(F.col("node").alias("centre"), F.col("root").alias("centre_root"))
-            met = met.join(r, "centre", "left").where(F.coalesce("centre_root", "centre") != F.col("root"))
-        pairs = met.where("centre <> rep").select(F.least("centre", "rep").alias("a"), F.greatest("centre", "rep").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        agree = F.size(F.array_intersect("sa", "sb"))
-        close = pairs.join(sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sa")), "a").join(sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sb")), "b")
-        pairs = scratch.keep(close.select("a", "b", (agree >= MATCHES).alias("close")), "pairs")
-        full = pairs.where("close").select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("shingles").alias("xa")), "a").join(sets.select(F.col("rep").alias("b"), F.col("shingles").alias("xb")), "b")
-        found = scratch.keep(full.select("a", "b", "xa", "xb").mapInArrow(_confirm, "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
-        tested = pairs.select("a", "b") if tested is None else tested.unionByName(pairs.select("a", "b"))
-        links = found if links is None else links.unionByName(found)
-        roots = scratch.keep(components(links, scratch), "roots")
-        member = posts.join(roots.withColumnRenamed("node", "rep"), "rep", "left").select("rep", "token", F.coalesce("root", "rep").alias("root"))
-        # A list is done when it lies in one component, or when each of its members was a centre.
-        state = posts.select("token", "rep", slot.alias("slot")).groupBy("token", "slot").agg(F.count("*").alias("n")).groupBy("token").agg(F.max("n").alias("crowd"))
-        spread = member.groupBy("token").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi")
-        open_ = spread.join(state.where("crowd > 1"), "token").select("token")
-        lists = scratch.keep(member.join(open_, "token", "left_semi").select("rep", "token", "root"), "lists")
-        if lists.isEmpty():
-            break
-        centres *= 8
+    ranked = tokens.join(common, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    room = F.size("t") - (MATCHES - 1)  # what single values leave of the prefix
+    posts = scratch.keep(ranked.where(room > 0).select("rep", "n", F.explode(F.transform(F.slice("t", F.lit(1), room), lambda x: x["token"])).alias("token"), F.lit(0).alias("pos")), "posts")
+    scarce = posts.select(F.col("rep").alias("doc_id")).distinct()
+    sets = docs.join(scarce, "doc_id", "left_semi").mapInArrow(_set_rows, "rep long, shingles binary")
+    sets = scratch.keep(sets.groupBy("rep").agg(F.max("shingles").alias("shingles")) if _repeated(features) else sets, "sets")
+
+    linker = _Linker(scratch, classes, sets)
+    left = linker.step(linker.rooted(posts), 1)
+    if not left.isEmpty():
+        open_ = sets.join(left.select("rep").distinct(), "rep", "left_semi")
+        rows = open_.mapInArrow(_shingle_rows, "rep long, n long, token long")
+        common = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
+        ranked = rows.join(common, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+        room = F.size("t") - F.ceil(F.col("n") * PERCENT / 100) + 1
+        short = F.slice("t", F.lit(1), room.cast("int"))
+        posted = ranked.where(room > 0).select("rep", "n", (F.col("n") - F.size("t")).alias("single"), F.posexplode(F.transform(short, lambda x: x["token"])).alias("at", "token"))
+        posted = posted.select("rep", "n", "token", (F.col("single") + F.col("at")).alias("pos"))
+        lists, centres = linker.rooted(scratch.keep(posted, "posts")), 1
+        while True:
+            lists = linker.step(lists, centres)
+            if lists.isEmpty():
+                break
+            centres *= 16
+    roots = linker.roots
 
     component = classes.select(*key, "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
     component = component.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("k3"), "component_id")

@@ -96,7 +96,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BY
         _, off = utf8(batch.column(batch.schema.get_field_index(column)))
         at = 0
         while at < batch.num_rows:
-            end = max(at + 1, int(np.searchsorted(off, off[at] + limit, "right")) - 1)
+            end = max(at + 1, min(at + MOST_ROWS, int(np.searchsorted(off, off[at] + limit, "right")) - 1))
             yield batch.slice(at, end - at)
             at = end
 
@@ -149,13 +149,18 @@ def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
     return mix(out), bounds
 
 
+#: Rows of a chunk at most, as their number takes the top bits of a sort key.
+MOST_ROWS = 4096
+_LOW = U64((1 << 52) - 1)
+
+
 def distinct_per_row(values: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct values of each row, and the new row bounds."""
-    rows = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    order = np.argsort(values, kind="stable")
-    order = order[np.argsort(rows[order], kind="stable")]
-    v, r = values[order], rows[order]
-    new = np.ones(len(v), dtype=bool)
-    new[1:] = (v[1:] != v[:-1]) | (r[1:] != r[:-1])
-    v, r = v[new], r[new]
-    return v, np.searchsorted(r, np.arange(len(bounds)))
+    """Sorted distinct 52-bit hashes of each row, and the new row bounds."""
+    key = values & _LOW
+    key |= np.repeat(np.arange(len(bounds) - 1, dtype=U64) << U64(52), np.diff(bounds))
+    key.sort()
+    new = np.ones(len(key), dtype=bool)
+    np.not_equal(key[1:], key[:-1], out=new[1:])
+    key = key[new]
+    heads = np.searchsorted(key, np.arange(len(bounds) - 1, dtype=U64) << U64(52))
+    return key & _LOW, np.append(heads, len(key))
