@@ -251,6 +251,40 @@ def _searcher(blocks: list):
     return run
 
 
+def _filter(blocks: list):
+    """Passes the rows of documents that are not contaminated, with all their columns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, hashes, counts, size = [], [], [], 0
+
+        def out() -> Iterator[pa.RecordBatch]:
+            rows = sum(p.num_rows for p in held)
+            bad = _flush([None] * rows, hashes, counts, blocks).column(5).to_pylist()
+            at = 0
+            for p in held:
+                yield p.filter(pa.array([not x for x in bad[at : at + p.num_rows]], pa.bool_()))
+                at += p.num_rows
+
+        for part in chunks(batches, "text"):
+            words = Words(part.column(part.schema.get_field_index("text")), ALNUM)
+            held.append(part)
+            hashes.append(words.hash)
+            counts.append(words.counts())
+            size += len(words.hash)
+            if size >= SHARD_WORDS // 4:
+                yield from out()
+                held, hashes, counts, size = [], [], [], 0
+        if held:
+            yield from out()
+
+    return run
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of documents that are not contaminated, unchanged."""
+    return documents.mapInArrow(_filter(phrase_blocks(benchmark, block_bytes)), documents.schema)
+
+
 def phrase_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
     """Broadcasts of the benchmark's windows, each made of at most about ``block_bytes`` of text."""
     items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")

@@ -149,6 +149,23 @@ def _scorer(shared):
     return run
 
 
+def keep_identified(documents: DataFrame, model: Model, least: float = MIN_SCORE) -> DataFrame:
+    """The rows, with all their columns, whose language is identified with a score of at least ``least``."""
+    score = _scorer(documents.sparkSession.sparkContext.broadcast(model))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            text = batch.column(batch.schema.get_field_index("text"))
+            none = pa.nulls(batch.num_rows, pa.int64())
+            three = pa.RecordBatch.from_arrays([none, text, pa.nulls(batch.num_rows, pa.bool_())], names=["doc_id", "text", "held_out"])
+            keep = [p != "und" and s >= least for out in score(iter([three])) for p, s in zip(out.column(2).to_pylist(), out.column(3).to_pylist(), strict=True)]
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
 def fit(documents: DataFrame, scratch: Scratch, sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
     """The model from training rows: text and lang of those with a doc_id whose crc32 is not a multiple of five."""
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
