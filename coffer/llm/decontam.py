@@ -11,8 +11,7 @@ a mark. Of it a suffix order, the Burrows-Wheeler transform as a wavelet matrix,
 at regular text places are built. All windows are searched backwards at once through wavelet ranks;
 their occurrences are located by walking to the nearest sampled suffix; overlapping spans merge.
 
-The suffix order is sorted by the first 16 words only: backward search needs no more for windows of
-at most 13. The benchmark is cut into blocks of bounded size, each broadcast by itself and
+The benchmark is cut into blocks of bounded size, each broadcast by itself and
 searched in turn, so that its size is not limited by a worker's memory.
 
 Null or empty text: no words, not contaminated. Null item text: no windows. An empty benchmark:
@@ -80,16 +79,17 @@ class WaveletMatrix:
 
 
 class FMIndex:
-    """Of a text of integers from 1; patterns must hold no more than ``depth`` of them."""
+    """Of a text of integers from 1 below ``size``."""
 
-    def __init__(self, text: np.ndarray, size: int, depth: int = WINDOW, sample: int = SAMPLE):
+    def __init__(self, text: np.ndarray, size: int, sample: int = SAMPLE):
         text = np.concatenate([text, [0]]).astype(np.int64)
         n = len(text)
         rank, width = text, 1
         order = np.argsort(rank, kind="stable")
-        while width < depth:
+        while True:
             ahead = np.zeros(n, dtype=np.int64)
-            ahead[: n - width] = rank[width:] + 1 if width < n else 0
+            if width < n:
+                ahead[: n - width] = rank[width:] + 1
             key = rank * (max(int(rank.max()), n) + 2) + ahead
             order = np.argsort(key, kind="stable")
             sorted_key = key[order]

@@ -42,17 +42,17 @@ def repeated_lines(documents: DataFrame, run: int = RUN) -> DataFrame:
 
 def remove_repeated_lines(documents: DataFrame, run: int = RUN) -> DataFrame:
     """All columns of ``documents`` with the kept text, and __n_lines and __n_removed."""
-    drop = repeated_lines(documents, run).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), "starts")
+    drop = repeated_lines(documents, run).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("starts").alias("__starts"))
     key = (F.col("doc_id").cast("long").eqNullSafe(F.col("__id"))) & (F.xxhash64(F.col("text").cast("string")) == F.col("__key"))
     joined = documents.join(drop, key, "left")
     lines = F.split(F.col("text").cast("string"), "\n", -1)
     # Overlapping runs merge into spans of lines; what is kept are the slices between them.
-    mask = F.expr(f"aggregate(sort_array(starts), named_struct('end', 0, 'spans', cast(array() as array<struct<a:int,b:int>>)), (acc, s) -> if(s <= acc.end, named_struct('end', s + {run - 1}, 'spans', concat(slice(acc.spans, 1, size(acc.spans) - 1), array(named_struct('a', element_at(acc.spans, -1).a, 'b', s + {run - 1})))), named_struct('end', s + {run - 1}, 'spans', concat(acc.spans, array(named_struct('a', s, 'b', s + {run - 1}))))), acc -> acc.spans)")
+    mask = F.expr(f"aggregate(sort_array(__starts), named_struct('end', 0, 'spans', cast(array() as array<struct<a:int,b:int>>)), (acc, s) -> if(s <= acc.end, named_struct('end', s + {run - 1}, 'spans', concat(slice(acc.spans, 1, size(acc.spans) - 1), array(named_struct('a', element_at(acc.spans, -1).a, 'b', s + {run - 1})))), named_struct('end', s + {run - 1}, 'spans', concat(acc.spans, array(named_struct('a', s, 'b', s + {run - 1}))))), acc -> acc.spans)")
     kept = F.expr("""flatten(transform(sequence(0, size(__spans)), k -> slice(__lines,
         if(k = 0, 1, element_at(__spans, k).b + 1),
         greatest(0, if(k = size(__spans), size(__lines) + 1, element_at(__spans, k + 1).a) - if(k = 0, 1, element_at(__spans, k).b + 1)))))""")
     done = joined.withColumn("__lines", lines).withColumn("__spans", mask)
-    text = F.when(F.col("starts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
+    text = F.when(F.col("__starts").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
     removed = F.coalesce(F.aggregate("__spans", F.lit(0), lambda a, s: a + s["b"] - s["a"] + 1), F.lit(0))
     n = F.when(F.col("text").isNull(), 0).otherwise(F.size("__lines"))
     keep = [F.col(c) if c != "text" else text.alias("text") for c in documents.columns]
