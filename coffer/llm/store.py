@@ -41,3 +41,4 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._coffer_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self.spark._jvm.System.gc()  # lets Spark remove the shuffle files of finished jobs now rather than some time
