@@ -195,6 +195,20 @@ def test_pieces(docs, empty):
     back = {r["doc_id"]: r["text"] for r in pieces.decode(pieces.encode(docs, path), path).collect()}
     assert all(back[i] == (t or "") for i, t in ROWS)
     assert pieces.encode_checked(empty, path).count() == 0
+    for frequent in (0, 20):  # most segments come by the join
+        few = {r["doc_id"]: r["ids"] for r in pieces.encode_checked(docs, path, frequent).collect()}
+        assert all(few[i] == by[i]["ids"] for i, _ in ROWS)
+
+
+def test_pieces_equal_the_library_on_whole_texts(spark):
+    import sentencepiece
+
+    path = tokenizer_file("piece_bpe_32k.model")
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in pieces.encode_checked(docs, path, 500).collect():
+        assert r["ids"] == model.encode(texts[r["doc_id"]] or "") and r["round_trip"]
 
 
 def test_viterbi_lattice(spark):
