@@ -11,6 +11,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 
 def shared_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
@@ -33,7 +35,12 @@ class Scratch:
     def keep(self, df: DataFrame, label: str = "t", options: dict | None = None) -> DataFrame:
         self._n += 1
         path = f"{self.base}/{self._n:03d}-{label}"
-        df.write.options(**(options or {})).parquet(path)
+        conf, old = self.spark.conf, self.spark.conf.get(CLEAN_UP, "false")
+        conf.set(CLEAN_UP, "true")  # the table is written, so the shuffle files that led to it can go
+        try:
+            df.write.options(**(options or {})).parquet(path)
+        finally:
+            conf.set(CLEAN_UP, old)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._coffer_path = path
         return out
@@ -41,4 +48,3 @@ class Scratch:
     def drop(self, df: DataFrame) -> None:
         path = self.spark._jvm.org.apache.hadoop.fs.Path(df._coffer_path)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-        self.spark._jvm.System.gc()  # lets Spark remove the shuffle files of finished jobs now rather than some time
