@@ -107,6 +107,17 @@ def test_passages(spark, docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+def test_passages_behind_a_head_that_holds_a_part(spark):
+    """Documents 2 and 3, 5 and 6 ... share 50 words; an earlier one shares 45 of them."""
+    rows, n = [], 20
+    for k in range(n):
+        body, own = list(range(1000 * k + 10000, 1000 * k + 10050)), lambda j: range(1000 * k + 10100 + 100 * j, 1000 * k + 10140 + 100 * j)  # noqa: B023, E731
+        part = body[:45] if k % 2 else body[5:]
+        rows += [(3 * k + 1, text(*own(0), *part, *own(1))), (3 * k + 2, text(*own(2), *body, *own(3))), (3 * k + 3, text(*own(4), *body, *own(5)))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_doc_id"], r["start_word"], r["end_word"]) for r in got} == {(3 * k + 3, 3 * k + 2, 40, 90) for k in range(n)}
+
+
 def test_personal_data(spark, docs, empty):
     rows = [(1, "a@b.co_d@e.fg x 1.2.3.4.5.6.7.8 256.1.1.1"), (2, "é 4111 1111 1111 1111, +1 (523) 555-1055. +12"), (3, None), (3, None), (4, "9" * 3000 + " " + "a" * 5000 + "@b.c"), (None, "q@r.st")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "base": F.lit(2)})
