@@ -118,6 +118,19 @@ def test_passages_behind_a_head_that_holds_a_part(spark):
     assert {(r["doc_id"], r["source_doc_id"], r["start_word"], r["end_word"]) for r in got} == {(3 * k + 3, 3 * k + 2, 40, 90) for k in range(n)}
 
 
+def test_passages_with_one_edit_are_all_met(spark):
+    """Passages of 50 words with a word replaced, left out or put in at each place that leaves 50 matched words."""
+    rows, n = [], 0
+    for at in range(5, 45):
+        for change in range(9):
+            body = list(range(1000 * n, 1000 * n + 51))
+            edited = [body[:at] + [1000 * n + 99] + body[at + 1 :], body[:at] + body[at + 1 :], body[:at] + [1000 * n + 99] + body[at:]][change % 3]
+            rows += [(2 * n, text(*range(1000 * n + 100, 1000 * n + 130), *body, *range(1000 * n + 200, 1000 * n + 230))), (2 * n + 1, text(*range(1000 * n + 300, 1000 * n + 330), *edited, *range(1000 * n + 400, 1000 * n + 430)))]
+            n += 1
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_doc_id"]) for r in got} == {(2 * k + 1, 2 * k) for k in range(n)}
+
+
 def test_personal_data(spark, docs, empty):
     rows = [(1, "a@b.co_d@e.fg x 1.2.3.4.5.6.7.8 256.1.1.1"), (2, "é 4111 1111 1111 1111, +1 (523) 555-1055. +12"), (3, None), (3, None), (4, "9" * 3000 + " " + "a" * 5000 + "@b.c"), (None, "q@r.st")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "base": F.lit(2)})
