@@ -6,7 +6,9 @@ its nearest pivot and its distance to it; the keys of a pivot are cut into annul
 into packed blocks of bounded size, so that equal or hot vectors never meet in one task. Queries are
 packed in blocks as well. A query block first scans annuli of its own pivot, which gives each query
 a k-th score; then, in the order of their bounds, only blocks whose annulus can hold that score by
-the triangle inequality are multiplied. Scores are exact integers, ties go to the smaller vec_id.
+the triangle inequality are multiplied. Scores are exact integers, ties go to the smaller vec_id: in double
+arithmetic while M^2 fits in its 53 bits, else in 64-bit integers. A component or score beyond a long is an
+error, as in the SQL.
 
 The pivots come from a bounded sample (at most ``pivots * 64`` vectors, picked by hash); they affect speed only.
 
@@ -90,14 +92,35 @@ def _keep(best_s: np.ndarray, best_i: np.ndarray, s: np.ndarray, ids: np.ndarray
     if s.shape[1] > 4 * k:
         cut = np.partition(s, s.shape[1] - k, axis=1)[:, s.shape[1] - k]
         width = int((s >= cut[:, None]).sum(1).max())
-        pick = np.argsort(-s, axis=1, kind="stable")[:, :width]
+        pick = np.argsort(~s, axis=1, kind="stable")[:, :width]
         s, i = np.take_along_axis(s, pick, 1), np.take_along_axis(i, pick, 1)
-    order = np.lexsort((i, -s), axis=1)[:, :k]
+    order = np.lexsort((i, ~s), axis=1)[:, :k]
     return np.take_along_axis(s, order, 1), np.take_along_axis(i, order, 1)
 
 
 _PAIRS = pa.schema([("query_block", pa.int64()), ("home", pa.int32()), ("query_ids", pa.binary()), ("query_data", pa.binary()), ("floor", pa.binary()), ("pivot", pa.int32()), ("ring", pa.int32()), ("distance", pa.float64())])
-_NONE = -(1 << 62)
+_NONE = -(1 << 63)
+
+
+def _scores(q: np.ndarray, v: np.ndarray, same: np.ndarray, top: float) -> np.ndarray:
+    """Exact inner products of integer vectors; ``same`` marks pairs that are not scored."""
+    near = q.astype(np.float64) @ v.T.astype(np.float64)
+    if top < 2.0**53:
+        s = np.rint(near).astype(np.int64)
+    else:
+        s = q @ v.T  # right modulo 2^64
+        if top >= 2.0**62:
+            size = np.sqrt((q.astype(np.float64) ** 2).sum(1))[:, None] * np.sqrt((v.astype(np.float64) ** 2).sum(1))
+            for i, j in np.argwhere((np.abs(near) + 1e-12 * size >= 2.0**63) & ~same).tolist():
+                if abs(sum(a * b for a, b in zip(q[i].tolist(), v[j].tolist(), strict=True))) >= 1 << 63:
+                    raise OverflowError("an inner product does not fit in a long")
+    s[same] = _NONE
+    return s
+
+
+def _most(q2: np.ndarray, top: float, near: np.ndarray) -> np.ndarray:
+    """The largest score at a distance of ``near`` at least, with slack for the rounding of sums as large as ``top``."""
+    return (q2 + top - np.maximum(near, 0) ** 2) / 2 + 1e-3 * (1 + q2) + 1e-5 * (q2 + top)
 
 
 def _searcher(pivots: np.ndarray, top: float, k: int):
@@ -120,21 +143,21 @@ def _searcher(pivots: np.ndarray, top: float, k: int):
                         yield out()
                     now = block
                     q_ids = np.frombuffer(col["query_ids"][r].as_buffer(), np.int64)
-                    q = np.frombuffer(col["query_data"][r].as_buffer(), "<i8").reshape(len(q_ids), dim).astype(np.float64)
+                    q = np.frombuffer(col["query_data"][r].as_buffer(), "<i8").reshape(len(q_ids), dim)
+                    whole, q = q, q.astype(np.float64)
                     q2 = (q * q).sum(1)
                     q_dist = np.sqrt(np.maximum(q2[:, None] + p2 - 2 * q @ pivots[:, :-1].T, 0))
                     best_s, best_i = np.full((len(q), k), _NONE), np.full((len(q), k), np.iinfo(np.int64).max)
                     floor = np.frombuffer(col["floor"][r].as_buffer(), np.int64)
                 d = q_dist[:, col["pivot"][r].as_py()]
                 near = np.maximum(0, np.maximum(d - col["hi"][r].as_py(), col["lo"][r].as_py() - d)) * (1 - 1e-9) - 1e-6
-                most = (q2 + top - np.maximum(near, 0) ** 2) / 2 + 1e-3 * (1 + np.abs(q2))
+                most = _most(q2, top, near)
                 use = np.flatnonzero(most >= np.maximum(floor, best_s[:, -1]))
                 if len(use) == 0:
                     continue
                 ids = np.frombuffer(col["ids"][r].as_buffer(), np.int64)
-                v = np.frombuffer(col["data"][r].as_buffer(), "<i8").reshape(len(ids), dim).astype(np.float64)
-                s = np.rint(q[use] @ v.T).astype(np.int64)
-                s[ids[None, :] == q_ids[use][:, None]] = _NONE
+                v = np.frombuffer(col["data"][r].as_buffer(), "<i8").reshape(len(ids), dim)
+                s = _scores(whole[use], v, ids[None, :] == q_ids[use][:, None], top)
                 best_s[use], best_i[use] = _keep(best_s[use], best_i[use], s, ids, k)
         if now is not None:
             yield out()
@@ -166,7 +189,7 @@ def _plan(pivots: np.ndarray, top: float, annuli: np.ndarray, home: bool):
                         continue
                     d = dist[:, int(pivot)]
                     near = np.maximum(0, np.maximum(d - hi, lo - d)) * (1 - 1e-9) - 1e-6
-                    most = (q2 + top - np.maximum(near, 0) ** 2) / 2 + 1e-3 * (1 + q2)
+                    most = _most(q2, top, near)
                     if (most >= floor).any():
                         out.append({"query_block": col["query_block"][r].as_py(), "home": col["home"][r].as_py(), "query_ids": ids, "query_data": data, "floor": floor.tobytes(), "pivot": int(pivot), "ring": int(ring), "distance": float(near.min())})
             yield pa.RecordBatch.from_pylist(out, schema=_PAIRS)
@@ -180,13 +203,14 @@ def top_k(vectors: DataFrame, k: int = K, every: int = 20, id_col: str = "vec_id
     scratch = Scratch(spark, "topk")
     x = F.col(vector_col).cast("array<double>")
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), x.alias("x")).where("vec_id is not null and x is not null")
-    # floor(64 x) must fit, so that every score is an exact integer in double arithmetic.
-    v = v.where(F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < 2.0**15)) & (F.size("x") > 0)).select("vec_id", F.transform("x", lambda e: F.floor(64 * e)).alias("x"))
+    v = v.where(F.forall("x", lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < float("inf"))) & (F.size("x") > 0))
+    whole = lambda e: F.when((F.abs(e) >= 2.0**57) & (F.abs(e) < float("inf")), F.raise_error(F.lit("a component does not fit in a long")).cast("long")).otherwise(F.floor(64 * e))
+    v = v.select("vec_id", F.transform("x", whole).alias("x"))
     sizes = v.groupBy(F.size("x").alias("n")).count().orderBy(F.desc("count"), "n").first()
     if sizes is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
     v = v.where(F.size("x") == sizes["n"])
-    norm = F.aggregate("x", F.lit(0.0), lambda a, e: a + e * e)
+    norm = F.aggregate("x", F.lit(0.0), lambda a, e: a + e.cast("double") * e.cast("double"))
     top = float(v.agg(F.max(norm)).first()[0])
     share = min(1.0, pivots * 64 / sizes["count"])
     pool = v.where(F.pmod(F.xxhash64("vec_id", "x"), F.lit(1 << 30)) < int(share * (1 << 30))).limit(pivots * 128).select("x").collect()

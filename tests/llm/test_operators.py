@@ -95,6 +95,21 @@ def test_top_k(spark):
     assert topk.top_k(df.where("vec_id = 1000")).count() == 0
 
 
+def test_top_k_of_large_components(spark):
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(300, 16)).round(2)
+    x[7, 3], x[20, 3], x[21, 4], x[40] = 40000.0, -1e7, 1e7 + 0.3, x[40] * 1e4
+    x[60, 9] = 5e9  # its norm, but none of its scores, is beyond a long
+    df = spark.createDataFrame([(int(k), [float(v) for v in r]) for k, r in enumerate(x)], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df).collect())
+    v = [[int(e) for e in r] for r in np.floor(64 * x)]
+    want = []
+    for q in range(0, 300, 20):
+        s = [(-sum(a * b for a, b in zip(v[q], v[k], strict=True)), k) for k in range(300) if k != q]
+        want += [(q, n, k, -score) for n, (score, k) in enumerate(sorted(s)[:20], 1)]
+    assert got == sorted(want)
+
+
 def test_passages(spark, docs, empty):
     body = list(range(5000, 5070))
     near = [*body[:30], 9999, *body[31:]]
