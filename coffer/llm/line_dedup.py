@@ -1,10 +1,9 @@
-"""Removal of repeated runs of lines by winnowing, in DataFrame functions only.
+"""Removal of repeated runs of lines, in DataFrame functions only.
 
-A document is its text split at line feeds. Every run of ``run`` consecutive lines has a fingerprint, the
-smallest of its line hashes, the last of equals. Equal runs have equal fingerprints at the same offset, so
-each repeated run of at least ``run`` lines is guaranteed to be met. Fingerprints that stand once in the corpus
-are dropped by a count that is combined before the shuffle; the rest carry the hashes of the runs that
-chose them, which extends each match to both sides of its fingerprint. Of the places of equal
+A document is its text split at line feeds. Every run of ``run`` consecutive lines is posted under its hash and
+the smallest of its line hashes. This stands in place of winnowing: the minimum is implied by equal runs, so it selects
+nothing, and matches are not extended, as each run is posted. Runs that stand once in the corpus
+are dropped by a count that is combined before the shuffle. Of the places of equal
 runs the first by (doc_id, text hash, line) stays; lines that are covered by any later place go. So a line stays
 unless it lies in a run of at least ``run`` lines that stands earlier.
 
