@@ -9,14 +9,16 @@ has its doc_ids and their lengths.
 
 Encoding is that of the tokenizers library for a byte-level BPE file. A text of ASCII and the letters
 U+00C0 to U+024F without apostrophes is cut into the pre-tokens of its pattern by vectorised rules; each distinct
-pre-token is encoded once by the library and remembered. All other texts go to the library whole.
+pre-token is encoded once by the library and remembered. All other texts go to the library whole, and all texts do so
+if the file has another pre-tokenizer, a normalizer or added tokens that are not special.
 
 Null text counts as empty: its ids are just the end id. Special tokens' strings are ordinary text.
-Repeated rows are written each. An empty table gives no blocks and no rows.
+Repeated rows are written each; rows that share a doc_id (or have none) stand in the order of their texts' hashes. An empty table gives no blocks and no rows.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -34,6 +36,8 @@ from coffer.llm.wordcache import WordCache
 END_ID = 0
 RANK_BITS = 512
 BLOCK_IDS = 1 << 20
+#: Pre-tokens that go to the library as one text.
+JOINED = 2000
 _SPACE = byte_class((0x20, 0x20), (0x09, 0x0D))
 _CLASS = np.full(256, 2, dtype=np.int8)  # 0 letter, 1 digit, 2 other, 3 white space
 _CLASS[_SPACE] = 3
@@ -42,6 +46,16 @@ _CLASS[byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))] = 0
 _HARD = byte_class((0x27, 0x27), (0xC0, 0xC2), (0xCA, 0xFF))
 
 
+def _is_plain(file: dict) -> bool:
+    """Whether a tokenizer file cuts texts by the byte-level pattern alone, so that pre-tokens can be encoded by themselves."""
+    cut = file.get("pre_tokenizer") or {}
+    return (
+        file.get("normalizer") is None and cut.get("type") == "ByteLevel" and not cut.get("add_prefix_space", True) and cut.get("use_regex", True)
+        and file.get("model", {}).get("type") == "BPE" and not file["model"].get("dropout") and all(x.get("special") for x in file.get("added_tokens", []))
+        and not file.get("truncation") and not file.get("padding")
+    )
+
+
 class Encoder:
     """Ids of texts by a tokenizers file of byte-level BPE."""
 
@@ -51,7 +65,35 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.cache = WordCache(lambda words: [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)])
+        with open(path, encoding="utf-8") as f:
+            self.plain = _is_plain(json.load(f))
+        # In a byte-level vocabulary each character of a token stands for one byte.
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.size = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=np.int64)
+        self.size[list(vocabulary.values())] = [len(x) for x in vocabulary]
+        self.cache = WordCache(self._words)
+
+    def _words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct pre-tokens. Those that a space opens stay apart when they stand side by side, so many go as one
+        text; where its ids belong is told by their sizes in bytes."""
+        length = np.fromiter(map(len, words), np.int64, len(words))
+        apart = np.fromiter((w[0] == 0x20 and len(w) > 1 and not _SPACE[w[1]] for w in words), bool, len(words))
+        out: list = [None] * len(words)
+        for k in range(0, len(words), JOINED):
+            at = np.flatnonzero(apart[k : k + JOINED]) + k
+            if len(at) == 0:
+                continue
+            ids = np.array(self.tokenizer.encode_batch_fast([b"".join([words[i] for i in at.tolist()]).decode()], add_special_tokens=False)[0].ids, dtype=np.int32)
+            bounds, ends = np.cumsum(length[at]), np.cumsum(self.size[ids])
+            cut = np.searchsorted(ends, bounds)
+            if len(ends) and ends[-1] == bounds[-1] and (ends[cut] == bounds).all():
+                cut = (cut + 1).tolist()
+                for i, a, b in zip(at.tolist(), [0, *cut[:-1]], cut, strict=True):
+                    out[i] = ids[a:b]
+        rest = [i for i, x in enumerate(out) if x is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([words[i].decode() for i in rest], add_special_tokens=False), strict=True):
+            out[i] = np.array(e.ids, dtype=np.int32)
+        return np.concatenate(out), np.fromiter(map(len, out), np.int64, len(out))
 
     def __call__(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids with end ids, and each row's number of them."""
@@ -61,7 +103,7 @@ class Encoder:
         pair = np.flatnonzero((data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))) if size else np.zeros(0, np.int64)
         hard[pair] = True
         total = np.concatenate([[0], np.cumsum(hard)])
-        slow = np.flatnonzero(total[off[1:]] > total[off[:-1]])
+        slow = np.flatnonzero(total[off[1:]] > total[off[:-1]]) if self.plain else np.flatnonzero(np.diff(off))
         starts = self._starts(data, off)
         row = np.searchsorted(off, starts, "right") - 1
         ends = np.append(starts[1:], size)
@@ -195,7 +237,9 @@ def write_tokens(documents: DataFrame, tokenizer: str, scratch: Scratch) -> Data
     """Writes the blocks of all documents and gives their table: part and seq order them, first is a block's place in its part."""
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     n = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.repartitionByRange(n, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    # The hash tells rows of one doc_id apart, so that not even those fall into one partition together.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64("text")]
+    ordered = docs.repartitionByRange(n, *order).sortWithinPartitions(*order, "text")
     fields = "part int, seq int, first long, n_ids long, doc_ids array<long>, lengths array<long>, codes binary"
     return scratch.keep(ordered.mapInArrow(_writer(tokenizer), fields), "tokens", {"compression": "zstd", "parquet.block.size": 16 << 20})
 
