@@ -7,11 +7,16 @@ score for a language is the sum over all its words; the result is the softmax ov
 tempered beyond 50 words so that it stays a graded confidence.
 
 The classifier is fitted on a bounded sample of labelled rows: about ``sample`` per language, picked by
-a hash of doc_id, and at most ``entries`` words and n-grams in all, the most frequent. Each row is
-scored whole. A broadcast model has at most ``entries`` rows of one float per language.
+a hash of doc_id; their texts count whole, and all their words and n-grams make the model, so its size is
+bounded by the sample and does not grow with the corpus. It comes to the driver as Arrow columns and is
+broadcast as sorted arrays. Each row is scored whole.
+
+``keep_identified`` drops a text that is ``und``, scores below ``least``, or of whose words less than ``covered`` are
+known or hold a known n-gram of three characters or more: a language without labelled rows, or gibberish.
 
 Null text, or text without any letter: ``und`` with score 0. No labelled row: all are ``und``. Rows
-whose doc_id is null are scored as others, held_out is null. Repeated rows give a row each.
+whose doc_id is null are scored as others, held_out is null. Equal scores: the language of smaller name. Repeated
+rows give a row each.
 """
 
 from __future__ import annotations
@@ -29,10 +34,12 @@ from coffer.llm.textkernel import U64, Powers, Words, byte_class, chunks, mix, s
 LETTERS = byte_class((0x41, 0x5A), (0x61, 0x7A), (0x80, 0xFF))
 NGRAM = 5
 SAMPLE = 8000
-ENTRIES = 600_000
 FOLDS = 5
 SMOOTH = 0.5
 MIN_SCORE = 0.3
+MIN_COVERED = 0.5
+#: The shortest n-gram that tells a language's words from others.
+TELLING = 3
 _SEEDS = stream(NGRAM + 1, 555)
 
 
@@ -80,20 +87,19 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 class Model:
-    """Log frequencies by language of the kept words (kind 0) and n-grams (kind n)."""
+    """Log frequencies by language of words (kind 0) and n-grams (kind n). ``rows``: arrays of kinds, numbers of languages,
+    keys and counts, one entry for each that occurs."""
 
-    def __init__(self, langs: list[str], rows: list, sums: dict[tuple[str, int], tuple[int, int]]):
+    def __init__(self, langs: list[str], kinds: np.ndarray, which: np.ndarray, keys: np.ndarray, counts: np.ndarray):
         self.langs = langs
-        number = {x: k for k, x in enumerate(langs)}
         self.tables: list[tuple[np.ndarray, np.ndarray]] = []
         for kind in range(NGRAM + 1):
-            mine = [r for r in rows if r["kind"] == kind]
-            keys, inverse = np.unique(np.array([r["key"] for r in mine], dtype=np.int64).view(U64), return_inverse=True)
-            table = np.zeros((len(keys), len(langs)))
-            table[inverse, [number[r["lang"]] for r in mine]] = [r["n"] for r in mine]
-            total = np.array([sums.get((x, kind), (0, 0))[0] for x in langs], dtype=np.float64)
-            types = max([sums.get((x, kind), (0, 0))[1] for x in langs] or [0])
-            self.tables.append((keys, np.log((table + SMOOTH) / (total + SMOOTH * (types + 1))).astype(np.float32)))
+            mine = np.flatnonzero(kinds == kind)
+            known, inverse = np.unique(keys[mine].view(U64), return_inverse=True)
+            table = np.zeros((len(known), len(langs)))
+            table[inverse, which[mine]] = counts[mine]
+            types = int((table > 0).sum(0).max(initial=0))
+            self.tables.append((known, np.log((table + SMOOTH) / (table.sum(0) + SMOOTH * (types + 1))).astype(np.float32)))
 
     def find(self, kind: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         known, values = self.tables[kind]
@@ -103,10 +109,11 @@ class Model:
         at[at == len(known)] = 0
         return known[at] == keys, values[at]
 
-    def words(self, words: Words, pick: np.ndarray) -> np.ndarray:
-        """Scores of some words by language."""
+    def words(self, words: Words, pick: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Scores of some words by language, and whether each is covered."""
         hit, out = self.find(0, words.hash[pick])
         out = np.where(hit[:, None], out, 0)
+        covered = hit.copy()
         left = np.flatnonzero(~hit)
         for n in range(NGRAM, 0, -1):
             if len(left) == 0:
@@ -117,8 +124,9 @@ class Model:
             count = np.bincount(own, minlength=len(left))
             mean = np.stack([np.bincount(own, weights=values[:, k], minlength=len(left)) for k in range(len(self.langs))], axis=1) / np.maximum(count, 1)[:, None]
             out[left] = mean
+            covered[left] |= (count > 0) & (n >= TELLING)
             left = left[count == 0]
-        return out
+        return out, covered
 
 
 def _scorer(shared):
@@ -127,11 +135,12 @@ def _scorer(shared):
         for part in chunks(batches, "text"):
             words = Words(part.column(1), LETTERS)
             n_rows = part.num_rows
-            pred, score = ["und"] * n_rows, np.zeros(n_rows)
+            pred, score, share = ["und"] * n_rows, np.zeros(n_rows), np.zeros(n_rows)
             n = words.counts()
             if len(words.hash) and model.langs:
                 _, first, inverse = np.unique(words.hash, return_index=True, return_inverse=True)
-                each, rows = model.words(words, first), words.rows()
+                (each, known), rows = model.words(words, first), words.rows()
+                share = np.bincount(rows, weights=known[inverse], minlength=n_rows) / np.maximum(n, 1)
                 total = np.stack([np.bincount(rows, weights=each[inverse, k], minlength=n_rows) for k in range(len(model.langs))], axis=1)
                 total /= np.maximum(1, n / 50)[:, None]
                 odds = np.exp(total - total.max(1, keepdims=True))
@@ -144,13 +153,13 @@ def _scorer(shared):
                     letter[r] = any(c.isalpha() for c in part.column(1)[int(r)].as_py())
                 for r in np.flatnonzero(letter):
                     pred[r], score[r] = model.langs[best[r]], odds[r, best[r]]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(pred, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(2), pa.array(pred, pa.string()), pa.array(score), pa.array(share)], names=["doc_id", "held_out", "lang_pred", "score", "covered"])
 
     return run
 
 
-def keep_identified(documents: DataFrame, model: Model, least: float = MIN_SCORE) -> DataFrame:
-    """The rows, with all their columns, whose language is identified with a score of at least ``least``."""
+def keep_identified(documents: DataFrame, model: Model, least: float = MIN_SCORE, covered: float = MIN_COVERED) -> DataFrame:
+    """The rows, with all their columns, whose language is identified."""
     score = _scorer(documents.sparkSession.sparkContext.broadcast(model))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -160,47 +169,41 @@ def keep_identified(documents: DataFrame, model: Model, least: float = MIN_SCORE
             text = batch.column(batch.schema.get_field_index("text"))
             none = pa.nulls(batch.num_rows, pa.int64())
             three = pa.RecordBatch.from_arrays([none, text, pa.nulls(batch.num_rows, pa.bool_())], names=["doc_id", "text", "held_out"])
-            keep = [p != "und" and s >= least for out in score(iter([three])) for p, s in zip(out.column(2).to_pylist(), out.column(3).to_pylist(), strict=True)]
+            keep: list[bool] = []
+            for out in score(iter([three])):
+                keep += [p != "und" and s >= least and c >= covered for p, s, c in zip(*(out.column(k).to_pylist() for k in (2, 3, 4)), strict=True)]
             yield batch.filter(pa.array(keep, pa.bool_()))
 
     return documents.mapInArrow(run, documents.schema)
 
 
-def fit(documents: DataFrame, scratch: Scratch, sample: int = SAMPLE, entries: int = ENTRIES) -> Model:
+def fit(documents: DataFrame, scratch: Scratch, sample: int = SAMPLE) -> Model:
     """The model from training rows: text and lang of those with a doc_id whose crc32 is not a multiple of five."""
     fold = F.crc32(F.col("doc_id").cast("string")) % FOLDS
-    train = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != 0))
+    train = documents.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    train = train.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold != 0))
     sizes = {r["lang"]: r["count"] for r in train.groupBy("lang").count().collect()}
     langs = sorted(sizes)
     if not langs:
-        return Model([], [], {})
-    share = F.create_map(*[F.lit(x) for lang in langs for x in (lang, int((1 << 30) * min(1.0, sample / sizes[lang])))])
-    picked = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share[F.col("lang")])
+        return Model([], *[np.zeros(0, np.int64)] * 4)
+    per_lang = lambda values: F.create_map(*[F.lit(x) for pair in zip(langs, values, strict=True) for x in pair])[F.col("lang")]
+    picked = train.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < per_lang([int((1 << 30) * min(1.0, sample / sizes[x])) for x in langs]))
     counted = picked.select("text", "lang").mapInArrow(_count, "lang string, kind int, key long, n long")
-    counted = scratch.keep(counted.groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "counts")
-    sums = {(r["lang"], r["kind"]): (r["t"], r["k"]) for r in counted.groupBy("lang", "kind").agg(F.sum("n").alias("t"), F.count("*").alias("k")).collect()}
-    per = entries // (len(langs) * (NGRAM + 1))
-    cut = F.greatest(F.col("n"), F.lit(0))
-    steps = counted.groupBy("lang", "kind", F.least(cut, F.lit(4096)).alias("n")).count().collect()
-    least: dict[tuple[str, int], int] = {}
-    held: dict[tuple[str, int], int] = {}
-    for r in sorted(steps, key=lambda r: -r["n"]):
-        key = (r["lang"], r["kind"])
-        held[key] = held.get(key, 0) + r["count"]
-        if held[key] <= per or key not in least:
-            least[key] = r["n"]
-    floor = F.create_map(*[F.lit(x) for (lang, kind), n in least.items() for x in (f"{kind} {lang}", n)])
-    rows = counted.where(F.col("n") >= floor[F.concat(F.col("kind").cast("string"), F.lit(" "), F.col("lang"))]).collect()
+    counted = counted.select(per_lang(range(len(langs))).alias("lang"), "kind", "key", "n").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
+    counted = scratch.keep(counted, "counts")
+    rows = counted.toArrow()
     scratch.drop(counted)
-    return Model(langs, rows, sums)
+    lang, kind, key, n = (c.to_numpy() for c in rows.columns)
+    return Model(langs, kind, lang, key, n)
 
 
 def identify(documents: DataFrame, model: Model) -> DataFrame:
-    """One row per document: doc_id, held_out, lang_pred, score."""
+    """One row per document: doc_id, held_out, lang_pred, score, covered (the share of covered words)."""
     shared = documents.sparkSession.sparkContext.broadcast(model)
     id_ = F.col("doc_id").cast("long")
-    rows = documents.select(id_.alias("doc_id"), F.col("text").cast("string").alias("text"), (F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0).alias("held_out"))
-    return rows.mapInArrow(_scorer(shared), "doc_id long, held_out boolean, lang_pred string, score double")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % FOLDS == 0
+    rows = documents.select(id_.alias("doc_id"), F.col("text").cast("string").alias("text"), held_out.alias("held_out"))
+    return rows.mapInArrow(_scorer(shared), "doc_id long, held_out boolean, lang_pred string, score double, covered double")
 
 
 def predict_languages(documents: DataFrame) -> DataFrame:
