@@ -11,11 +11,12 @@ a mark. Of it a suffix order, the Burrows-Wheeler transform as a wavelet matrix,
 at regular text places are built. All windows are searched backwards at once through wavelet ranks;
 their occurrences are located by walking to the nearest sampled suffix; overlapping spans merge.
 
-The benchmark is cut into blocks of bounded size, each broadcast by itself and
-searched in turn, so that its size is not limited by a worker's memory.
+The benchmark is cut into blocks of bounded size. Usually there is one. Of several, each is broadcast by itself and searched in a
+pass of its own, which writes the rows with hits and frees the block before the next; then a document's spans and
+items are merged. So neither the driver nor a worker ever holds more than one block.
 
-Null or empty text: no words, not contaminated. Null item text: no windows. An empty benchmark:
-nothing is hit. Repeated rows give a row each.
+Null or empty text: no words, not contaminated. Null item text or item_id: no windows. An empty benchmark:
+nothing is hit. Items that share an id are one item. Repeated rows give a row each.
 """
 
 from __future__ import annotations
@@ -28,11 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from coffer.llm.store import Scratch
 from coffer.llm.textkernel import ALNUM, U64, Words, chunks
 
 WINDOW = 13
+WORD = "[^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+"
 SAMPLE = 8
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 SHARD_WORDS = 2 << 20
 SHARD_DOCS = 200_000
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>, items array<string>"
@@ -139,27 +142,25 @@ class FMIndex:
 
 
 class Phrases:
-    """The distinct windows of some benchmark items as rows of word numbers, by length."""
+    """The distinct windows of some benchmark items as rows of word numbers, by length; those of a window are its items' numbers."""
 
     def __init__(self, items: list[tuple[str, str | None]]):
-        ids = sorted({i for i, _ in items})
-        number = {x: k for k, x in enumerate(ids)}
+        self.ids = sorted({i for i, _ in items})
+        number = {x: k for k, x in enumerate(self.ids)}
+        item = np.array([number[i] for i, _ in items], dtype=np.int64)
         words = Words(pa.array([t for _, t in items], pa.string()), ALNUM)
         self.vocabulary, inverse = np.unique(words.hash, return_inverse=True)
-        found: dict[bytes, set[int]] = {}
-        for r, (item, _) in enumerate(items):
-            w = inverse[words.first[r] : words.first[r + 1]].astype(np.int32) + 2
-            for k in range(max(1, len(w) - WINDOW + 1) if len(w) else 0):
-                found.setdefault(w[k : k + WINDOW].tobytes(), set()).add(number[item])
-        self.ids = ids
-        self.by_length: dict[int, tuple[np.ndarray, list[tuple[int, ...]]]] = {}
-        groups: dict[int, list[bytes]] = {}
-        for p in found:
-            groups.setdefault(len(p) // 4, []).append(p)
-        for length, ps in groups.items():
-            rows = np.array([np.frombuffer(p, np.int32) for p in ps], dtype=np.int64)
-            self.by_length[length] = (rows, [tuple(sorted(found[p])) for p in ps])
-        self.shortest = min(groups, default=0)
+        flat, count = inverse.astype(np.int32) + 2, words.counts()
+        self.by_length: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for length in np.unique(np.minimum(count[count > 0], WINDOW)).tolist():
+            rows = np.flatnonzero(count >= WINDOW if length == WINDOW else count == length)
+            per = count[rows] - length + 1
+            start = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per - words.first[rows], per)
+            patterns, which = np.unique(np.lib.stride_tricks.sliding_window_view(flat, length)[start], axis=0, return_inverse=True)
+            pair = np.unique(which.ravel() * len(self.ids) + np.repeat(item[rows], per))  # (window, item)
+            bounds = np.searchsorted(pair, np.arange(len(patterns) + 1) * len(self.ids))
+            self.by_length[length] = (patterns.astype(np.int64), bounds, pair % len(self.ids))
+        self.shortest = min(self.by_length, default=0)
 
     def scan(self, hashes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int]]]:
         """Marks of hit words of a shard, and (row, item number) pairs."""
@@ -188,8 +189,8 @@ class Phrases:
         text = np.where(where >= 0, at[where] + 2, 1)
         index = FMIndex(text, len(self.vocabulary) + 2)
         change = np.zeros(len(hashes) + 1, dtype=np.int64)
-        pairs: set[tuple[int, int]] = set()
-        for length, (patterns, items) in self.by_length.items():
+        pairs = [np.zeros(0, np.int64)]
+        for length, (patterns, bounds, items) in self.by_length.items():
             lo, hi = index.search(patterns)
             n = hi - lo
             which = np.repeat(np.arange(len(patterns)), n)
@@ -200,40 +201,49 @@ class Phrases:
             np.add.at(change, word, 1)
             np.add.at(change, word + length, -1)
             row = np.searchsorted(first, word, "right") - 1
-            for r, p in np.unique(np.stack([row, which], axis=1), axis=0).tolist():
-                pairs.update((r, i) for i in items[p])
+            row, which = np.divmod(np.unique(row * len(patterns) + which), len(patterns))
+            n = np.diff(bounds)[which]
+            own = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n - bounds[which], n)
+            pairs.append(np.repeat(row, n) * len(self.ids) + items[own])
         hit = np.cumsum(change[:-1]) > 0
-        return hit, sorted(pairs)
+        found = np.unique(np.concatenate(pairs))
+        return hit, list(zip((found // len(self.ids)).tolist(), (found % len(self.ids)).tolist(), strict=True))
 
 
-def _flush(ids: list, hashes: list[np.ndarray], counts: list[np.ndarray], blocks: list) -> pa.RecordBatch:
+def _flush(ids: list, hashes: list[np.ndarray], counts: list[np.ndarray], phrases: Phrases) -> pa.RecordBatch:
     h = np.concatenate(hashes) if hashes else np.zeros(0, U64)
     n = np.concatenate(counts)
     first = np.concatenate([[0], np.cumsum(n)])
-    hit = np.zeros(len(h), dtype=bool)
+    hit, pairs = phrases.scan(h, first)
     found: dict[int, set[str]] = {}
-    for block in blocks:
-        phrases = block.value
-        marks, pairs = phrases.scan(h, first)
-        hit |= marks
-        for r, i in pairs:
-            found.setdefault(r, set()).add(phrases.ids[i])
+    for r, i in pairs:
+        found.setdefault(r, set()).add(phrases.ids[i])
     total = np.concatenate([[0], np.cumsum(hit)])
     n_hit = total[first[1:]] - total[first[:-1]]
-    none = hashlib.sha256(b"").hexdigest()
-    digest, items, spans = [none] * len(n), [[] for _ in n], [[] for _ in n]
+    digest, items, spans = [_NONE] * len(n), [[] for _ in n], [[] for _ in n]
     for r, names in found.items():
         items[r] = sorted(names)
-        digest[r] = hashlib.sha256(",".join(items[r]).encode()).hexdigest()
+        digest[r] = _digest(items[r])
         edge = np.flatnonzero(np.diff(np.concatenate([[0], hit[first[r] : first[r + 1]].astype(np.int8), [0]])))
         spans[r] = [{"start": int(a), "end": int(b)} for a, b in edge.reshape(-1, 2)]
-    return pa.RecordBatch.from_arrays(
-        [pa.array(x, f.type) for x, f in zip((ids, n, n_hit, [len(x) for x in items], digest, (n_hit > 0) & (20 * n_hit >= n), spans, items), _ARROW, strict=True)],
-        schema=_ARROW,
-    )
+    return _batch(ids, n, n_hit, digest, spans, items)
+
+
+def _digest(items: list[str]) -> str:
+    return hashlib.sha256(",".join(items).encode()).hexdigest()
+
+
+_NONE = _digest([])
 
 
-def _searcher(blocks: list):
+def _batch(ids: list, n: np.ndarray, n_hit: np.ndarray, digest: list, spans: list, items: list) -> pa.RecordBatch:
+    columns = (ids, n, n_hit, [len(x) for x in items], digest, (n_hit > 0) & (20 * n_hit >= n), spans, items)
+    return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(columns, _ARROW, strict=True)], schema=_ARROW)
+
+
+def _searcher(shared):
+    """Rows of SCHEMA for rows (doc_id, text)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes, counts, size = [], [], [], 0
         for part in chunks(batches, "text"):
@@ -243,15 +253,15 @@ def _searcher(blocks: list):
             counts.append(words.counts())
             size += len(words.hash)
             if size >= SHARD_WORDS or len(ids) >= SHARD_DOCS:
-                yield _flush(ids, hashes, counts, blocks)
+                yield _flush(ids, hashes, counts, shared.value)
                 ids, hashes, counts, size = [], [], [], 0
         if ids:
-            yield _flush(ids, hashes, counts, blocks)
+            yield _flush(ids, hashes, counts, shared.value)
 
     return run
 
 
-def _filter(blocks: list):
+def _filter(shared):
     """Passes the rows of documents that are not contaminated, with all their columns."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +269,7 @@ def _filter(blocks: list):
 
         def out() -> Iterator[pa.RecordBatch]:
             rows = sum(p.num_rows for p in held)
-            bad = _flush([None] * rows, hashes, counts, blocks).column(5).to_pylist()
+            bad = _flush([None] * rows, hashes, counts, shared.value).column(5).to_pylist()
             at = 0
             for p in held:
                 yield p.filter(pa.array([not x for x in bad[at : at + p.num_rows]], pa.bool_()))
@@ -280,26 +290,60 @@ def _filter(blocks: list):
     return run
 
 
-def keep_clean(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of documents that are not contaminated, unchanged."""
-    return documents.mapInArrow(_filter(phrase_blocks(benchmark, block_bytes)), documents.schema)
-
-
-def phrase_blocks(benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> list:
-    """Broadcasts of the benchmark's windows, each made of at most about ``block_bytes`` of text."""
-    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").where("item_id is not null and text is not null")
+def _merged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of SCHEMA from (doc_id, n_words, spans and items of several blocks)."""
+    for batch in batches:
+        n = batch.column(1).to_numpy()
+        spans, items, n_hit = [], [], np.zeros(len(n), np.int64)
+        for r, (s, i) in enumerate(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)):
+            one: list[dict] = []
+            for x in sorted((x["start"], x["end"]) for part in s or [] for x in part):
+                if one and x[0] <= one[-1]["end"]:
+                    one[-1]["end"] = max(one[-1]["end"], x[1])
+                else:
+                    one.append({"start": x[0], "end": x[1]})
+            spans.append(one)
+            items.append(sorted({x for part in i or [] for x in part}))
+            n_hit[r] = sum(x["end"] - x["start"] for x in one)
+        yield _batch(batch.column(0).to_pylist(), n, n_hit, [_digest(x) for x in items], spans, items)
+
+
+def _items(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The benchmark's items in blocks of about ``block_bytes`` of text."""
+    items = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, -(-size // block_bytes))
-    context = benchmark.sparkSession.sparkContext
-    out = []
-    for k in range(n):
-        block = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items
-        out.append(context.broadcast(Phrases([tuple(r) for r in block.collect()])))
-    return out
+    return [items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k) if n > 1 else items for k in range(n)]
+
+
+def _phrases(block: DataFrame):
+    return block.sparkSession.sparkContext.broadcast(Phrases([tuple(r) for r in block.collect()]))
 
 
 def decontaminate(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """One row per document: counts, the hit spans in words, and the items that occur."""
-    blocks = phrase_blocks(benchmark, block_bytes)
+    blocks = _items(benchmark, block_bytes)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(_searcher(blocks), SCHEMA)
+    if len(blocks) == 1:
+        return docs.mapInArrow(_searcher(_phrases(blocks[0])), SCHEMA)
+    # Rows equal in doc_id and text share a key and all results.
+    scratch, keyed = Scratch(documents.sparkSession, "decontam"), docs.select(F.xxhash64("doc_id", "text").alias("doc_id"), "text")
+    parts = []
+    for block in blocks:
+        shared = _phrases(block)
+        parts.append(scratch.keep(keyed.mapInArrow(_searcher(shared), SCHEMA).where("n_hit > 0").select("doc_id", "spans", "items").dropDuplicates(["doc_id"]), "hits"))
+        shared.destroy()  # one block at a time is in the workers' memory
+    hits = documents.sparkSession.read.schema(parts[0].schema).parquet(*[p._coffer_path for p in parts])
+    hits = hits.groupBy(F.col("doc_id").alias("key")).agg(F.collect_list("spans").alias("spans"), F.collect_list("items").alias("items"))
+    sizes = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("key"), F.size(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(WORD), F.lit(0))).cast("long").alias("n_words"))
+    return sizes.join(hits, "key", "left").select("doc_id", "n_words", "spans", "items").mapInArrow(_merged, SCHEMA)
+
+
+def keep_clean(documents: DataFrame, benchmark: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """The rows of documents that are not contaminated, unchanged."""
+    blocks = _items(benchmark, block_bytes)
+    if len(blocks) == 1:
+        return documents.mapInArrow(_filter(_phrases(blocks[0])), documents.schema)
+    key = F.xxhash64("doc_id", F.col("text").cast("string"))
+    bad = decontaminate(documents.select(key.alias("doc_id"), "text"), benchmark, block_bytes).where("contaminated").select(F.col("doc_id").alias("__bad")).distinct()
+    return documents.join(bad, key == F.col("__bad"), "left_anti")
