@@ -5,13 +5,16 @@ leftmost and without overlap per kind; matches that fail their check are dropped
 The regular expressions are the contract's, with possessive quantifiers and run starts, which changes no
 match but keeps them linear on very long texts.
 
-The bootstrap takes white-space tokens that hold a digit as instances, in the context of the word
-before them (the pattern). Tokens with a base span are seeds of its kind with reliability 1. For
-each kind a pattern's reliability is the mean of its instances', an instance's the mean of
-its patterns', over ``rounds`` turns of aggregates and joins on the graph of (pattern, instance, count).
-A pattern of at least ``support`` distinct seed instances and a reliability of ``confidence`` adds its
-other tokens, if their shape (digits as 9, letters as a, repeats squeezed) is one of its seeds'.
-Tokens that touch a base span are never added again.
+The bootstrap's instances are candidates of a loose form: runs of digit groups over up to three separators, so a spaced phone
+or card is one instance, and other white-space tokens that hold a digit or an @. A candidate is of the form of a kind if it
+could be one written carelessly (``FORMS``). Those that touch a base span are seeds of its kind, with reliability 1.
+The lexical patterns are the word before, the two words before and the word after a candidate. Patterns and instances make a
+graph of (kind, pattern, instance, count), on which ``rounds`` turns of aggregates and joins run. A pattern's reliability for a
+kind is what its reliable instances weigh against the candidates that are of another kind or of no such form; those that are not
+known yet speak neither way, but must not outweigh the known ones. An instance's reliability is that of its best pattern, and
+instances that reach ``confidence`` support further patterns in the next turn. A pattern counts from ``support`` distinct
+reliable instances on. At the end each candidate of a kind's form in the context of a pattern of ``confidence`` is a
+span, without closing punctuation. Candidates that touch a base span are never added again.
 
 Null or empty text: no spans. Rows equal in doc_id and text get equal results. Empty table: no rows.
 """
@@ -32,7 +35,16 @@ PATTERNS = {
 }
 #: A text without a match of the guard has no match of the pattern.
 GUARDS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": r"[0-9][\x20-]?[0-9]", "phone": r"\+[0-9]"}
-TOKEN = r"(?<!\S)\S*[0-9]\S*"
+CANDIDATE = r"(?<!\S)(?:[+(]?[0-9](?:[\x20().:/-]{0,3}+[0-9])*+\S*+|[^\s0-9@]*+[0-9@]\S*+)"
+#: What a candidate without closing punctuation must match to be of a kind's form: careless or incomplete ways to write it.
+FORMS = {
+    "email": r"^[^\s@]+@[^\s@]+$",
+    "ip": r"^[0-9]+(?:[.:-][0-9]+){3}$",
+    "card": r"^(?:[0-9][\x20.:/-]{0,3}){11,18}[0-9]$",
+    "phone": r"^[+(]?(?:[0-9][\x20().:/-]{0,3}){6,14}[0-9]$",
+}
+#: Context words are looked for among so many characters on each side.
+NEAR = 80
 SUPPORT = 5
 CONFIDENCE = 0.8
 ROUNDS = 3
@@ -71,17 +83,17 @@ def _valid(kind: str, v: Column) -> Column:
 
 
 def base_spans(documents: DataFrame) -> DataFrame:
-    """doc_id, key (the text's hash), base (kind number, s, e, v) in order, and tokens (s, e, v, left)."""
+    """doc_id, key (the text's hash), base (kind number, s, e, v) in order, and tokens (s, e, v, patterns)."""
     df = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     none = F.lit(None).cast("array<string>")
     empty = F.expr(f"cast(array() as {_SPAN})")
     names = [*KINDS, "token"]
     for k in names:
-        guard, pattern = GUARDS.get(k, "[0-9]"), PATTERNS.get(k, TOKEN)
+        guard, pattern = GUARDS.get(k, "[0-9@]"), PATTERNS.get(k, CANDIDATE)
         has = F.contains("text", F.lit("@")) if k == "email" else F.col("text").rlike(guard)
         df = df.withColumn(f"m_{k}", F.when(has, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
     for k in names:
-        df = df.withColumn(f"p_{k}", F.when(F.size(f"m_{k}") > 0, F.split("text", PATTERNS.get(k, TOKEN), -1)).otherwise(none))
+        df = df.withColumn(f"p_{k}", F.when(F.size(f"m_{k}") > 0, F.split("text", PATTERNS.get(k, CANDIDATE), -1)).otherwise(none))
     df = df.drop("text")
     for k in names:
         df = df.withColumn(f"s_{k}", F.when(F.size(f"m_{k}") > 0, _places(f"m_{k}", f"p_{k}")).otherwise(empty))
@@ -90,36 +102,56 @@ def base_spans(documents: DataFrame) -> DataFrame:
         return F.transform(good, lambda x: F.struct(F.lit(number).alias("k"), x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v")))
 
     spans = [checked(n, k) for n, k in enumerate(KINDS)]
-    before = lambda i: F.lower(F.coalesce(F.nullif(F.regexp_extract(F.get("p_token", i), r"(\S+)\s*$", 1), F.lit("")), F.lit("#")))
-    tokens = F.transform("s_token", lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), before(i).alias("left")))
+    def word(side: Column, pattern: str) -> Column:
+        return F.lower(F.coalesce(F.nullif(F.regexp_extract(side, pattern, 1), F.lit("")), F.lit("#")))
+
+    def contexts(i: Column) -> Column:
+        left, right = F.right(F.get("p_token", i), F.lit(NEAR)), F.left(F.get("p_token", i + 1), F.lit(NEAR))
+        return F.array(
+            F.concat(F.lit("before:"), word(left, r"(\S++)\s*$")), F.concat(F.lit("two before:"), word(left, r"(\S++\s++\S++)\s*$")), F.concat(F.lit("after:"), word(right, r"^\s*(\S++)"))
+        )
+
+    tokens = F.transform("s_token", lambda x, i: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["v"].alias("v"), contexts(i).alias("patterns")))
     return df.select("doc_id", "key", F.concat(*spans).alias("base"), tokens.alias("tokens"))
 
 
-def _shape(v: Column) -> Column:
-    return F.regexp_replace(F.regexp_replace(F.regexp_replace(v, "[0-9]+", "9"), r"\p{L}+", "a"), r"[.,;:!?]+$", "")
+def _forms(v: Column) -> Column:
+    """The kinds of whose form a candidate is."""
+    return F.array_compact(F.array(*[F.when(v.rlike(FORMS[k]), F.lit(n)) for n, k in enumerate(KINDS)]))
 
 
 def learned_spans(found: DataFrame, scratch: Scratch, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
-    """(doc_id, key, k, s, e): tokens that high-confidence patterns add."""
+    """(doc_id, key, k, s, e): candidates that high-confidence patterns add."""
     touch = F.filter("base", lambda b: (b["s"] < F.col("t.e")) & (b["e"] > F.col("t.s")))
     rows = found.where(F.size("tokens") > 0).select("doc_id", "key", "base", F.explode("tokens").alias("t"))
-    rows = rows.select("doc_id", "key", "t.s", "t.e", "t.v", "t.left", F.get(touch, F.lit(0))["k"].alias("seed"), _shape(F.col("t.v")).alias("shape"))
-    rows = scratch.keep(rows, "instances")
-    seeds = rows.where("seed is not null")
-    good = seeds.groupBy(F.col("seed").alias("k"), "left").agg(F.countDistinct("v").alias("n")).where(F.col("n") >= support).select("k", "left")
-    # The graph: a pattern of a kind, each token value it extracts, and how often.
-    graph = rows.groupBy("left", "v", "seed").agg(F.count("*").alias("n")).join(good, "left")
-    graph = graph.groupBy("k", "left", "v").agg(F.sum("n").alias("n"), F.max(F.coalesce((F.col("seed") == F.col("k")).cast("double"), F.lit(0.0))).alias("r"))
+    rows = rows.select("doc_id", "key", "t.s", F.regexp_replace("t.v", r"[.,;:!?)\]\"']++$", "").alias("v"), "t.patterns", F.get(touch, F.lit(0))["k"].alias("seed"))
+    rows = rows.withColumn("forms", F.when(F.col("seed").isNotNull(), F.array("seed")).otherwise(_forms(F.col("v"))))
+    rows = scratch.keep(rows.withColumn("e", F.col("s") + F.length("v")), "instances")
+    # The graph: a pattern, each instance that it extracts of a kind's form, and how often; and all candidates of a pattern.
+    each = rows.select(F.explode("patterns").alias("pattern"), "v", "seed", "forms")
+    every = each.groupBy("pattern").agg(F.count("*").alias("n_all"))
+    graph = each.select("pattern", "v", "seed", F.explode("forms").alias("k")).groupBy("k", "pattern", "v").agg(F.count("*").alias("n"), F.max(F.col("seed").isNotNull().cast("double")).alias("r"))
+    # Patterns without enough instances of a kind's form can never count, so only the others go on.
+    room = graph.groupBy("k", "pattern").agg(F.count("*").alias("c")).where(F.col("c") >= support).select("k", "pattern")
+    graph = graph.join(room.hint("merge"), ["k", "pattern"]).join(every.hint("merge"), "pattern")
     graph = scratch.keep(graph, "graph")
+
+    def scored(graph: DataFrame) -> DataFrame:
+        known = F.col("r") >= confidence
+        p = graph.groupBy("k", "pattern").agg(
+            F.sum(F.when(known, F.col("n") * F.col("r")).otherwise(0.0)).alias("good"), F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("open"),
+            (F.first("n_all") - F.sum("n")).alias("bad"), F.count_if(known).alias("c"),
+        )
+        return p.where((F.col("c") >= support) & (F.col("good") >= F.col("open"))).select("k", "pattern", (F.col("good") / (F.col("good") + F.col("bad"))).alias("p"))
+
     for _ in range(rounds):
-        pattern = graph.groupBy("k", "left").agg((F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("p"))
-        value = graph.select("k", "left", "v", "n").join(pattern, ["k", "left"]).groupBy("k", "v").agg((F.sum(F.col("n") * F.col("p")) / F.sum("n")).alias("q"))
-        known = graph.groupBy("k", "v").agg(F.max("r").alias("was"))
-        new = known.join(value, ["k", "v"]).select("k", "v", F.when(F.col("was") == 1, 1.0).otherwise(F.col("q")).alias("r"))
-        graph = scratch.keep(graph.drop("r").join(new, ["k", "v"]), "graph")
-    strong = graph.groupBy("k", "left").agg((F.sum(F.col("n") * F.col("r")) / F.sum("n")).alias("p")).where(F.col("p") >= confidence).select("k", "left")
-    shapes = seeds.select(F.col("seed").alias("k"), "left", "shape").distinct().join(strong, ["k", "left"])
-    return rows.where("seed is null").join(shapes, ["left", "shape"]).select("doc_id", "key", "k", "s", "e").distinct()
+        best = graph.join(scored(graph).hint("merge"), ["k", "pattern"]).groupBy("k", "v").agg(F.max("p").alias("q"))
+        graph = graph.join(best.hint("merge"), ["k", "v"], "left").withColumn("r", F.greatest("r", F.coalesce("q", F.lit(0.0)))).drop("q")
+        graph = scratch.keep(graph, "graph")
+    strong = scratch.keep(scored(graph).where(F.col("p") >= confidence).select("k", "pattern"), "strong")
+    new = rows.where("seed is null").select("doc_id", "key", "s", "e", F.explode("forms").alias("k"), "patterns")
+    new = new.select("doc_id", "key", "s", "e", "k", F.explode("patterns").alias("pattern")).join(strong.hint("merge"), ["k", "pattern"])
+    return new.select("doc_id", "key", "k", "s", "e").distinct()
 
 
 def find_personal_data(documents: DataFrame) -> DataFrame:
@@ -129,7 +161,7 @@ def find_personal_data(documents: DataFrame) -> DataFrame:
     more = learned_spans(found, scratch).groupBy("doc_id", "key").agg(F.collect_list(F.struct("k", "s", "e")).alias("more"))
     more = more.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "more")
     plain = F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
-    both = found.join(more, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left").withColumn("base", plain)
+    both = found.join(more.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("key") == F.col("__key")), "left").withColumn("base", plain)
     return both.select("doc_id", "base", F.array_sort(F.concat("base", F.coalesce("more", F.expr("cast(array() as array<struct<k:int,s:int,e:int>>)")))).alias("spans"))
 
 
