@@ -3,8 +3,8 @@
 A document is the set of its distinct 5-word shingles (white-space words, A-Z lower-cased; a text
 of fewer words is one shingle). Two documents are linked if 100 * |A and B| >= 75 * |A or B|.
 
-1. Each distinct set gets a signature of 64 independent minima. Documents of equal sets form a
-   class from the start, and only one representative goes on: a group of exact copies costs one.
+1. Each distinct set gets a signature of 64 independent minima. Rows of equal sets form a
+   class with a number of its own, and only the class goes on: a group of exact copies costs one.
 2. Representatives are posted under their (coordinate, value) pairs. A linked pair agrees in at
    least 32 of 64 coordinates (the chance of fewer, at a similarity of exactly 0.75, is about
    3 in a million), so it must meet among each side's 33 rarest pairs. Only this prefix is
@@ -18,10 +18,11 @@ of fewer words is one shingle). Two documents are linked if 100 * |A and B| >= 7
    that span components get sixteen times the centres, spread by a hash, round by round, until a list is
    in one component or each member has been a centre. So no link is lost, and pairs that are
    joined already are not made.
-5. Links between representatives become components by star contraction.
+5. Links between classes become components by star contraction; each round contracts only the roots known so far.
 
 Null doc_id: the row is returned with its set size, linked with nothing, kept. Null text, or one
-without words: set size 0, linked with nothing. Repeated rows are copies of each other.
+without words: set size 0, linked with nothing. A doc_id in several rows: each row has its own set and is returned by itself;
+its rows with words are linked with one another, as they are one document, whether their texts are equal or not.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coffer.llm.components import components
@@ -58,8 +59,7 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         h = np.zeros((2, len(n)), dtype=U64)
         sig = np.zeros((len(full), COORDINATES), dtype=np.int64)
         if len(full):
-            h[0, full] = np.add.reduceat(mix(values ^ U64(0x51ED270B)), heads)
-            h[1, full] = np.add.reduceat(mix(values * U64(0xD6E8FEB86659FD93)), heads)
+            h[0, full], h[1, full] = _set_keys(values, heads)
             values, buffer = mix(values), np.empty_like(values)
             for k in range(COORDINATES):
                 low = np.minimum.reduceat(np.multiply(values, _A[k], out=buffer), heads)
@@ -72,13 +72,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _set_keys(values: np.ndarray, heads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each set, whatever its order."""
+    return np.add.reduceat(mix(values ^ U64(0x51ED270B)), heads), np.add.reduceat(mix(values * U64(0xD6E8FEB86659FD93)), heads)
+
+
 def _set_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sets of rows (rep, text, h1, h2) whose text is the class's."""
     for part in chunks(batches, "text"):
         values, bounds = _sets(part.column(1))
+        full = np.flatnonzero(np.diff(bounds))
+        if len(full) == 0:
+            continue
+        h1, h2 = (h.view(np.int64) for h in _set_keys(values, bounds[:-1][full]))
+        mine = full[(h1 == part.column(2).to_numpy()[full]) & (h2 == part.column(3).to_numpy()[full])]
         data = values.tobytes()
-        yield pa.RecordBatch.from_arrays(
-            [part.column(0), pa.array([data[8 * a : 8 * b] for a, b in zip(bounds[:-1], bounds[1:], strict=True)], pa.binary())], names=["rep", "shingles"]
-        )
+        shingles = pa.array([data[8 * a : 8 * b] for a, b in zip(bounds[mine].tolist(), bounds[mine + 1].tolist(), strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(mine)), shingles], names=["rep", "shingles"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -109,7 +119,6 @@ class _Linker:
 
     def __init__(self, scratch: Scratch, classes: DataFrame, sets: DataFrame):
         self.scratch, self.sigs, self.sets = scratch, classes.select("rep", "sig"), sets
-        self.links: DataFrame | None = None
         self.roots: DataFrame | None = None
         self.tested: DataFrame | None = None
 
@@ -118,6 +127,21 @@ class _Linker:
             return posts.withColumn("root", F.col("rep"))
         return posts.join(self.roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
+    def absorb(self, links: DataFrame) -> None:
+        """Brings links (a, b) into the components."""
+        if self.roots is not None:
+            old = self.roots
+            for k in "ab":
+                links = links.join(old.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")), k, "left").withColumn(k, F.coalesce(f"r{k}", k)).drop(f"r{k}")
+        new = self.scratch.keep(components(links, self.scratch), "contracted")
+        if self.roots is None:
+            self.roots = new
+        elif not new.isEmpty():
+            moved = old.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            self.roots = self.scratch.keep(moved.unionByName(new.join(old.select("node"), "node", "left_anti")), "roots")
+            self.scratch.drop(old)
+            self.scratch.drop(new)
+
     def step(self, lists: DataFrame, centres: int) -> DataFrame:
         """Meets each member of ``lists`` (rep, n, token, pos, root) with its list's centres of other components
         and returns the lists that still span components."""
@@ -137,13 +161,12 @@ class _Linker:
         full = pairs.where("close").select("a", "b").join(xa, "a").join(xb, "b").select("a", "b", "shinglesa", "shinglesb")
         found = self.scratch.keep(full.mapInArrow(_confirm, "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
         self.tested = pairs.select("a", "b") if self.tested is None else self.tested.unionByName(pairs.select("a", "b"))
-        if self.roots is None or not found.isEmpty():
-            self.links = found if self.links is None else self.links.unionByName(found)
-            self.roots = self.scratch.keep(components(self.links, self.scratch), "roots")
+        self.absorb(found)
         now = self.rooted(lists.drop("root"))
         # A list is done when it lies in one component, or when each of its members was a centre.
         crowd = now.groupBy("token", _slot(centres)).agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         crowd = crowd.groupBy("token").agg(F.max("k").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi and k > 1").select("token")
+        crowd = self.scratch.keep(crowd, "crowd")  # dealt anew by the join, so a hot list can be split over tasks
         return self.scratch.keep(now.join(crowd, "token", "left_semi"), "lists")
 
 
@@ -155,27 +178,21 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     features = scratch.keep(docs.mapInArrow(_features, "doc_id long, n long, h1 long, h2 long, sig array<long>"), "features")
     key = ["h1", "h2", "n"]
     real = features.where("doc_id is not null and n > 0")
-    classes = scratch.keep(real.groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig")), "classes")
+    classes = real.groupBy(*key).agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")).withColumn("rep", F.monotonically_increasing_id())
+    classes = scratch.keep(classes, "classes")
+    repeated = _repeated(features)
 
-    tokens = classes.select("rep", "n", F.explode("sig").alias("token"))
-    common = tokens.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-    ranked = tokens.join(common, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-    room = F.size("t") - (MATCHES - 1)  # what single values leave of the prefix
-    posts = scratch.keep(ranked.where(room > 0).select("rep", "n", F.explode(F.transform(F.slice("t", F.lit(1), room), lambda x: x["token"])).alias("token"), F.lit(0).alias("pos")), "posts")
-    scarce = posts.select(F.col("rep").alias("doc_id")).distinct()
-    sets = docs.join(scarce, "doc_id", "left_semi").mapInArrow(_set_rows, "rep long, shingles binary")
-    sets = scratch.keep(sets.groupBy("rep").agg(F.max("shingles").alias("shingles")) if _repeated(features) else sets, "sets")
+    posts = scratch.keep(_prefix(classes.select("rep", "n", F.explode("sig").alias("token")), scratch, F.lit(MATCHES - 1)).withColumn("pos", F.lit(0)).drop("single", "at"), "posts")
+    scarce = classes.join(posts.select("rep").distinct(), "rep", "left_semi").select("doc", "rep", "h1", "h2")
+    sets = docs.join(scarce, F.col("doc_id") == F.col("doc")).select("rep", "text", "h1", "h2").mapInArrow(_set_rows, "rep long, shingles binary")
+    sets = scratch.keep(sets.groupBy("rep").agg(F.max("shingles").alias("shingles")) if repeated else sets, "sets")
 
     linker = _Linker(scratch, classes, sets)
     left = linker.step(linker.rooted(posts), 1)
     if not left.isEmpty():
         open_ = sets.join(left.select("rep").distinct(), "rep", "left_semi")
         rows = open_.mapInArrow(_shingle_rows, "rep long, n long, token long")
-        common = rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1")
-        ranked = rows.join(common, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
-        room = F.size("t") - F.ceil(F.col("n") * PERCENT / 100) + 1
-        short = F.slice("t", F.lit(1), room.cast("int"))
-        posted = ranked.where(room > 0).select("rep", "n", (F.col("n") - F.size("t")).alias("single"), F.posexplode(F.transform(short, lambda x: x["token"])).alias("at", "token"))
+        posted = _prefix(rows, scratch, F.ceil(F.col("n") * PERCENT / 100).cast("int") - 1)
         posted = posted.select("rep", "n", "token", (F.col("single") + F.col("at")).alias("pos"))
         lists, centres = linker.rooted(scratch.keep(posted, "posts")), 1
         while True:
@@ -183,15 +200,30 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
             if lists.isEmpty():
                 break
             centres *= 16
-    roots = linker.roots
-
-    component = classes.select(*key, "rep").join(roots.withColumnRenamed("node", "rep"), "rep", "left").select(*key, F.coalesce("root", "rep").alias("component_id"))
-    component = component.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), F.col("n").alias("k3"), "component_id")
-    out = features.select("doc_id", "n", "h1", "h2").join(component, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")) & (F.col("n") == F.col("k3")) & F.col("doc_id").isNotNull(), "left")
+    if repeated:
+        rows = real.select(F.col("doc_id"), *key).join(classes.select(*key, "rep"), key)
+        rows = scratch.keep(rows.select("doc_id", "rep").distinct(), "rows")
+        linker.absorb(rows.join(rows.groupBy("doc_id").agg(F.min("rep").alias("a")), "doc_id").select("a", F.col("rep").alias("b")).where("a <> b"))
+
+    member = classes.select(*key, "rep", "doc").join(linker.roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+    least = member.groupBy("root").agg(F.min("doc").alias("component_id"))
+    component = member.join(least, "root").select(*[F.col(k).alias(f"__{k}") for k in key], "component_id")
+    same = [F.col(k) == F.col(f"__{k}") for k in key]
+    out = features.select("doc_id", *key).join(component, same[0] & same[1] & same[2] & F.col("doc_id").isNotNull(), "left")
     root = F.coalesce("component_id", "doc_id")
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
 
+def _prefix(rows: DataFrame, scratch: Scratch, spare: Column) -> DataFrame:
+    """Posts of each rep's rarest tokens, of all that it shares with others but the ``spare`` most common: rep, n, token, its place (at), and
+    the number of tokens it has alone (single), which come before all others."""
+    common = scratch.keep(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "common")  # written, so a hot token can be split
+    ranked = rows.join(common, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    room = F.size("t") - spare
+    short = F.transform(F.slice("t", F.lit(1), room), lambda x: x["token"])
+    return ranked.where(room > 0).select("rep", "n", (F.col("n") - F.size("t")).alias("single"), F.posexplode(short).alias("at", "token"))
+
+
 def _repeated(features: DataFrame) -> bool:
     """Whether some doc_id stands in several rows."""
     return not features.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").isEmpty()
