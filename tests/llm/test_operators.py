@@ -69,6 +69,47 @@ def test_near_duplicates_group_of_partial_links(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def test_near_duplicates_of_one_id_with_two_texts(spark):
+    a, b, c = text(*range(100)), text(*range(200, 300)), text(*range(400, 500))
+    near = lambda t, k: t.rsplit(" ", 1)[0] + f" other{k}"
+    rows = [(1, a), (1, b), (2, near(a, 1)), (3, near(b, 2)), (4, c), (4, c), (6, near(a, 3)), (6, near(c, 4)), (7, near(b, 5))]
+    got = sorted((r["doc_id"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == [(k, 1) for k in (1, 1, 2, 3, 4, 4, 6, 6, 7)]  # 6 links the components of its two texts
+
+
+def lines_kept(rows, run=3):
+    """Plain Python: lines in no run of three that stands earlier."""
+    docs, first, out = sorted((i, t.split("\n")) for i, t in rows), set(), {}
+    for i, lines in docs:
+        gone = set()
+        for k in range(len(lines) - run + 1):
+            window = tuple(lines[k : k + run])
+            if window in first:
+                gone |= set(range(k, k + run))
+            first.add(window)
+        out[i] = "\n".join(x for k, x in enumerate(lines) if k not in gone)
+    return out
+
+
+def test_line_dedup_equals_plain_python(spark):
+    """Few different lines, so that fingerprints are shared by many places in many contexts."""
+    rng = np.random.default_rng(3)
+    rows = [(int(k), "\n".join("abcdefgh"[x] for x in rng.integers(0, 2 + k % 7, rng.integers(1, 40)))) for k in range(150)]
+    rows += [(1000, "\n".join(["same"] * 30)), (1001, "\n".join(["same"] * 9)), (1002, "\n\n\n\n\n"), (1003, "u\n\n\n\nv")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r["doc_id"]: r["text"] for r in line_dedup.remove_repeated_lines(df).collect()} == lines_kept(rows)
+    marks = line_dedup.fingerprints(df)
+    assert marks.count() < 0.8 * sum(max(0, t.count("\n") - 1) for _, t in rows)  # selected, not all runs
+
+
+def test_line_dedup_needs_its_fingerprints(spark, monkeypatch):
+    rows = [(1, "a\nb\nc\nd"), (2, "x\nb\nc\nd")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    real = line_dedup.fingerprints
+    monkeypatch.setattr(line_dedup, "fingerprints", lambda d, run=3: real(d, run).withColumn("mark", F.monotonically_increasing_id()))
+    assert {r["doc_id"]: r["text"] for r in line_dedup.remove_repeated_lines(df).collect()} == dict(rows)
+
+
 def test_line_dedup(docs, empty):
     got = {r["doc_id"]: r for r in line_dedup.remove_repeated_lines(docs).collect()}
     assert got[11]["text"] == "x\ny" and got[11]["__n_removed"] == 3 and got[11]["n"] == "clash n"
@@ -110,6 +151,24 @@ def test_top_k_of_large_components(spark):
     assert got == sorted(want)
 
 
+def test_top_k_of_repeated_rows_ragged_lengths_and_blocks(spark):
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(12, 8)) * 4
+    x = [(centres[k % 12] + rng.normal(size=8) * 0.1)[: 8 if k % 10 else 5].round(3).tolist() for k in range(1200)]
+    rows = [(k, v) for k, v in enumerate(x)] + [(40, x[40]), (41, x[41])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").withColumns({"pivot": F.lit("clash"), "score": F.lit("clash"), "block": F.lit(1)})
+    v = [(k, [int(np.floor(64 * e)) for e in vec] + [0] * (8 - len(vec))) for k, vec in rows]
+    want = []
+    for i, q in v:
+        if i % 20 == 0:
+            s = sorted((-sum(a * b for a, b in zip(q, c, strict=True)), k) for k, c in v if k != i)
+            want += [(i, n, k, -score) for n, (score, k) in enumerate(s[:20], 1)]
+    scored = spark.sparkContext.accumulator(0)
+    for queries in (16, 8192):
+        assert sorted(tuple(r) for r in topk.top_k(df, queries=queries, scored=scored).collect()) == sorted(want)
+    assert 0 < scored.value < 2 * 0.5 * 61 * 1202  # the bounds leave out most products of clustered vectors
+
+
 def test_passages(spark, docs, empty):
     body = list(range(5000, 5070))
     near = [*body[:30], 9999, *body[31:]]
@@ -162,6 +221,26 @@ def test_bootstrap_learns_a_context(spark):
     assert got[100] == "ip:10:19" and got[101] == ""
 
 
+def test_bootstrap_finds_planted_identifiers(spark):
+    """Seeds in contexts of their own, unseen forms in the same contexts, and the same forms elsewhere."""
+    rng = np.random.default_rng(4)
+    some = lambda: " ".join(f"{WORDS[k]}" for k in rng.integers(0, 10, 6)).replace("w", "v").translate(str.maketrans("0123456789", "abcdefghij"))
+    phone = lambda: f"({rng.integers(200, 999)}) 555-{rng.integers(1000, 9999)}"
+    rows = [(k, f"{some()} call +1 {phone()} soon {some()}") for k in range(30)] + [(100 + k, f"{some()} write jane{chr(97 + k % 26)}{chr(97 + k // 9)}@mail.example.com {some()}") for k in range(30)]
+    rows += [(200 + k, f"{some()} serial {k + 100} {some()}") for k in range(30)]
+    planted = [(300 + k, f"{some()} call {phone()} soon {some()}", "phone") for k in range(10)] + [(320 + k, f"{some()} write bob{chr(97 + k)}@intranet. {some()}", "email") for k in range(10)]
+    decoys = [(400 + k, f"{some()} serial {phone()} {some()}") for k in range(5)] + [(420 + k, f"{some()} call {k} times {some()}") for k in range(5)]
+    df = spark.createDataFrame(rows + [p[:2] for p in planted] + decoys, "doc_id long, text string")
+    got = {r["doc_id"]: r for r in pii.digest(pii.find_personal_data(df)).collect()}
+    texts = {p[0]: p[1] for p in planted}
+    assert all(got[i]["spans"].split(":")[0] == kind for i, _, kind in planted)
+    for i, t in texts.items():
+        _, s, e = got[i]["spans"].split(":")
+        assert t[int(s) : int(e)] == (re.search(r"\([0-9]+\) 555-[0-9]+", t) or re.search(r"bob\w+@intranet", t))[0]
+    assert all(got[i]["spans"] == "" for i, _ in decoys) and all(got[i]["spans"] == "" for i in range(200, 230))
+    assert all(got[i]["base_sha256"] == hashlib.sha256(b"").hexdigest() for i in texts)
+
+
 def test_language(spark, docs, empty):
     d = spark.read.parquet(f"{DATA}/documents.parquet")
     got = langid.predict_languages(d).join(d.select("doc_id", "lang"), "doc_id").where("held_out").collect()
@@ -172,6 +251,49 @@ def test_language(spark, docs, empty):
     assert langid.predict_languages(empty).count() == 0
 
 
+def test_language_keeps_what_it_knows(spark):
+    d = spark.read.parquet(f"{DATA}/documents.parquet")
+    model = langid.fit(d, Scratch(spark, "t"))
+    odd = spark.createDataFrame([(-1, "日本語のテキスト"), (-2, "xqzvkj qqxzj zzkqx wvxqj"), (-3, None), (-4, "123 456")], "doc_id long, text string")
+    kept = {r["doc_id"] for r in langid.keep_identified(d.select("doc_id", "text").unionByName(odd), model).collect()}
+    letters = {r["doc_id"] for r in d.collect() if any(c.isalpha() for c in r["text"] or "")}
+    assert not kept & {-1, -2, -3, -4} and len(letters - kept) <= 0.02 * len(letters)
+
+
+def test_language_equals_plain_python(spark):
+    """The backoff score by dictionaries, on texts with known and unseen words."""
+    import math
+    from collections import Counter
+
+    rows = [(k, ["ab abc zu", "über das haus ab", "the house of abc"][k % 3], ["de", "de", "en"][k % 3]) for k in range(1, 40)] + [(1000, "abd hausen theory xyz ABC", None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    train = [r for r in rows if r[2] and zlib.crc32(str(r[0]).encode()) % 5]
+    counts = {(lang, n): Counter() for lang in ("de", "en") for n in range(6)}
+    for _, t, lang in train:
+        for w in t.lower().split():
+            counts[lang, 0][w] += 1
+            for n in range(1, 6):
+                for k in range(len(w) - n + 1):
+                    counts[lang, n][w[k : k + n]] += 1
+    types = {n: max(len(counts[x, n]) for x in ("de", "en")) for n in range(6)}
+    log = lambda lang, n, x: math.log((counts[lang, n][x] + 0.5) / (sum(counts[lang, n].values()) + 0.5 * (types[n] + 1)))
+
+    def score(w, lang):
+        for n in (0, 5, 4, 3, 2, 1):
+            parts = [w] if n == 0 else [w[k : k + n] for k in range(len(w) - n + 1)]
+            known = [x for x in parts if any(counts[y, n][x] for y in ("de", "en"))]
+            if known:
+                return sum(log(lang, n, x) for x in known) / len(known)
+        return 0.0
+
+    got = {r["doc_id"]: r for r in langid.predict_languages(df).collect()}
+    for i, t, _ in rows:
+        total = {x: sum(score(w, x) for w in t.lower().split()) for x in ("de", "en")}
+        best = max(sorted(total), key=total.get)
+        assert got[i]["lang_pred"] == best
+        assert abs(got[i]["score"] - 1 / sum(math.exp(total[x] - total[best]) for x in total)) < 1e-4
+
+
 def test_decontamination(spark, docs, empty):
     items = [("a", text(*range(20))), ("b", "one two"), ("c", None), ("d", ""), ("e", text(*range(7000, 7020)))]
     bench = spark.createDataFrame(items, "item_id string, text string")
@@ -181,6 +303,9 @@ def test_decontamination(spark, docs, empty):
         assert (got[8]["n_hit"], got[8]["items"]) == (2, ["b"]) and got[9]["n_hit"] == 20 and not got[9]["contaminated"]
         assert (got[4]["n_words"], got[4]["n_hit"], got[4]["contaminated"]) == (0, 0, False)
         assert [tuple(s) for s in got[1]["spans"]] == [(0, 20)]
+        assert {r["doc_id"] for r in decontam.keep_clean(docs, bench, block).collect()} == {r["doc_id"] for r in got.values() if not r["contaminated"]}
+    one, many = (sorted(map(str, decontam.decontaminate(docs, bench, b).collect())) for b in (1 << 20, 30))
+    assert one == many
     assert decontam.decontaminate(docs, bench.where("false")).where("n_hit > 0").count() == 0
     assert decontam.decontaminate(empty, bench).count() == 0
 
@@ -275,6 +400,55 @@ def test_licences(spark):
     assert licenses.scan_licences(df.where("false")).count() == 0
 
 
+def test_licences_equal_plain_cosine(spark):
+    """Units, TF-IDF and cosine by dictionaries, over wrapped headers, long lines and prose."""
+    import math
+
+    word = re.compile("[0-9A-Za-z\x80-\U0010ffff]+")
+    templates = [(n, word.findall(t.lower())) for n in sorted(licenses.TEMPLATES) for t in licenses.TEMPLATES[n]]
+    df = {}
+    for _, ws in templates:
+        for w in set(ws):
+            df[w] = df.get(w, 0) + 1
+    idf = lambda w: 1 + math.log(len(templates) / df[w]) if w in df else 1 + math.log(len(templates))
+
+    def vector(ws):
+        return {w: ws.count(w) * idf(w) for w in set(ws)}
+
+    def best(t):
+        lines = t.split("\n")
+        blocks = [b for b in re.split(r"\n(?:[^0-9A-Za-z\x80-\U0010ffff\n]*\n)+", t)]
+        found = []
+        for unit in [*lines, *blocks, t]:
+            v = vector(word.findall(unit.lower()))
+            for n, ws in templates:
+                u = vector(ws)
+                dot = sum(x * u.get(w, 0) for w, x in v.items())
+                if v:
+                    found.append((round(dot / math.sqrt(sum(x * x for x in v.values()) * sum(x * x for x in u.values())), 6), n))
+        top = max((s for s, _ in found), default=0)
+        return (min(n for s, n in found if s == top), top) if top >= licenses.LEAST else (None, None)
+
+    mpl = "// This Source Code Form is subject to the terms of the Mozilla Public\n// License, v. 2.0. If a copy of the MPL was not distributed with this\n// file, You can obtain one at https://mozilla.org/MPL/2.0/."
+    bsd = licenses.TEMPLATES["BSD-3-Clause"][2]
+    texts = [mpl, mpl + "\n\n" + text(*range(300)), text(*range(50)) + "\n" + mpl, bsd.replace(". ", ".\n"), "the MIT license\n", "BSD 3-Clause License", "version 2.0", "see the license", text(*range(500)), "", "\n\n",
+             "Released under the MIT License. " * 200, "license " * 1000, licenses.TEMPLATES["GPL-3.0"][2], " ".join(licenses.TEMPLATES["MIT"]), "All rights reserved.\nx", "naïve 日本 license"]
+    rows = [(k, f"d{k}/f", t) for k, t in enumerate(texts)]
+    got = {r["file_id"]: (r["own"], r["score"]) for r in licenses.own_licences(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    for k, t in enumerate(texts):
+        name, score = best(t)
+        assert got[k][0] == name and (name is None or abs(got[k][1] - score) < 1e-5), t[:60]
+    assert got[0][0] == got[1][0] == got[2][0] == "MPL-2.0" and got[3][0] == got[5][0] == "BSD-3-Clause" and got[11][0] == "MIT" and got[6][0] is None
+
+
+def test_licences_of_deep_paths_and_clashing_columns(spark):
+    deep = "/".join(f"d{k}" for k in range(60))
+    rows = [(1, "LICENSE", "Released under the MIT License."), (2, deep + "/x.py", "code"), (3, deep + "/y.py", "a" * 50000 + " code" * 3000), (4, "d0/COPYING", "Licensed under CC BY 4.0."), (5, "d0/COPYING", "Licensed under CC BY-SA 4.0.")]
+    df = spark.createDataFrame(rows, "file_id long, path string, text string").withColumns({c: F.lit(1) for c in ("own", "dir", "d", "row_key", "n")})
+    got = {r["file_id"]: (r["licence"], r["inherited_from"]) for r in licenses.scan_licences(df).collect()}
+    assert got[2] == got[3] == ("CC-BY-4.0", "d0") and got[1] == ("MIT", None)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
