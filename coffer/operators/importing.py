@@ -35,9 +35,10 @@ def checked(raw: DataFrame) -> DataFrame:
 
 
 def type_conflicts(clean: DataFrame) -> DataFrame:
-    """Rows whose type differs from the first typed row of their account."""
-    first = F.first_value("account_type", True).over(Window.partitionBy("account_key").orderBy("row").rowsBetween(Window.unboundedPreceding, 0))
-    return clean.where("account_type is not null").withColumn("first_type", first).where("account_type <> first_type")
+    """Rows whose type differs from the first typed row of their account. The firsts are a map-side aggregate."""
+    typed = clean.where("account_type is not null")
+    first = typed.groupBy("account_key").agg(F.min_by("account_type", "row").alias("first_type"))
+    return typed.join(first, "account_key").where("account_type <> first_type")
 
 
 def ledger_type_conflicts(clean: DataFrame, accounts: DataFrame) -> DataFrame:
@@ -98,6 +99,42 @@ def ledger_matches(rows: DataFrame, ledger: DataFrame) -> DataFrame:
     return both.withColumns({"matched_txn_id": F.col("m.txn_id"), "matched_import_id": F.col("m.import_id")}).drop("m")
 
 
+def account_counters(batch: DataFrame, new: DataFrame) -> DataFrame:
+    """Per account of an import: rows read, inserted (those in ``new``) and deduped."""
+    each = batch.select("row", "account_key").join(new.select("row", F.lit(1).alias("is_new")), "row", "left")
+    per = each.groupBy("account_key").agg(F.count("*").alias("rows_read"), F.count("is_new").alias("inserted"))
+    return per.withColumn("deduped", F.col("rows_read") - F.col("inserted"))
+
+
+def upsert_accounts(accounts: DataFrame, clean: DataFrame, stamp: str) -> DataFrame:
+    """The accounts after an import: its first type of an account counts where none was known, and touched ones get a new time."""
+    new = clean.groupBy("account_key").agg(F.min_by("account_type", F.when(F.col("account_type").isNotNull(), F.col("row"))).alias("new_type"))
+    blank = lambda c: F.nullif(F.trim(c), F.lit(""))
+    both = accounts.join(new.withColumn("touched", F.lit(True)), "account_key", "full_outer")
+    return both.select(
+        "account_key", F.coalesce(blank("account_type"), blank("new_type")).alias("account_type"), F.coalesce("created_at", F.lit(stamp)).alias("created_at"),
+        F.when(F.col("touched"), F.lit(stamp)).otherwise(F.col("updated_at")).alias("updated_at"),
+    )
+
+
+def open_candidates(candidates: DataFrame, runs: DataFrame) -> DataFrame:
+    """Suppressed candidates of committed imports that no ledger row stands for yet."""
+    return candidates.where("promoted_txn_id is null").join(runs.where("status = 'committed'").select("import_id"), "import_id", "left_semi")
+
+
+def accounts_of(ledger: DataFrame, stamp: str) -> DataFrame:
+    """An untyped account for each key that a history of transactions names."""
+    keys = ledger.where("trim(account_key) <> ''").select("account_key").distinct()
+    return keys.select("account_key", F.lit(None).cast("string").alias("account_type"), F.lit(stamp).alias("created_at"), F.lit(stamp).alias("updated_at"))
+
+
+def history_stats(ledger: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Counters per import and account from a history: its transactions were inserted, its candidates suppressed."""
+    each = ledger.select("import_id", "account_key", F.lit(1).alias("i")).unionByName(candidates.select("import_id", "account_key", F.lit(0).alias("i")))
+    per = each.groupBy("import_id", "account_key").agg(F.count("*").alias("rows_read"), F.sum("i").alias("inserted"))
+    return per.withColumn("deduped", F.col("rows_read") - F.col("inserted"))
+
+
 def promotions(removed: DataFrame, candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     """Suppressed candidates that take the place of removed rows: per key at most as many as were removed, in
     order of creation, row, reason and id, all of one scope that the remaining ledger allows. Keys with an external id

@@ -88,14 +88,31 @@ def sign_anomalies(incoming: DataFrame, history: DataFrame) -> DataFrame:
 
 
 def drift_warnings(incoming: DataFrame, history: DataFrame) -> DataFrame:
-    """code, severity, property, incoming_value, suggestions of all warnings."""
+    """code, severity, property, incoming_value, message, suggestions of all warnings."""
     none = F.expr("cast(array() as array<string>)")
-    unseen = unseen_values(incoming, history)
+    value = F.concat(F.lit("`"), F.col("incoming_value"), F.lit("`"))
+    percent = lambda c: F.format_string("%.2f", F.col(c) * 100)
+
+    def warnings(df: DataFrame, code, severity, prop, message, suggestions) -> DataFrame:
+        return df.select(code.alias("code"), severity.alias("severity"), prop.alias("property"), "incoming_value", message.alias("message"), suggestions.alias("suggestions"))
+
+    unseen = unseen_values(incoming, history).withColumnRenamed("value", "incoming_value")
     severity = F.when(F.col("property") == "account_key", "high").otherwise("medium")
-    a = unseen.select(F.concat("property", F.lit("_unseen")).alias("code"), severity.alias("severity"), "property", F.col("value").alias("incoming_value"), none.alias("suggestions"))
-    row = lambda df, code, value, s: df.select(F.lit(code).alias("code"), F.lit("high").alias("severity"), F.lit("account_key").alias("property"), F.col(value).alias("incoming_value"), s.alias("suggestions"))
-    return a.unionByName(row(nearest_keys(incoming, history), "account_key_possible_typo", "value", F.col("suggestions"))).unionByName(row(sign_anomalies(incoming, history), "account_sign_profile_anomaly", "account_key", none))
+    new = warnings(unseen, F.concat("property", F.lit("_unseen")), severity, F.col("property"), F.concat(F.lit("The ledger has no "), F.col("property"), F.lit(" "), value, F.lit(" yet.")), none)
+    near = nearest_keys(incoming, history).withColumnRenamed("value", "incoming_value")
+    typo = warnings(near, F.lit("account_key_possible_typo"), F.lit("high"), F.lit("account_key"), F.concat(F.lit("The account_key "), value, F.lit(" is close to one that the ledger has.")), F.col("suggestions"))
+    shifted = sign_anomalies(incoming, history).withColumnRenamed("account_key", "incoming_value")
+    text = F.concat(F.lit("The share of negative amounts of "), value, F.lit(" moves by "), percent("shift"), F.lit(" points, from "), percent("historical_ratio"), F.lit(" to "), percent("incoming_ratio"), F.lit(" percent."))
+    signs = warnings(shifted, F.lit("account_sign_profile_anomaly"), F.lit("high"), F.lit("account_key"), text, none)
+    return new.unionByName(typo).unionByName(signs)
 
 
 def order_warnings(df: DataFrame) -> DataFrame:
     return df.orderBy(F.when(F.col("severity") == "high", 0).otherwise(1), "property", "incoming_value", "code")
+
+
+def import_accounts(stats: DataFrame, accounts: DataFrame) -> DataFrame:
+    """Per import its accounts with their types and counters, in order of their keys."""
+    each = stats.join(accounts.select("account_key", "account_type"), "account_key", "left")
+    row = F.struct("account_key", "account_type", "rows_read", "inserted", "deduped")
+    return each.groupBy("import_id").agg(F.array_sort(F.collect_list(row)).alias("accounts"))

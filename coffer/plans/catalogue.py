@@ -154,7 +154,6 @@ _add("duplicates_live_pointer", lambda c, l: live_pointers(c, l).select("candida
      select candidate_id, min(l.txn_id), arg_min(l.import_id, l.txn_id) from c join l using ({_K}) where c.external_id is null and c.dedupe_scope_id <> l.dedupe_scope_id group by 1)
      select c.candidate_id, coalesce(p.txn_id, d.txn_id, case when dedupe_reason = 'existing_ledger' then x.t end) as matched_txn_id, coalesce(p.import_id, d.import_id, case when dedupe_reason = 'existing_ledger' then x.m end) as matched_import_id, c.matched_txn_id as matched_txn_id_at_dedupe
      from c left join l p on p.txn_id = c.promoted_txn_id left join l d on d.txn_id = c.matched_txn_id left join x using (candidate_id)""", {"c": _CAND2, "l": _OLD})
-_add("import_account_stats", lambda t, a: t.groupBy("import_id", "account_key").agg(F.count("*").alias("rows_read")).join(a, "account_key", "left").select("import_id", "account_key", "account_type", "rows_read"), [TX, ACCOUNTS], "select import_id, account_key, a.account_type, count(*) as rows_read from tx left join a using (account_key) group by all", {"tx": TX, "a": ACCOUNTS})
 _REMOVED = TX + " where l_orderkey % 4 = 0"
 _REST = TX + " where l_orderkey % 4 = 2"
 _POOL = _CAND.replace("case when row % 10 = 1 then txn_id end", "cast(null as string)") + " c"
@@ -225,15 +224,22 @@ def _guarded(sql: str) -> Query:
     return lambda spark, sf_dir: sqlguard.query(spark, {k: load(spark, sf_dir, v) for k, v in _V1.items()}, sql)
 
 
+def _sql_over_views(sql: str) -> str:
+    ctes = ", ".join(f"{k} as ({v})" for k, v in _V1.items())
+    return f"with {ctes}, {sql.removeprefix('with ')}" if sql.startswith("with ") else f"with {ctes} {sql}"
+
+
 for _name, _sql in _GUARDED.items():
-    _QUERIES[_name] = _guarded(_sql)
-    _ctes = ", ".join(f"{k} as ({v})" for k, v in _V1.items())
-    _SQL[_name] = f"with {_ctes}, {_sql.removeprefix('with ')}" if _sql.startswith("with ") else f"with {_ctes} {_sql}"
+    _QUERIES[_name], _SQL[_name] = _guarded(_sql), _sql_over_views(_sql)
 
 
 def queries() -> dict[str, Query]:
+    from coffer.plans import catalogue_import  # noqa: F401  (adds its own)
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from coffer.plans import catalogue_import  # noqa: F401
+
     return dict(_SQL)

@@ -1,18 +1,15 @@
-"""The ledger: versioned Parquet snapshots, published by one atomic pointer.
+"""The ledger: versioned Parquet tables, published by one atomic pointer.
 
-Each commit or undo writes the tables that it changes under a new version and then replaces
-``CURRENT``, so a failure before that leaves the old state whole. One writer at a time holds a lock file.
-The root is a folder that driver and executors share.
+Each commit or undo writes what it changes under a new version and then replaces ``CURRENT``, so a failure before
+that leaves the old state whole. An import appends: the pointer lists the folders that make up a table, and only the
+new rows are written; many small folders are put together now and then. One writer at a time holds a
+lock. The root is a folder that driver and executors share, on any Hadoop file system.
 """
 
 from __future__ import annotations
 
 import json
-import os
 import time
-import uuid
-from contextlib import contextmanager
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -21,7 +18,8 @@ from coffer.errors import CofferError
 from coffer.operators import importing as imp
 from coffer.operators import intelligence as intel
 from coffer.operators import profile
-from coffer.plans.sqlguard import VIEWS, query, rows
+from coffer.plans.sqlguard import VIEWS, query, resolve_sql, rows
+from coffer.plans.storage import Files
 from coffer.sources.readers import frame, read_source
 
 TABLES = {
@@ -34,54 +32,60 @@ TABLES = {
     "anomalies": "txn_id string, account_key string, posted_at date, merchant string, amount double, currency string, reason_code string, reason string, score double, severity string",
 }
 PREVIEW = 50
+#: Folders of a table beyond which they are put together.
+MOST_PARTS = 64
 
 
 class Ledger:
     def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, Path(root)
-        self.root.mkdir(parents=True, exist_ok=True, mode=0o700)
+        self.spark, self.files = spark, Files(spark, root)
 
     # Storage
 
-    def _current(self) -> dict[str, str]:
+    def _current(self) -> dict[str, list[str]]:
+        text = self.files.read("CURRENT")
         try:
-            return json.loads((self.root / "CURRENT").read_text())
-        except FileNotFoundError:
-            return {}
+            return {} if text is None else json.loads(text)
         except ValueError as e:
             raise CofferError("ledger_corrupt", "CURRENT can't be read.") from e
 
-    def table(self, name: str) -> DataFrame:
-        path = self._current().get(name)
-        return self.spark.read.schema(TABLES[name]).parquet(str(self.root / path)) if path else self.spark.createDataFrame([], TABLES[name])
+    def _read(self, name: str, parts: list[str]) -> DataFrame:
+        if not parts:
+            return self.spark.createDataFrame([], TABLES[name])
+        return self.spark.read.schema(TABLES[name]).parquet(*[self.files.path(p) for p in parts])
 
-    @contextmanager
-    def _lock(self):
-        try:
-            fd = os.open(self.root / "LOCK", os.O_CREAT | os.O_EXCL | os.O_WRONLY)
-        except FileExistsError as e:
-            raise CofferError("ledger_locked", "Another writer holds the ledger.") from e
-        try:
-            yield
-        finally:
-            os.close(fd)
-            os.unlink(self.root / "LOCK")
+    def table(self, name: str) -> DataFrame:
+        return self._read(name, self._current().get(name, []))
 
-    def _publish(self, changed: dict[str, DataFrame]) -> None:
-        """Writes the changed tables, then both detectors over the new transactions, then the pointer."""
+    def _publish(self, owner: str, new: dict[str, DataFrame] | None = None, changed: dict[str, DataFrame] | None = None) -> None:
+        """Writes the new rows and the changed tables, then both detectors over all transactions, then the pointer."""
         version, pointer = f"v{time.time_ns()}", self._current()
-        for name, df in changed.items():
-            columns = [c.split()[0] for c in TABLES[name].split(", ")]
-            df.select(*columns).write.parquet(str(self.root / version / name))
-            pointer[name] = f"{version}/{name}"
-        path = pointer.get("transactions")
-        ledger = self.spark.read.schema(TABLES["transactions"]).parquet(str(self.root / path)) if path else self.table("transactions")
-        intel.recurring(ledger).select(*intel.RECURRING_COLUMNS).write.parquet(str(self.root / version / "recurring"))
-        intel.anomalies(ledger).write.parquet(str(self.root / version / "anomalies"))
-        pointer |= {"recurring": f"{version}/recurring", "anomalies": f"{version}/anomalies"}
-        temporary = self.root / f"CURRENT.{uuid.uuid4().hex}"
-        temporary.write_text(json.dumps(pointer))
-        os.replace(temporary, self.root / "CURRENT")
+
+        def write(name: str, df: DataFrame) -> str:
+            df.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.parquet(self.files.path(f"{version}/{name}"))
+            return f"{version}/{name}"
+
+        for name, df in (new or {}).items():
+            parts = pointer.get(name, [])
+            pointer[name] = [*parts, write(name, df)] if len(parts) < MOST_PARTS else [write(name, self._read(name, parts).unionByName(df))]
+        for name, df in (changed or {}).items():
+            pointer[name] = [write(name, df)]
+        ledger = self._read("transactions", pointer.get("transactions", []))
+        pointer |= {"recurring": [write("recurring", intel.recurring(ledger))], "anomalies": [write("anomalies", intel.anomalies(ledger))]}
+        self.files.check(owner)
+        self.files.replace("CURRENT", json.dumps(pointer))
+
+    def backfill(self) -> dict:
+        """Accounts and per-import counters of a ledger that has transactions and candidates but not those, from its history."""
+        stamp = str(time.time_ns() // 10**9)
+        with self.files.lock() as owner:
+            ledger, candidates = self.table("transactions"), self.table("candidates")
+            held = self.table("accounts")
+            accounts = held.unionByName(imp.accounts_of(ledger, stamp).join(held.select("account_key"), "account_key", "left_anti"))
+            stats = imp.history_stats(ledger, candidates)
+            kept = self.table("stats").join(stats, ["import_id", "account_key"], "left_anti")
+            self._publish(owner, changed={"accounts": accounts, "stats": kept.unionByName(stats)})
+        return {"accounts": self.table("accounts").count(), "stats": self.table("stats").count()}
 
     # Import
 
@@ -89,7 +93,7 @@ class Ledger:
         raw, kind, ref = (frame(df), "dataframe", None) if df is not None else read_source(self.spark, path, stdin)
         now = time.time_ns()
         import_id, stamp = f"imp_{now:020d}", str(now // 10**9)
-        with self._lock():
+        with self.files.lock() as owner:
             ledger, accounts = self.table("transactions"), self.table("accounts")
             clean, issues = imp.validate(raw, import_id)
             found = [r.asDict() for r in issues.orderBy("row", "field").collect()]
@@ -113,15 +117,12 @@ class Ledger:
                 return result | {"import_id": None, "warnings": [r.asDict() for r in warnings], "inventory": [r.asDict() for r in profile.key_counts(history).collect()]}
             txn = F.concat(F.lit(f"txn_{now:020d}_"), F.lpad(F.col("row").cast("string"), 12, "0"))
             rows_ = new.withColumns({"txn_id": txn, "import_id": F.lit(import_id)})
-            per = batch.select("row", "account_key").join(new.select("row", F.lit(1).alias("is_new")), "row", "left").groupBy("account_key")
-            stats = per.agg(F.count("*").alias("rows_read"), F.count("is_new").alias("inserted")).select(F.lit(import_id).alias("import_id"), "account_key", "rows_read", "inserted", (F.col("rows_read") - F.col("inserted")).alias("deduped"))
+            stats = imp.account_counters(batch, new).withColumn("import_id", F.lit(import_id))
             run = self.spark.createDataFrame([(import_id, "committed", stamp, stamp, None, n_read, n_read, 0, n_new, n_read - n_new, kind, ref)], TABLES["import_runs"])
-            columns = ledger.columns
-            self._publish({
-                "transactions": ledger.unionByName(rows_.select(*columns)), "accounts": self._upsert(accounts, clean, stamp), "stats": self.table("stats").unionByName(stats),
-                "import_runs": self.table("import_runs").unionByName(run), "candidates": self.table("candidates").unionByName(repeats),
-            })
-        return result
+            self._publish(
+                owner, {"transactions": rows_.select(*ledger.columns), "stats": stats, "import_runs": run, "candidates": repeats}, {"accounts": imp.upsert_accounts(accounts, clean, stamp)}
+            )
+        return result | {"ledger_accounts": self.accounts()}
 
     @staticmethod
     def _duplicates(batch: DataFrame, matched: DataFrame, import_id: str, stamp: str) -> DataFrame:
@@ -131,16 +132,9 @@ class Ledger:
         b = matched.where("matched_txn_id is not null").select("row", *fields, F.lit("existing_ledger").alias("dedupe_reason"), "matched_txn_id", "matched_import_id", F.lit(None).cast("long").alias("matched_batch_row_index"))
         return a.unionByName(b).select(F.concat(F.lit(f"dup_{import_id}_"), F.lpad(F.col("row").cast("string"), 12, "0")).alias("candidate_id"), F.lit(import_id).alias("import_id"), *fields, F.col("row").alias("source_row_index"), "dedupe_reason", "matched_txn_id", "matched_import_id", "matched_batch_row_index", F.lit(stamp).alias("created_at"), null.alias("promoted_txn_id"))
 
-    @staticmethod
-    def _upsert(accounts: DataFrame, clean: DataFrame, stamp: str) -> DataFrame:
-        new = clean.groupBy("account_key").agg(F.min_by("account_type", F.when(F.col("account_type").isNotNull(), F.col("row"))).alias("new_type"))
-        blank = lambda c: F.nullif(F.trim(c), F.lit(""))
-        both = accounts.join(new.withColumn("touched", F.lit(True)), "account_key", "full_outer")
-        return both.select("account_key", F.coalesce(blank("account_type"), blank("new_type")).alias("account_type"), F.coalesce("created_at", F.lit(stamp)).alias("created_at"), F.when(F.col("touched"), F.lit(stamp)).otherwise(F.col("updated_at")).alias("updated_at"))
-
     def undo(self, import_id: str) -> dict:
         now = time.time_ns()
-        with self._lock():
+        with self.files.lock() as owner:
             runs = self.table("import_runs")
             status = [r["status"] for r in runs.where(F.col("import_id") == import_id).collect()]
             if not status:
@@ -152,26 +146,25 @@ class Ledger:
             removed, rest = ledger.where(mine), ledger.where(~mine)
             runs = runs.withColumn("status", F.when(mine, "reverted").otherwise(F.col("status"))).withColumn("reverted_at", F.when(mine, F.lit(str(now // 10**9))).otherwise(F.col("reverted_at")))
             dead = candidates.withColumn("promoted_txn_id", F.when(mine & F.col("promoted_txn_id").isNull(), "__invalid__").otherwise(F.col("promoted_txn_id")))
-            committed = runs.where("status = 'committed'").select("import_id")
-            chosen = imp.promotions(removed, dead.join(committed, "import_id", "left_semi"), rest)
+            chosen = imp.promotions(removed, imp.open_candidates(dead, runs), rest)
             chosen = chosen.withColumn("txn_id", F.concat(F.lit(f"txn_{now:020d}_"), "candidate_id"))
             after = rest.unionByName(chosen.select(*ledger.columns))
             dead = dead.join(chosen.select("candidate_id", F.col("txn_id").alias("new_txn")), "candidate_id", "left").withColumn("promoted_txn_id", F.coalesce("new_txn", "promoted_txn_id"))
             touched = self.table("stats").where(mine).select("account_key").distinct()
             gone = touched.join(after.select("account_key"), "account_key", "left_anti")
             counts = {"rows_reverted": removed.count(), "rows_promoted": chosen.count()}
-            self._publish({"transactions": after, "import_runs": runs, "candidates": dead, "accounts": accounts.join(gone, "account_key", "left_anti")})
+            self._publish(owner, changed={"transactions": after, "import_runs": runs, "candidates": dead, "accounts": accounts.join(gone, "account_key", "left_anti")})
         return {"import_id": import_id, **counts, "intelligence_refreshed": True}
 
     def refresh(self) -> dict:
-        with self._lock():
-            self._publish({})
+        with self.files.lock() as owner:
+            self._publish(owner)
         return {"recurring": self.table("recurring").count(), "anomalies": self.table("anomalies").count()}
 
     # Reads
 
     def imports(self) -> DataFrame:
-        per = self.table("stats").join(self.table("accounts").select("account_key", "account_type"), "account_key", "left").groupBy("import_id").agg(F.array_sort(F.collect_list(F.struct("account_key", "account_type", "rows_read", "inserted", "deduped"))).alias("accounts"))
+        per = profile.import_accounts(self.table("stats"), self.table("accounts"))
         return self.table("import_runs").join(per, "import_id", "left").orderBy(F.col("created_at").try_cast("long").desc(), F.desc("import_id"))
 
     def duplicates(self, import_id: str) -> DataFrame:
@@ -202,15 +195,20 @@ class Ledger:
     def anomalies(self, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
         return intel.order_anomalies(intel.between_dates(self.table("anomalies"), "posted_at", date_from, date_to))
 
-    def sql(self, text: str, limit: int = 1000) -> dict:
-        return rows(query(self.spark, self.views(), text), limit)
+    def sql(self, text: str | None = None, limit: int | None = None, file: str | None = None, stdin: str | None = None) -> dict:
+        """The rows of one SELECT from exactly one source."""
+        sql, source = resolve_sql(text, file, stdin)
+        return rows(query(self.spark, self.views(), sql), limit) | {"source": source, "source_ref": file if source == "file" else None}
 
     def schema(self, view: str | None = None) -> dict:
+        """The public views with their columns, and where the ledger is; or the columns of one view."""
         views = self.views()
         if view is not None and view not in views:
-            raise CofferError("unknown_view", view)
-        describe = lambda df: [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable} for f in df.schema]
-        return {n: describe(df) for n, df in views.items() if view in (None, n)}
+            raise CofferError("unknown_view", f"There is no view {view}; the views are {', '.join(VIEWS)}.")
+        columns = lambda df: [{"name": f.name, "type": f.dataType.simpleString(), "nullable": f.nullable} for f in df.schema]
+        if view is not None:
+            return {"view_name": view, "columns": columns(views[view])}
+        return {"ledger_path": self.files.root, "public_views": [{"name": n, "columns": columns(df)} for n, df in views.items()]}
 
 
 def live_pointers(candidates: DataFrame, ledger: DataFrame) -> DataFrame:

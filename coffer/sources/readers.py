@@ -29,11 +29,11 @@ def resolve(path: str | None = None, stdin: str | None = None) -> tuple[str, str
         return stdin, "stdin", None
     if path is not None:
         try:
-            body = Path(path).read_text()
-        except OSError as e:
+            body = Path(path).read_text(encoding="utf-8")
+        except (OSError, UnicodeDecodeError) as e:
             raise CofferError("invalid_argument", f"Could not read import file `{path}`: {e}") from e
         if has_stdin:
-            raise CofferError("invalid_argument", "Both stdin and file input were provided.")
+            raise CofferError("invalid_argument", "A file and stdin were both given; give one of them.")
         return body, "file", path
     if has_stdin:
         return stdin, "stdin", None
@@ -93,8 +93,10 @@ def parse(content: str) -> list[tuple]:
         if not all(isinstance(x, dict) for x in items):
             raise CofferError("invalid_argument", "Each item of the array must be an object.")
         return [(k, *[scalar_text(x.get(c)) for c in FIELDS]) for k, x in enumerate(items, 1)]
-    reader = csv.reader(io.StringIO(text), strict=True)
-    rows = [r for r in reader if r]
+    try:
+        rows = [r for r in csv.reader(io.StringIO(text), strict=True) if r]
+    except csv.Error as e:
+        raise CofferError("invalid_argument", f"Invalid CSV input: {e}.") from e
     headers = [h.strip() for h in rows[0]]
     check_headers(headers)
     for r in rows[1:]:

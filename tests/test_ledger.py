@@ -121,7 +121,7 @@ def test_import_dedupe_undo(spark, tmp_path):
     a = ledger.create(stdin=json.dumps([row("2024-01-01", -5, external_id="e1", account_type="Checking"), row("2024-01-02", -6), row("2024-01-02", -6)]))
     assert (a["inserted"], a["deduped"]) == (3, 0)
     dry = ledger.create(stdin=json.dumps([row("2024-01-09", -5, account_key="acctt")]), dry_run=True)
-    assert {w["code"] for w in dry["warnings"]} == {"account_key_unseen", "account_key_possible_typo"}
+    assert {w["code"] for w in dry["warnings"]} == {"account_key_unseen", "account_key_possible_typo"} and all("`acctt`" in w["message"] for w in dry["warnings"])
     b = ledger.create(stdin=json.dumps([row("2024-01-05", -5, external_id="e1"), row("2024-01-02", -6), row("2024-01-03", -7)]))
     assert (b["inserted"], b["deduped"]) == (1, 2)
     assert ledger.duplicates(b["import_id"]).count() == 2
@@ -136,7 +136,9 @@ def test_import_dedupe_undo(spark, tmp_path):
     assert ledger.accounts()["summary"]["transaction_count"] == 3
     assert ledger.imports().count() == 2
     out = ledger.sql("select account_key, count(*) as n from v1_transactions group by account_key", 1)
-    assert out["rows"] == [["acct", 3]] and not out["truncated"]
+    assert out["rows"] == [["acct", 3]] and not out["truncated"] and out["source"] == "inline"
+    assert b["ledger_accounts"]["summary"]["transaction_count"] == 4
+    assert set(ledger.schema()) == {"ledger_path", "public_views"} and ledger.schema("v1_accounts")["view_name"] == "v1_accounts"
 
 
 def test_validation_is_all_or_nothing(spark, tmp_path):
@@ -165,7 +167,93 @@ def test_guard_allows(spark, sql):
     sqlguard.guard(spark, sql)
 
 
-@pytest.mark.parametrize("sql", ["", "select * from internal_x", "select * from parquet.`/x`", "drop view v1_accounts", "show tables", "explain select 1", "select 1; select 2", "select upper('a')", "select ?", "insert into v1_accounts values (1)",
+def test_imports_append_and_parts_are_put_together(spark, tmp_path, monkeypatch):
+    from coffer.plans import ledger as module
+
+    monkeypatch.setattr(module, "MOST_PARTS", 2)
+    ledger = Ledger(spark, str(tmp_path / "l"))
+    sizes = []
+    for k in range(4):
+        ledger.create(stdin=json.dumps([row(f"2024-01-0{k + 1}", k + 1)]))
+        sizes.append(len(json.loads((tmp_path / "l" / "CURRENT").read_text())["transactions"]))
+    assert sizes == [1, 2, 1, 2] and ledger.table("transactions").count() == 4 and ledger.imports().count() == 4
+
+
+def test_lock_is_respected_and_taken_over_when_stale(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "l"))
+    with ledger.files.lock() as owner:
+        with pytest.raises(CofferError) as e:
+            ledger.refresh()
+        assert e.value.code == "ledger_locked"
+        ledger.files.replace("LOCK", json.dumps({"owner": "gone", "time": 0}))
+        with pytest.raises(CofferError):
+            ledger.files.check(owner)
+    assert ledger.refresh()["anomalies"] == 0 and not (tmp_path / "l" / "LOCK").exists()
+    (tmp_path / "l" / "CURRENT").write_text("{")
+    with pytest.raises(CofferError) as e:
+        ledger.table("accounts")
+    assert e.value.code == "ledger_corrupt"
+
+
+def test_backfill_from_history(spark, tmp_path):
+    ledger = Ledger(spark, str(tmp_path / "l"))
+    a = ledger.create(stdin=json.dumps([row("2024-01-01", 1, external_id="x", account_type="loan"), row("2024-01-02", 2, account_key="other")]))
+    ledger.create(stdin=json.dumps([row("2024-01-01", 1, external_id="x"), row("2024-01-03", 3)]))
+    before = [sorted(map(tuple, ledger.table(t).collect())) for t in ("accounts", "stats")]
+    pointer = json.loads((tmp_path / "l" / "CURRENT").read_text())
+    (tmp_path / "l" / ".CURRENT.crc").unlink(missing_ok=True)
+    (tmp_path / "l" / "CURRENT").write_text(json.dumps({k: v for k, v in pointer.items() if k not in ("accounts", "stats")}))
+    assert ledger.backfill() == {"accounts": 2, "stats": 3}
+    assert sorted(map(tuple, ledger.table("stats").collect())) == before[1]
+    assert sorted(r["account_key"] for r in ledger.table("accounts").collect()) == ["acct", "other"] and a["inserted"] == 2
+
+
+def run_sql(spark, text):
+    views = {"v1_accounts": spark.createDataFrame([("a", 1.5, True), ("b", None, False)], "account_key string, amount double, flag boolean")}
+    return sqlguard.rows(sqlguard.query(spark, views, text))
+
+
+def test_sql_sources(tmp_path):
+    (tmp_path / "q.sql").write_text("select 1 as one")
+    assert sqlguard.resolve_sql(file=str(tmp_path / "q.sql")) == ("select 1 as one", "file")
+    assert sqlguard.resolve_sql(file="-", stdin="select 2") == ("select 2", "stdin") and sqlguard.resolve_sql("x") == ("x", "inline")
+    for given in ({}, {"text": "select 1", "file": "q.sql"}, {"file": str(tmp_path / "none.sql")}):
+        with pytest.raises(CofferError) as e:
+            sqlguard.resolve_sql(**given)
+        assert e.value.code == "invalid_argument"
+
+
+@pytest.mark.parametrize("sql,part", [("select nope from v1_accounts", "could not be executed"), ("select 1; select 2;", "single statement"), ("update x set a = 1", ""), ("select 1 / account_key from v1_accounts", "could not be executed"),
+                                      ("select sqlite_version()", ""), ("select load_extension('x')", ""), ("select ?1", ""), ("selec 1", ""), ("select date(account_key, '+1 eon') from v1_accounts", "modifier")])
+def test_sql_errors_are_invalid_argument(spark, sql, part):
+    with pytest.raises(CofferError) as e:
+        run_sql(spark, sql)
+    assert e.value.code == "invalid_argument" and part in e.value.message
+
+
+def test_sql_columns_follow_the_values(spark):
+    out = run_sql(spark, "select account_key, amount, null as nothing, flag, count(*) over () as n from v1_accounts;")
+    assert [(c["type"], c["nullable"]) for c in out["columns"]] == [("text", False), ("real", True), ("null", True), ("integer", False), ("integer", False)]
+    assert run_sql(spark, "select account_key from v1_accounts where account_key = 'z'")["columns"] == [{"name": "account_key", "type": "unknown", "nullable": False}]
+    with pytest.raises(CofferError):
+        sqlguard.rows(spark.range(1), 0)
+    assert "v1_accounts" not in [t.name for t in spark.catalog.listTables()]
+
+
+SCALARS = [
+    ("substr('hello', 0, 3)", "he"), ("substr('hello', -3, 2)", "ll"), ("substr('hello', 4, -2)", "el"), ("substr('hello', -9, 6)", "he"), ("substr('hello', 9)", ""), ("min(3, 1, 2)", 1), ("max('a', null)", None), ("round(1.005, 2)", 1.0),
+    ("round(-2.5)", -3.0), ("lower('ÀBC')", "Àbc"), ("date('2024-01-31', '+1 month')", "2024-03-02"), ("date('2024-02-29', '-1 year')", "2023-03-01"), ("datetime('2024-01-01 10:00', '-1 day', '+30 seconds')", "2023-12-31 10:00:30"),
+    ("strftime('%Y/%m/%d %H:%M:%S %j %w %%', '2024-02-01 03:04:05')", "2024/02/01 03:04:05 032 4 %"), ("strftime('%s', '1970-01-02')", "86400"), ("date('nonsense')", None), ("date(0, 'unixepoch')", "1970-01-01"), ("date('2024-05-15', 'weekday 1')", "2024-05-20"),
+    ("printf('%-4s|%4d|%.1f|%x', 'ab', 7, 2.25, 255)", "ab  |   7|2.3|ff"), ("printf('%s%d', null, null)", "0"), ("'it''s \n'", "it's \n"), ("length(12345)", 5), ('"account_key"', "a"), ("ifnull(null, 'x') || nullif('y', 'z')", "xy"), ("date(2451545.0)", "2000-01-01"),
+]
+
+
+def test_sql_scalars(spark):
+    out = run_sql(spark, "select " + ", ".join(f"{x} as c{k}" for k, (x, _) in enumerate(SCALARS)) + " from v1_accounts where account_key = 'a' -- a remark; with 'signs'")
+    assert out["rows"] == [[v for _, v in SCALARS]]
+
+
+@pytest.mark.parametrize("sql", ["", "select to_date('2024-01-01')", "select greatest(1, 2)", "select current_date", "select position('a' in 'b')", "select date_format('x', 'y')", "select coffer_lower('A')", "select * from internal_x", "select * from parquet.`/x`", "drop view v1_accounts", "show tables", "explain select 1", "select 1; select 2", "select upper('a')", "select ?", "insert into v1_accounts values (1)",
                                  "select * from v1_accounts where account_key in (select a from other)", "select rank() over (order by 1) from v1_accounts", "select * from range(5)"])
 def test_guard_denies(spark, sql):
     with pytest.raises(CofferError):
