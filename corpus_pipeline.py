@@ -1,7 +1,7 @@
 """From raw documents to token pieces: five stages over the whole corpus.
 
 Each stage takes all rows that its predecessor kept, as reread from Parquet, and its decisions take effect: language
-ID drops what it can't identify; line dedup cuts later repeats of runs of lines and drops a document of which
+ID drops what it can't identify (no letters, or words unlike those of any learned language); line dedup cuts later repeats of runs of lines and drops a document of which
 nothing is left; near-dedup keeps the smallest doc_id of each component; decontamination drops contaminated
 documents; the last stage encodes with SentencePiece and checks that decoding gives the text back.
 
@@ -52,7 +52,7 @@ STAGES = [
     ("sentencepiece", encode_pieces),
 ]
 
-#: Near-dedup, language ID and SentencePiece have no SQL form; tests hold the stages against plain Python.
+#: Language ID and SentencePiece have no SQL form; tests hold each stage against plain Python.
 ORACLE_SQL = None
 
 
