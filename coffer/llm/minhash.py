@@ -129,6 +129,8 @@ class _Linker:
 
     def absorb(self, links: DataFrame) -> None:
         """Brings links (a, b) into the components."""
+        if self.roots is not None and links.isEmpty():
+            return
         if self.roots is not None:
             old = self.roots
             for k in "ab":
