@@ -89,8 +89,9 @@ class Ledger:
 
     # Import
 
-    def create(self, path: str | None = None, stdin: str | None = None, df: DataFrame | None = None, dry_run: bool = False) -> dict:
-        raw, kind, ref = (frame(df), "dataframe", None) if df is not None else read_source(self.spark, path, stdin)
+    def create(self, path: str | None = None, stdin: str | None = None, df: DataFrame | None = None, dry_run: bool = False, source: tuple[str, str | None] = ("dataframe", None)) -> dict:
+        """``source``: kind and reference that the run record gets for rows that are in Spark."""
+        raw, kind, ref = (frame(df), *source) if df is not None else read_source(self.spark, path, stdin)
         now = time.time_ns()
         import_id, stamp = f"imp_{now:020d}", str(now // 10**9)
         with self.files.lock() as owner:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from coffer.plans.ledger import Ledger
@@ -11,11 +12,13 @@ from coffer.sources.readers import SCHEMA
 
 def start(ledger: Ledger, folder: str, checkpoint: str, once: bool = True) -> StreamingQuery:
     """Parquet files with a row number and the import fields; a batch that fails validation stops the stream.
-    A batch that is delivered again is absorbed by duplicate detection where its rows have external ids."""
+    An import's run record names its checkpoint and batch, so a batch that is delivered again is not imported twice."""
 
-    def load(df: DataFrame, _: int) -> None:
-        if not df.isEmpty():
-            ledger.create(df=df)
+    def load(df: DataFrame, batch: int) -> None:
+        ref = f"{checkpoint}#{batch}"
+        known = ledger.table("import_runs").where((F.col("source_kind") == "stream") & (F.col("source_ref") == ref))
+        if known.isEmpty() and not df.isEmpty():
+            ledger.create(df=df, source=("stream", ref))
 
     stream = ledger.spark.readStream.schema(SCHEMA).parquet(folder)
     writer = stream.writeStream.foreachBatch(load).option("checkpointLocation", checkpoint)

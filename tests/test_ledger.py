@@ -269,6 +269,10 @@ def test_stream_ingest(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "l"))
     start(ledger, str(tmp_path / "in"), str(tmp_path / "c")).awaitTermination()
     assert ledger.table("transactions").count() == 2
+    (tmp_path / "c" / "commits" / "0").unlink()  # as if the stream had died before it noted the batch
+    (tmp_path / "c" / "commits" / ".0.crc").unlink(missing_ok=True)
+    start(ledger, str(tmp_path / "in"), str(tmp_path / "c")).awaitTermination()
+    assert ledger.table("transactions").count() == 2 and ledger.imports().count() == 1
 
 
 def test_text_table():
