@@ -1,8 +1,12 @@
 """Recurring payments (recurring/v1) and unusually large amounts (anomalies/v1).
 
 Input: txn_id, account_key, posted_at, amount, currency, merchant, description. Both group by account,
-currency, sign and counterparty. Group figures are map-side aggregates joined back on the group, so one
-group that holds much of the ledger is split like any skewed join.
+currency, sign and counterparty.
+
+No group's rows are ever gathered. Rows are first counted by group, day and amount, or by group and amount, with a
+map-side combine. A group has no more days than its history is long, so the gaps between them are a window over a bounded
+number of rows; medians come from running counts over a group's distinct amounts, which a sort may spill. Only the spike
+rows of a group are read from the ledger again.
 """
 
 from __future__ import annotations
@@ -53,38 +57,97 @@ def _error(c: Cadence) -> Column:
     return F.abs(F.abs(gap) - c.gap) if c.gap else F.abs(gap)
 
 
+def _by_day(rows: DataFrame, *more: Column) -> DataFrame:
+    """The days of each group with the day before (prev) and further aggregates."""
+    days = rows.groupBy(*GROUP, "posted_at").agg(F.min("txn_id").alias("first_txn"), *more)
+    return days.withColumn("prev", F.lag("posted_at").over(Window.partitionBy(*GROUP).orderBy("posted_at")))
+
+
 def interval_errors(rows: DataFrame) -> DataFrame:
-    """Each row after a group's first with its distance in days from each cadence."""
-    order = Window.partitionBy(*GROUP).orderBy("posted_at", "txn_id")
-    t = rows.withColumn("prev", F.lag("posted_at").over(order))
-    return t.select("*", *[_error(c).alias(f"err_{c.name}") for c in CADENCES])
+    """Each row after a group's first with its distance in days from each cadence. Rows of a day follow each other by txn_id, so
+    only its first one looks back at another day."""
+    t = rows.join(_by_day(rows), [*GROUP, "posted_at"]).withColumn("prev", F.when(F.col("txn_id") == F.col("first_txn"), F.col("prev")).otherwise(F.col("posted_at")))
+    return t.select("*", *[_error(c).alias(f"err_{c.name}") for c in CADENCES]).drop("first_txn")
+
+
+def cells(rows: DataFrame) -> DataFrame:
+    """Rows counted by group, day and amount, with the first row's identity and the first description."""
+    first = F.min_by(F.struct("txn_id", "who.source", "who.quality", "who.eligible"), "txn_id").alias("first")
+    return rows.groupBy(*GROUP, "posted_at", "amount").agg(F.count("*").alias("c"), first, F.min("description").alias("description"))
+
+
+def counted_median(counts: DataFrame, value: str, name: str) -> DataFrame:
+    """``counts`` (group, value, c) with the exact median of the counted values of each group: the mean of the middle two."""
+    group = Window.partitionBy(*GROUP)
+    t = counts.withColumns({"__upto": F.sum("c").over(group.orderBy(value)), "__n": F.sum("c").over(group)})
+    low = F.min(F.when(2 * F.col("__upto") >= F.col("__n"), F.col(value))).over(group)
+    high = F.min(F.when(F.col("__upto") >= F.floor(F.col("__n") / 2) + 1, F.col(value))).over(group)
+    return t.withColumns({name: (low + high) / 2, "n": F.col("__n")}).drop("__upto", "__n")
+
+
+def _abs_counts(rows: DataFrame, count: Column) -> DataFrame:
+    return rows.groupBy(*GROUP, F.abs("amount").alias("value")).agg(count.alias("c"))
+
+
+def _amount_stats(counts: DataFrame) -> DataFrame:
+    t = counted_median(counts, "value", "abs_median").withColumn("tolerance", F.greatest(AMOUNT_SHARE * F.col("abs_median"), F.lit(AMOUNT_FLOOR)))
+    near = F.when(F.abs(F.col("value") - F.col("abs_median")) <= F.col("tolerance"), F.col("c")).otherwise(0)
+    same = lambda c: F.first(c).alias(c)
+    g = t.groupBy(*GROUP).agg(same("n"), same("abs_median"), same("tolerance"), F.sum(near).alias("near"), F.min("value").alias("least"), F.max("value").alias("most"))
+    # All amounts of a group have its sign, so signed figures mirror the absolute ones.
+    debit = F.col("sign") == "debit"
+    signed = lambda a, b, name: F.when(debit, -F.col(a)).otherwise(F.col(b)).alias(name)
+    return g.select(
+        *GROUP, "n", "abs_median", signed("abs_median", "abs_median", "signed_median"), signed("most", "least", "amount_min"), signed("least", "most", "amount_max"), "tolerance",
+        (F.col("near") / F.col("n")).alias("amount_fit"),
+    )
 
 
 def amount_stats(rows: DataFrame) -> DataFrame:
     """Per group: n, median of absolute amounts, tolerance, share within it, signed median, min, max."""
-    mid = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), F.median(F.abs("amount")).alias("abs_median"), F.median("amount").alias("signed_median"), F.min("amount").alias("amount_min"), F.max("amount").alias("amount_max"))
-    mid = mid.withColumn("tolerance", F.greatest(AMOUNT_SHARE * F.col("abs_median"), F.lit(AMOUNT_FLOOR)))
-    near = F.abs(F.abs("amount") - F.col("abs_median")) <= F.col("tolerance")
-    fit = rows.select(*GROUP, "amount").join(mid.select(*GROUP, "abs_median", "tolerance"), GROUP).groupBy(*GROUP).agg(F.count_if(near).alias("near"))
-    return mid.join(fit, GROUP).withColumn("amount_fit", F.col("near") / F.col("n")).drop("near")
+    return _amount_stats(_abs_counts(rows, F.count("*")))
+
+
+def _candidates(counted: DataFrame) -> DataFrame:
+    identity = F.min_by("first", "first.txn_id").alias("first")
+    lead = F.min(F.struct("amount", "description")).alias("lead")
+    days = counted.groupBy(*GROUP, "posted_at").agg(F.sum("c").alias("c"), identity, lead)
+    days = days.withColumn("prev", F.lag("posted_at").over(Window.partitionBy(*GROUP).orderBy("posted_at")))
+    # A day's first row looks back at the day before, its others at the day itself.
+    looks = F.array(F.struct(F.col("prev").alias("prev"), F.when(F.col("prev").isNotNull(), 1).otherwise(0).cast("long").alias("w")), F.struct(F.col("posted_at").alias("prev"), (F.col("c") - 1).alias("w")))
+    t = days.withColumn("x", F.explode(looks)).select(*GROUP, "posted_at", "first", "lead", F.col("x.prev").alias("prev"), F.col("x.w").alias("w"))
+    t = t.select("*", *[_error(c).alias(f"err_{c.name}") for c in CADENCES])
+    each = []
+    for c in CADENCES:
+        error = F.col(f"err_{c.name}")
+        each.append(F.sum(F.when(error <= c.tolerance, F.col("w")).otherwise(0)).alias(f"in_{c.name}"))
+        # A group has at most as many errors as days, so their counts stay small.
+        each.append(F.floor(F.percentile(F.when(F.col("w") > 0, error), 0.5, F.greatest("w", F.lit(1)))).alias(f"med_{c.name}"))
+    first = F.min_by("first", "posted_at").alias("who")
+    sample = F.min_by("lead.description", F.struct("posted_at", "lead")).alias("sample_description")
+    g = t.groupBy(*GROUP).agg((F.sum("w") + 1).alias("n"), F.min("posted_at").alias("first_seen_at"), F.max("posted_at").alias("last_seen_at"), first, sample, *each)
+    g = g.where("n >= 3 and who.eligible")
+    options = F.array(*[
+        F.struct(
+            F.lit(c.name).alias("cadence"), F.lit(c.least_rows).alias("least_rows"), F.lit(c.priority).alias("priority"), F.lit(2 * c.active_days).alias("active_days"),
+            (F.col(f"in_{c.name}") / (F.col("n") - 1)).alias("cadence_fit"), F.col(f"med_{c.name}").alias("median_error"),
+        ) for c in CADENCES
+    ])
+    g = g.select(*GROUP, "n", "first_seen_at", "last_seen_at", "who", "sample_description", F.explode(options).alias("o"))
+    return g.select("*", "o.*").drop("o").where("n >= least_rows")
 
 
 def cadence_candidates(rows: DataFrame) -> DataFrame:
     """Per group and cadence with enough rows: fit, integer median error, and the group's identity and bounds."""
-    t = interval_errors(rows)
-    first = F.min_by(F.struct("who.source", "who.quality", "who.eligible"), F.struct("posted_at", "txn_id")).alias("who")
-    sample = F.min_by("description", F.struct("posted_at", "amount", "description")).alias("sample_description")
-    each = [x for c in CADENCES for x in (F.count_if(F.col(f"err_{c.name}") <= c.tolerance).alias(f"in_{c.name}"), F.floor(F.median(f"err_{c.name}")).alias(f"med_{c.name}"))]
-    g = t.groupBy(*GROUP).agg(F.count("*").alias("n"), F.min("posted_at").alias("first_seen_at"), F.max("posted_at").alias("last_seen_at"), first, sample, *each).where("n >= 3 and who.eligible")
-    options = F.array(*[F.struct(F.lit(c.name).alias("cadence"), F.lit(c.least_rows).alias("least_rows"), F.lit(c.priority).alias("priority"), F.lit(2 * c.active_days).alias("active_days"), (F.col(f"in_{c.name}") / (F.col("n") - 1)).alias("cadence_fit"), F.col(f"med_{c.name}").alias("median_error")) for c in CADENCES])
-    return g.select(*GROUP, "n", "first_seen_at", "last_seen_at", "who", "sample_description", F.explode(options).alias("o")).select("*", "o.*").drop("o").where("n >= least_rows")
+    return _candidates(cells(rows))
 
 
 def recurring(transactions: DataFrame) -> DataFrame:
     """The detected series, with their evidence."""
-    rows = grouped(transactions)
-    latest = rows.agg(F.max("posted_at").alias("latest"))  # one row
-    c = cadence_candidates(rows).where(F.col("cadence_fit") >= LEAST_FIT).join(amount_stats(rows).drop("n"), GROUP).where(F.col("amount_fit") >= LEAST_FIT)
+    counted = cells(grouped(transactions))  # one exchange, which the three branches share
+    latest = counted.agg(F.max("posted_at").alias("latest"))  # one row
+    amounts = _amount_stats(_abs_counts(counted, F.sum("c"))).drop("n")
+    c = _candidates(counted).where(F.col("cadence_fit") >= LEAST_FIT).join(amounts, GROUP).where(F.col("amount_fit") >= LEAST_FIT)
     c = c.withColumn("raw", WEIGHTS[0] * F.col("cadence_fit") + WEIGHTS[1] * F.col("amount_fit") + WEIGHTS[2] * F.col("who.quality")).where(F.col("raw") >= LEAST_SCORE)
     rank = F.struct("cadence_fit", -F.col("median_error"), "n", "priority")
     kept = ["raw", "cadence", "active_days", "cadence_fit", "amount_fit", "n", "first_seen_at", "last_seen_at", "who", "sample_description", "signed_median", "amount_min", "amount_max"]
@@ -102,9 +165,10 @@ RECURRING_COLUMNS = ["group_key", "account_key", "merchant", "cadence", "typical
 
 def median_mad(rows: DataFrame) -> DataFrame:
     """Per group: n, median of absolute amounts, median absolute deviation from it."""
-    mid = rows.groupBy(*GROUP).agg(F.count("*").alias("n"), F.median(F.abs("amount")).alias("med"))
-    dev = rows.select(*GROUP, "amount").join(mid, GROUP).groupBy(*GROUP).agg(F.median(F.abs(F.abs("amount") - F.col("med"))).alias("mad"))
-    return mid.join(dev, GROUP)
+    t = counted_median(_abs_counts(rows, F.count("*")), "value", "med").withColumn("deviation", F.abs(F.col("value") - F.col("med")))
+    t = counted_median(t, "deviation", "mad")
+    same = lambda c: F.first(c).alias(c)
+    return t.groupBy(*GROUP).agg(same("n"), same("med"), same("mad"))
 
 
 def anomaly_scores(transactions: DataFrame) -> DataFrame:
