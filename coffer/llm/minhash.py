@@ -141,8 +141,7 @@ class _Linker:
         elif not new.isEmpty():
             moved = old.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
             self.roots = self.scratch.keep(moved.unionByName(new.join(old.select("node"), "node", "left_anti")), "roots")
-            self.scratch.drop(old)
-            self.scratch.drop(new)
+            self.scratch.drop(new)  # but not the old roots, which lists may still read
 
     def step(self, lists: DataFrame, centres: int) -> DataFrame:
         """Meets each member of ``lists`` (rep, n, token, pos, root) with its list's centres of other components
