@@ -54,7 +54,11 @@ def statement_reuse(clean: DataFrame, ledger: DataFrame) -> DataFrame:
 
 def validate(raw: DataFrame, import_id: str) -> tuple[DataFrame, DataFrame]:
     """(clean rows with their dedupe scope, issues). Any issue fails an import as a whole."""
-    t = checked(raw)
+    return split_checked(checked(raw), import_id)
+
+
+def split_checked(t: DataFrame, import_id: str) -> tuple[DataFrame, DataFrame]:
+    """The same from checked rows."""
     clean = t.where(F.size("issues") == 0).drop("issues")
     bad = t.select(F.explode("issues").alias("i")).select("i.*")
     conflict = type_conflicts(clean).select("row", F.lit("account_type").alias("field"), F.lit("account_type_conflict_in_import").alias("code"), F.lit("account_type differs from an earlier row of the account.").alias("description"), F.col("account_type").alias("received"))

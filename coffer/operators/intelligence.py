@@ -11,11 +11,14 @@ rows of a group are read from the ledger again.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
+from datetime import date
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from coffer.errors import CofferError
 from coffer.functions.text import counterparty, round_to, sign_key, trimmed
 
 GROUP = ["account_key", "currency", "sign", "counterparty"]
@@ -191,11 +194,16 @@ def anomalies(transactions: DataFrame) -> DataFrame:
 
 def between_dates(df: DataFrame, column: str, date_from: str | None = None, date_to: str | None = None) -> DataFrame:
     """Rows whose date lies in the inclusive bounds; bounds select results and never change detection."""
-    import datetime as dt
-
-    bounds = [dt.date.fromisoformat(x) if x else None for x in (date_from, date_to)]
+    bounds = []
+    for text in (date_from, date_to):
+        try:
+            bounds.append(date.fromisoformat(text) if text and re.fullmatch(r"\d{4}-\d\d-\d\d", text, re.A) else None)
+        except ValueError:
+            bounds.append(None)
+        if text is not None and bounds[-1] is None:
+            raise CofferError("invalid_argument", f"{text!r} is not a date, YYYY-MM-DD.")
     if all(bounds) and bounds[0] > bounds[1]:
-        raise ValueError("invalid_argument: from must not be after to")
+        raise CofferError("invalid_argument", "The first date must not be after the last.")
     for x, keep in zip(bounds, (F.col(column) >= F.lit(bounds[0]), F.col(column) <= F.lit(bounds[1])), strict=True):
         df = df.where(keep) if x else df
     return df

@@ -95,43 +95,60 @@ class Ledger:
         now = time.time_ns()
         import_id, stamp = f"imp_{now:020d}", str(now // 10**9)
         with self.files.lock() as owner:
-            ledger, accounts = self.table("transactions"), self.table("accounts")
-            clean, issues = imp.validate(raw, import_id)
-            found = [r.asDict() for r in issues.orderBy("row", "field").collect()]
-            if found:
-                raise CofferError("import_validation_failed", "No rows were imported.", {"issues": found, "rows_invalid": len({x["row"] for x in found})})
-            for check, code in ((imp.statement_reuse(clean, ledger), "statement_id_reused"), (imp.ledger_type_conflicts(clean, accounts), "account_type_conflict_with_ledger")):
-                if bad := [r["row"] for r in check.select("row").orderBy("row").collect()]:
-                    raise CofferError("import_validation_failed", "No rows were imported.", {"issues": [{"row": r, "code": code} for r in bad]})
-            clean = clean.withColumn("dedupe_key", imp.dedupe_key())
-            batch = imp.batch_duplicates(clean)
-            matched = imp.ledger_matches(batch.where("matched_row is null"), ledger)
-            new = matched.where("matched_txn_id is null")
-            n_read, n_new = clean.count(), new.count()
-            result = {"import_id": import_id, "dry_run": dry_run, "rows_read": n_read, "rows_valid": n_read, "rows_invalid": 0, "inserted": n_new, "deduped": n_read - n_new}
-            repeats = self._duplicates(batch, matched, import_id, stamp)
-            preview = repeats.orderBy("source_row_index", "dedupe_reason", "candidate_id").limit(PREVIEW + 1).collect()
-            result |= {"duplicates": [r.asDict() for r in preview[:PREVIEW]], "duplicates_truncated": len(preview) > PREVIEW}
-            if dry_run:
-                history = profile.transactions_view(ledger, accounts)
-                warnings = profile.order_warnings(profile.drift_warnings(new, history)).collect()
-                return result | {"import_id": None, "warnings": [r.asDict() for r in warnings], "inventory": [r.asDict() for r in profile.key_counts(history).collect()]}
-            txn = F.concat(F.lit(f"txn_{now:020d}_"), F.lpad(F.col("row").cast("string"), 12, "0"))
-            rows_ = new.withColumns({"txn_id": txn, "import_id": F.lit(import_id)})
-            stats = imp.account_counters(batch, new).withColumn("import_id", F.lit(import_id))
-            run = self.spark.createDataFrame([(import_id, "committed", stamp, stamp, None, n_read, n_read, 0, n_new, n_read - n_new, kind, ref)], TABLES["import_runs"])
-            self._publish(
-                owner, {"transactions": rows_.select(*ledger.columns), "stats": stats, "import_runs": run, "candidates": repeats}, {"accounts": imp.upsert_accounts(accounts, clean, stamp)}
-            )
+            try:
+                return self._import(owner, raw, import_id, stamp, dry_run, kind, ref)
+            finally:
+                self.files.delete(f"staging/{import_id}")
+
+    def _staged(self, df: DataFrame, import_id: str, name: str) -> DataFrame:
+        """The rows written and read again, so that the source is parsed and the expressions run once."""
+        path = self.files.path(f"staging/{import_id}/{name}")
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def _import(self, owner: str, raw: DataFrame, import_id: str, stamp: str, dry_run: bool, kind: str, ref: str | None) -> dict:
+        ledger, accounts = self.table("transactions"), self.table("accounts")
+        clean, issues = imp.split_checked(self._staged(imp.checked(raw), import_id, "checked"), import_id)
+        found = [r.asDict() for r in issues.orderBy("row", "field").collect()]
+        if found:
+            raise CofferError("import_validation_failed", "No rows were imported.", {"issues": found, "rows_invalid": len({x["row"] for x in found})})
+        for check, code in ((imp.statement_reuse(clean, ledger), "statement_id_reused"), (imp.ledger_type_conflicts(clean, accounts), "account_type_conflict_with_ledger")):
+            if bad := [r["row"] for r in check.select("row").orderBy("row").collect()]:
+                raise CofferError("import_validation_failed", "No rows were imported.", {"issues": [{"row": r, "code": code} for r in bad]})
+        batch = imp.batch_duplicates(clean.withColumn("dedupe_key", imp.dedupe_key()))
+        matched = imp.ledger_matches(batch.where("matched_row is null"), ledger)
+        every = self._staged(matched.unionByName(batch.where("matched_row is not null"), allowMissingColumns=True), import_id, "matched")
+        new, repeated = every.where("matched_row is null and matched_txn_id is null"), every.where("matched_row is not null or matched_txn_id is not null")
+        n_read, n_new = every.count(), new.count()
+        result = {"import_id": import_id, "dry_run": dry_run, "rows_read": n_read, "rows_valid": n_read, "rows_invalid": 0, "inserted": n_new, "deduped": n_read - n_new}
+        repeats = self._duplicates(repeated, import_id, stamp)
+        preview = repeats.orderBy("source_row_index", "dedupe_reason", "candidate_id").limit(PREVIEW + 1).collect()
+        result |= {"duplicates": [r.asDict() for r in preview[:PREVIEW]], "duplicates_truncated": len(preview) > PREVIEW}
+        if dry_run:
+            history = profile.transactions_view(ledger, accounts)
+            each = lambda df: [r.asDict() for r in df.collect()]
+            warnings = each(profile.order_warnings(profile.drift_warnings(new, history)))
+            profiles = each(profile.sign_profiles(history).orderBy("account_key"))
+            return result | {"import_id": None, "warnings": warnings, "inventory": each(profile.key_counts(history)), "sign_profiles": profiles}
+        txn = F.concat(F.lit(f"txn_{import_id.removeprefix('imp_')}_"), F.lpad(F.col("row").cast("string"), 12, "0"))
+        rows_ = new.withColumns({"txn_id": txn, "import_id": F.lit(import_id)})
+        stats = imp.account_counters(every, new).withColumn("import_id", F.lit(import_id))
+        run = self.spark.createDataFrame([(import_id, "committed", stamp, stamp, None, n_read, n_read, 0, n_new, n_read - n_new, kind, ref)], TABLES["import_runs"])
+        self._publish(
+            owner, {"transactions": rows_.select(*ledger.columns), "stats": stats, "import_runs": run, "candidates": repeats}, {"accounts": imp.upsert_accounts(accounts, every, stamp)}
+        )
         return result | {"ledger_accounts": self.accounts()}
 
     @staticmethod
-    def _duplicates(batch: DataFrame, matched: DataFrame, import_id: str, stamp: str) -> DataFrame:
+    def _duplicates(repeated: DataFrame, import_id: str, stamp: str) -> DataFrame:
+        """Candidates of rows that repeat an earlier row of the batch (matched_row) or of the ledger."""
         fields = ["dedupe_key", "statement_id", "dedupe_scope_id", "account_key", "posted_at", "amount", "currency", "description", "external_id", "merchant", "category"]
-        null = F.lit(None).cast("string")
-        a = batch.where("matched_row is not null").select("row", *fields, F.lit("batch").alias("dedupe_reason"), null.alias("matched_txn_id"), null.alias("matched_import_id"), F.col("matched_row").alias("matched_batch_row_index"))
-        b = matched.where("matched_txn_id is not null").select("row", *fields, F.lit("existing_ledger").alias("dedupe_reason"), "matched_txn_id", "matched_import_id", F.lit(None).cast("long").alias("matched_batch_row_index"))
-        return a.unionByName(b).select(F.concat(F.lit(f"dup_{import_id}_"), F.lpad(F.col("row").cast("string"), 12, "0")).alias("candidate_id"), F.lit(import_id).alias("import_id"), *fields, F.col("row").alias("source_row_index"), "dedupe_reason", "matched_txn_id", "matched_import_id", "matched_batch_row_index", F.lit(stamp).alias("created_at"), null.alias("promoted_txn_id"))
+        reason = F.when(F.col("matched_row").isNotNull(), "batch").otherwise("existing_ledger")
+        return repeated.select(
+            F.concat(F.lit(f"dup_{import_id}_"), F.lpad(F.col("row").cast("string"), 12, "0")).alias("candidate_id"), F.lit(import_id).alias("import_id"), *fields,
+            F.col("row").alias("source_row_index"), reason.alias("dedupe_reason"), "matched_txn_id", "matched_import_id", F.col("matched_row").alias("matched_batch_row_index"),
+            F.lit(stamp).alias("created_at"), F.lit(None).cast("string").alias("promoted_txn_id"),
+        )
 
     def undo(self, import_id: str) -> dict:
         now = time.time_ns()

@@ -88,8 +88,9 @@ def test_anomalies(spark):
     got = intel.anomalies(tx(spark, rows)).collect()
     assert [(r["txn_id"], r["severity"], r["reason_code"]) for r in got] == [("t006", "high", "amount_spike")]
     assert intel.between_dates(intel.anomalies(tx(spark, rows)), "posted_at", None, "2024-01-06").count() == 0
-    with pytest.raises(ValueError):
-        intel.between_dates(tx(spark, rows), "posted_at", "2024-02-01", "2024-01-01")
+    for bounds in (("2024-02-01", "2024-01-01"), ("2024-02-30", None), (None, "20240101")):
+        with pytest.raises(CofferError):
+            intel.between_dates(tx(spark, rows), "posted_at", *bounds)
 
 
 @pytest.mark.parametrize("text,kind", [('[{"a":1}]', "json"), ("a,b\n1,2", "csv"), ("", None), ('{"a":1}\n{"b":2}', None), ("5", None)])
@@ -141,6 +142,26 @@ def test_import_dedupe_undo(spark, tmp_path):
     assert set(ledger.schema()) == {"ledger_path", "public_views"} and ledger.schema("v1_accounts")["view_name"] == "v1_accounts"
 
 
+def test_commands(spark, tmp_path):
+    from coffer.plans.commands import COMMANDS, run
+
+    ledger = Ledger(spark, str(tmp_path / "l"))
+    assert run(ledger, "import list")[1].startswith("0 imports found.")
+    body = json.dumps([row("2024-01-01", -5), row("2024-01-02", -6, account_type="loan")])
+    assert "No rows were written" in run(ledger, "import create", stdin=body, dry_run=True)[1]
+    code, out = run(ledger, "import create", as_json=True, stdin=body)
+    made = json.loads(out)
+    assert code == 0 and made["ok"] and made["data"]["inserted"] == 2 and made["data"]["ledger_accounts"]["rows"][0]["account_key"] == "acct"
+    given = {"import duplicates": {"import_id": made["data"]["import_id"]}, "db sql": {"query": "select posted_at from v1_transactions order by 1"}}
+    for name in COMMANDS:
+        if name not in ("import create", "import undo"):
+            assert run(ledger, name, **given.get(name, {}))[0] == 0 and json.loads(run(ledger, name, as_json=True, **given.get(name, {}))[1]) is not None
+    assert json.loads(run(ledger, "db sql", as_json=True, **given["db sql"])[1])["rows"] == [["2024-01-01"], ["2024-01-02"]]
+    assert run(ledger, "import undo", import_id="nope")[0] == 1 and "import_id_not_found" in run(ledger, "import undo", as_json=True, import_id="nope")[1]
+    assert run(ledger, "import undo", import_id=made["data"]["import_id"])[1].startswith("Import reverted.")
+    assert run(ledger, "recurring")[1].startswith("0 recurring series found.") and run(ledger, "nope")[0] == 1
+
+
 def test_validation_is_all_or_nothing(spark, tmp_path):
     ledger = Ledger(spark, str(tmp_path / "l"))
     with pytest.raises(CofferError) as e:
