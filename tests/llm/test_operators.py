@@ -192,6 +192,49 @@ def test_passages_behind_a_head_that_holds_a_part(spark):
     assert {(r["doc_id"], r["source_doc_id"], r["start_word"], r["end_word"]) for r in got} == {(3 * k + 3, 3 * k + 2, 40, 90) for k in range(n)}
 
 
+def test_passages_behind_many_pieces(spark):
+    """Documents 100 and 101 share 90 words; 80 earlier ones hold pieces of 45 of them."""
+    body = list(range(50000, 50090))
+    rows = [(k, text(*range(1000 * k, 1000 * k + 30), *body[k % 46 : k % 46 + 45], *range(1000 * k + 100, 1000 * k + 130))) for k in range(1, 81) if k % 46 + 45 <= 90]
+    rows += [(k, text(*range(1000 * k, 1000 * k + 40), *body, *range(1000 * k + 100, 1000 * k + 140))) for k in (100, 101)]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    found = {(r["doc_id"], r["source_doc_id"]) for r in got}
+    assert (101, 100) in found
+    covered = {w for r in got if (r["doc_id"], r["source_doc_id"]) == (101, 100) for w in range(r["start_word"], r["end_word"])}
+    assert len(covered & set(range(40, 130))) >= 50
+
+
+def test_passages_of_repeated_ids_and_ties(spark):
+    a, b = text(*range(120)), text(*range(7000, 7100))
+    rows = [(1, a), (1, a), (2, a), (2, b), (3, b), (3, b), (4, text(*range(60), *range(60)))]
+    df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "c": F.lit("x"), "members": F.lit(2)})
+    got = {(r["doc_id"], r["source_doc_id"]) for r in passages.repeated_passages(df).collect()}
+    assert got >= {(2, 1), (3, 2), (4, 1)} and all(x != y for x, y in got)
+
+
+def brute_passages(rows):
+    """Plain Python: pairs of documents that share 50 words in a row, later one first."""
+    seen, out = {}, set()
+    for i, t in sorted(rows):
+        w = words(t)
+        mine = {tuple(w[k : k + 50]) for k in range(len(w) - 49)}
+        for p in mine:
+            out |= {(i, j) for j in seen.get(p, ())}
+        for p in mine:
+            seen.setdefault(p, []).append(i)
+    return {i for i, _ in out}, out
+
+
+def test_passages_cover_brute_force(spark):
+    """Every document of the test table that repeats 50 words of an earlier one has a row, and its spans hold those words."""
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").collect() if r["text"]]
+    later, _ = brute_passages(rows)
+    got = {}
+    for r in passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got.setdefault(r["doc_id"], []).append((r["start_word"], r["end_word"]))
+    assert later and later <= set(got)
+
+
 def test_passages_with_one_edit_are_all_met(spark):
     """Passages of 50 words with a word replaced, left out or put in at each place that leaves 50 matched words."""
     rows, n = [], 0
@@ -449,6 +492,77 @@ def test_licences_of_deep_paths_and_clashing_columns(spark):
     assert got[2] == got[3] == ("CC-BY-4.0", "d0") and got[1] == ("MIT", None)
 
 
+def near_components(rows):
+    """Plain Python: component of each row by all pairs of full sets, where rows of one id are linked."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if (w := words(t)) else set() for _, t in rows]
+    parent = list(range(len(rows)))
+
+    def find(x):
+        return x if parent[x] == x else find(parent[x])
+
+    for a in range(len(rows)):
+        for b in range(a):
+            near = sets[a] and sets[b] and (100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) or (rows[a][0] is not None and rows[a][0] == rows[b][0]))
+            if near and rows[a][0] is not None and rows[b][0] is not None:
+                parent[find(a)] = find(b)
+    return [find(k) for k in range(len(rows))]
+
+
+def contaminated(t, items):
+    """Plain Python: whether a twentieth of a text's words lie in windows of the items."""
+    cut = lambda x: re.findall("[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), x or ""))
+    w, hit = cut(t), set()
+    for item in items:
+        v = cut(item)
+        for n, windows in ((min(13, len(v)), {tuple(v[k : k + 13]) for k in range(max(1, len(v) - 12))}),) if v else ():
+            for k in range(len(w) - n + 1):
+                if tuple(w[k : k + n]) in windows:
+                    hit |= set(range(k, k + n))
+    return bool(hit) and 20 * len(hit) >= len(w)
+
+
+def test_pipeline_stages_equal_plain_python(spark, tmp_path):
+    """Nulls, repeated rows, ties, clashing columns, near copies, repeated lines and contaminated texts, stage by stage."""
+    import corpus_pipeline
+    import sentencepiece
+
+    rng = np.random.default_rng(11)
+    prose = lambda n: " ".join("".join(rng.choice(list("aeioubdkst"), 6)) for _ in range(n))
+    bodies = [prose(120) for _ in range(40)]
+    bench = [prose(30), prose(8), "", None]
+    rows = [(k, t, "xx", "s") for k, t in enumerate(bodies)] + [(100 + k, " ".join([*t.split()[:-2], "other", "end"]), "xx", "s") for k, t in enumerate(bodies[:10])]
+    rows += [(200, "l1\nl2\nl3\n" + prose(20), "xx", "s"), (201, prose(20) + "\nl1\nl2\nl3", "xx", "s"), (202, "l1\nl2\nl3", "xx", "s"), (203, None, "xx", "s"), (204, "", None, "s"), (205, "12 34", "xx", None)]
+    rows += [(300, f"{prose(10)} {bench[0]} {prose(10)}", "xx", "s"), (301, f"{prose(400)} {bench[1]}", "xx", "s"), (None, bodies[3], None, "s"), (5, bodies[5], "xx", "s"), (6, prose(60), "xx", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumns({"n_chars": F.length("text"), "root": F.lit(1), "n": F.lit("x"), "rep": F.lit(2)})
+    spark.createDataFrame([(f"i{k}", t) for k, t in enumerate(bench)], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    stages, keep = dict(corpus_pipeline.STAGES), Scratch(spark, "t")
+
+    def after(name, now):
+        out = keep.keep(stages[name](spark, now, str(tmp_path)))
+        if name != "sentencepiece":
+            assert out.schema.names == df.schema.names
+        return out, sorted(((r["doc_id"], r["text"]) for r in out.select("doc_id", "text").collect()), key=str) if "text" in out.columns else out.collect()
+
+    now, got = after("language_id", df)
+    assert got == sorted(((i, t) for i, t, *_ in rows if t and re.search("[a-z]", t)), key=str)
+    by_line = lines_kept([x for x in got if x[0] is not None and x[0] not in (5, 6)])  # ids of one text each
+    now, got = after("line_dedup", now)
+    assert {i: t for i, t in got if i in by_line} == {i: t for i, t in by_line.items() if t}
+    assert 202 not in {i for i, _ in got} and [r["n_chars"] for r in now.where("doc_id = 201").collect()] == [len(by_line[201])]
+    root = near_components(got)
+    least = {c: min((got[k][0] for k in range(len(got)) if root[k] == c and got[k][0] is not None), default=None) for c in set(root)}
+    want = [x for k, x in enumerate(got) if x[0] is None or x[0] == least[root[k]]]
+    now, got = after("near_dedup", now)
+    assert got == want
+    want = [x for x in got if not contaminated(x[1], bench)]
+    now, got = after("decontamination", now)
+    assert got == want and 300 not in {i for i, _ in got} and 301 in {i for i, _ in got}
+    model = sentencepiece.SentencePieceProcessor(model_file=tokenizer_file("piece_bpe_32k.model"))
+    _, got = after("sentencepiece", now)
+    assert sorted(((r["doc_id"], tuple(r["ids"])) for r in got), key=str) == sorted(((i, tuple(model.encode(t))) for i, t in want), key=str)
+    assert all(r["round_trip"] for r in got)
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
