@@ -58,29 +58,35 @@ def sign_key(amount: Column | str) -> Column:
     return F.when(_c(amount) < 0, "debit").otherwise("credit")
 
 
-def valid_date(x: Column | str) -> Column:
+def _clean(x: Column | str, clean: bool) -> Column:
+    """Trimmed, unless the caller says that it is: a pattern over a pattern would run again for each use."""
+    return _c(x) if clean else trimmed(x)
+
+
+def valid_date(x: Column | str, clean: bool = False) -> Column:
     """The date of a YYYY-MM-DD text that exists, else null."""
-    t = trimmed(x)
+    t = _clean(x, clean)
     return F.when(t.rlike(r"^[0-9]{4}-[0-9]{2}-[0-9]{2}$"), F.try_to_date(t, "yyyy-MM-dd"))
 
 
-def effective_scale(x: Column | str) -> Column:
+def effective_scale(x: Column | str, clean: bool = False) -> Column:
     """Decimal places that a number text needs, with its exponent; null if it is no number."""
-    t = trimmed(x)
+    t = _clean(x, clean)
     places = F.length(F.regexp_extract(t, r"\.([0-9]*)", 1))
     exponent = F.coalesce(F.nullif(F.regexp_extract(t, r"[eE]([+-]?[0-9]+)$", 1), F.lit("")).try_cast("int"), F.lit(0))
     return F.when(t.rlike(NUMBER), F.greatest(F.lit(0), places - exponent))
 
 
-def valid_amount(x: Column | str) -> Column:
+def valid_amount(x: Column | str, clean: bool = False) -> Column:
     """The finite number of a text of at most two effective decimal places, else null."""
-    v = trimmed(x).try_cast("double")
-    return F.when(trimmed(x).rlike(NUMBER) & (F.abs(v) < float("inf")) & (effective_scale(x) <= 2), v)
+    t = _clean(x, clean)
+    v = t.try_cast("double")
+    return F.when((effective_scale(t, True) <= 2) & (F.abs(v) < float("inf")), v)  # the scale of what is no number is null
 
 
-def account_type(x: Column | str) -> Column:
+def account_type(x: Column | str, clean: bool = False) -> Column:
     """The canonical type of a free text: a known name, or the first rule that one of its tokens meets."""
-    key = F.regexp_replace(F.regexp_replace(F.lower(trimmed(x)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
+    key = F.regexp_replace(F.regexp_replace(F.lower(_clean(x, clean)), "[^a-z0-9]+", "_"), "^_+|_+$", "")
     tokens = F.split(key, "_")
     out = F.when(F.lit(False), F.lit(""))
     for name, names in TYPE_NAMES.items():

@@ -25,13 +25,13 @@ def checked(raw: DataFrame) -> DataFrame:
     miss = lambda c: _issue(F.col(c).isNull(), c, "missing_required_field", f"{c} must be present and non-empty.")
     number = F.col("amount").rlike(r"^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?$") & (F.abs(F.col("amount").try_cast("double")) < float("inf"))
     issues = F.array_compact(F.array(
-        miss("account_key"), _issue(F.col("account_type").isNotNull() & account_type("account_type").isNull(), "account_type", "invalid_account_type", "account_type is not recognized."),
-        miss("posted_at"), _issue(F.col("posted_at").isNotNull() & valid_date("posted_at").isNull(), "posted_at", "invalid_date", "posted_at must be a real date, YYYY-MM-DD."),
+        miss("account_key"), _issue(F.col("account_type").isNotNull() & account_type("account_type", True).isNull(), "account_type", "invalid_account_type", "account_type is not recognized."),
+        miss("posted_at"), _issue(F.col("posted_at").isNotNull() & valid_date("posted_at", True).isNull(), "posted_at", "invalid_date", "posted_at must be a real date, YYYY-MM-DD."),
         miss("amount"), _issue(F.col("amount").isNotNull() & ~F.coalesce(number, F.lit(False)), "amount", "invalid_number", "amount must be numeric."),
-        _issue(number & (effective_scale("amount") > 2), "amount", "invalid_amount_scale", "amount must use at most 2 decimal places."),
+        _issue(number & (effective_scale("amount", True) > 2), "amount", "invalid_amount_scale", "amount must use at most 2 decimal places."),
         miss("currency"), miss("description"),
     ))
-    return t.withColumn("issues", issues).withColumns({"posted_at": valid_date("posted_at"), "amount": valid_amount("amount"), "currency": F.upper("currency"), "account_type": account_type("account_type")})
+    return t.withColumn("issues", issues).withColumns({"posted_at": valid_date("posted_at", True), "amount": valid_amount("amount", True), "currency": F.upper("currency"), "account_type": account_type("account_type", True)})
 
 
 def type_conflicts(clean: DataFrame) -> DataFrame:
