@@ -16,7 +16,7 @@ of fewer words is one shingle). Two documents are linked if 100 * |A and B| >= 7
 4. What a list leaves in several components is settled on the sets themselves: their members are
    posted under their rarest shingles, of which a linked pair must share one (prefix filter), and lists
    that span components get sixteen times the centres, spread by a hash, round by round, until a list is
-   in one component or each member has been a centre. So no link is lost, and pairs that are
+   in one component or each member has been a centre, which is when there are as many centres as members. So no link is lost, and pairs that are
    joined already are not made.
 5. Links between classes become components by star contraction; each round contracts only the roots known so far.
 
@@ -110,12 +110,13 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([rep, pa.array(np.full(len(x), len(x), dtype=np.int64)), pa.array(x.view(np.int64))], names=["rep", "n", "token"])
 
 
-def _slot(centres: int):
-    return F.pmod(F.xxhash64("rep"), F.lit(centres)).alias("slot")
+def _slot(centres: int) -> Column:
+    """The centre's place of a member in a list of ``size``: in a small list each member has its own."""
+    return F.when(F.col("size") <= centres, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(centres))).alias("slot")
 
 
 class _Linker:
-    """Finds links in posting lists (rep, n, token, pos) and keeps the components they make."""
+    """Finds links in posting lists (rep, n, token, pos, size) and keeps the components they make."""
 
     def __init__(self, scratch: Scratch, classes: DataFrame, sets: DataFrame):
         self.scratch, self.sigs, self.sets = scratch, classes.select("rep", "sig"), sets
@@ -166,9 +167,9 @@ class _Linker:
         now = self.rooted(lists.drop("root"))
         # A list is done when it lies in one component, or when each of its members was a centre.
         crowd = now.groupBy("token", _slot(centres)).agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"))
-        crowd = crowd.groupBy("token").agg(F.max("k").alias("k"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi and k > 1").select("token")
+        crowd = crowd.groupBy("token").agg(F.max("k").alias("k"), F.sum("k").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi and k > 1").select("token", "size")
         crowd = self.scratch.keep(crowd, "crowd")  # dealt anew by the join, so a hot list can be split over tasks
-        return self.scratch.keep(now.join(crowd, "token", "left_semi"), "lists")
+        return self.scratch.keep(now.drop("size").join(crowd, "token"), "lists")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -189,13 +190,14 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     sets = scratch.keep(sets.groupBy("rep").agg(F.max("shingles").alias("shingles")) if repeated else sets, "sets")
 
     linker = _Linker(scratch, classes, sets)
-    left = linker.step(linker.rooted(posts), 1)
+    unsized = F.lit(None).cast("long").alias("size")
+    left = linker.step(linker.rooted(posts.select("*", unsized)), 1)
     if not left.isEmpty():
         open_ = sets.join(left.select("rep").distinct(), "rep", "left_semi")
         rows = open_.mapInArrow(_shingle_rows, "rep long, n long, token long")
         posted = _prefix(rows, scratch, F.ceil(F.col("n") * PERCENT / 100).cast("int") - 1)
         posted = posted.select("rep", "n", "token", (F.col("single") + F.col("at")).alias("pos"))
-        lists, centres = linker.rooted(scratch.keep(posted, "posts")), 1
+        lists, centres = linker.rooted(scratch.keep(posted, "posts").select("*", unsized)), 1
         while True:
             lists = linker.step(lists, centres)
             if lists.isEmpty():
