@@ -121,7 +121,7 @@ class _Linker:
     def __init__(self, scratch: Scratch, classes: DataFrame, sets: DataFrame):
         self.scratch, self.sigs, self.sets = scratch, classes.select("rep", "sig"), sets
         self.roots: DataFrame | None = None
-        self.tested: DataFrame | None = None
+        self.tested: list[DataFrame] = []
 
     def rooted(self, posts: DataFrame) -> DataFrame:
         if self.roots is None:
@@ -153,8 +153,9 @@ class _Linker:
         room = F.least(F.col("n") - F.col("pos"), F.col("cn") - F.col("cpos"))
         met = lists.join(heads, "token").where((F.col("croot") != F.col("root")) & ((100 + PERCENT) * room >= PERCENT * (F.col("n") + F.col("cn"))))
         pairs = met.select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        if self.tested:  # one scan of all, so that plans stay short
+            tested = pairs.sparkSession.read.schema("a long, b long").parquet(*[t._coffer_path for t in self.tested])
+            pairs = pairs.join(tested, ["a", "b"], "left_anti")
         two = lambda df, x: [df.select(F.col("rep").alias(k), F.col(x).alias(x + k)) for k in "ab"]
         sa, sb = two(self.sigs, "sig")
         agree = F.size(F.array_intersect("siga", "sigb"))
@@ -162,7 +163,7 @@ class _Linker:
         xa, xb = two(self.sets, "shingles")
         full = pairs.where("close").select("a", "b").join(xa, "a").join(xb, "b").select("a", "b", "shinglesa", "shinglesb")
         found = self.scratch.keep(full.mapInArrow(_confirm, "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
-        self.tested = pairs.select("a", "b") if self.tested is None else self.tested.unionByName(pairs.select("a", "b"))
+        self.tested.append(pairs)
         self.absorb(found)
         now = self.rooted(lists.drop("root"))
         # A list is done when it lies in one component, or when each of its members was a centre.

@@ -11,7 +11,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Settings while a table is written: its shuffle files go once it is there, and the driver, which keeps the text of a
+#: thousand plans, keeps the beginning of each.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": ("true", "false"), "spark.sql.maxPlanStringLength": ("4096", str(2**31 - 16))}
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -35,12 +37,14 @@ class Scratch:
     def keep(self, df: DataFrame, label: str = "t", options: dict | None = None) -> DataFrame:
         self._n += 1
         path = f"{self.base}/{self._n:03d}-{label}"
-        conf, old = self.spark.conf, self.spark.conf.get(CLEAN_UP, "false")
-        conf.set(CLEAN_UP, "true")  # the table is written, so the shuffle files that led to it can go
+        conf, old = self.spark.conf, {k: self.spark.conf.get(k, default) for k, (_, default) in WRITING.items()}
+        for k, (value, _) in WRITING.items():
+            conf.set(k, value)
         try:
             df.write.options(**(options or {})).parquet(path)
         finally:
-            conf.set(CLEAN_UP, old)
+            for k, value in old.items():
+                conf.set(k, value)
         out = self.spark.read.schema(df.schema).parquet(path)
         out._coffer_path = path
         return out
