@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coffer.llm import decontam, langid, licenses, line_dedup, minhash, passages, pieces, pii, token_store, topk
+from coffer.llm import decontam, divergence, langid, licenses, line_dedup, minhash, ngram_join, passages, pieces, pii, spelling, token_store, topk
 from coffer.llm.store import Scratch
 
 
@@ -67,6 +67,18 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_licences(files).withColumnRenamed("file_id", "doc_id")
 
 
+def op11_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
+def op13_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -74,8 +86,8 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    ops = [op1_line_dedup, op2_topk, op3_minhash, op4_substring, op5_pii, op6_langid, op7_decontamination, op8_tokens, op9_sentencepiece, op10_licenses, pipeline]
-    return {f.__name__: f for f in ops}
+    ops = [op1_line_dedup, op2_topk, op3_minhash, op4_substring, op5_pii, op6_langid, op7_decontamination, op8_tokens, op9_sentencepiece, op10_licenses]
+    return {f.__name__: f for f in (*ops, op11_divergence, op12_spelling, op13_ngram_join, pipeline)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -121,4 +133,47 @@ def oracle_sql() -> dict[str, str]:
             select dw.doc_id, cast(len(ws) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(t, '')) as items_sha256,
                    coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(ws) as contaminated
             from dw left join words using (doc_id) left join items using (doc_id)""",
+        "op11_divergence": f"""
+            with d as (select row_number() over () as id, coalesce(lang, '') as lang, coalesce(source, '') as source,
+                              regexp_extract_all(coalesce({fold}, ''), '[^\\x00-\\x40\\x5B-\\x60\\x7B-\\x7F]+') as ws from documents),
+            t as (select id, lang, source, term, count(*) as n from (select id, lang, source, unnest(ws) as term from d) group by all),
+            c as (select lang, source, term, sum(n) as n, count(*) as docs from t group by all),
+            k as (select lang, term, sum(n) as n from c group by all having sum(docs) >= 3),
+            l as (select lang, sum(n) as total, count(*) as v from k group by lang),
+            u as (select c.lang, c.source, c.term, c.n from c join k using (lang, term)),
+            g as (select d.lang, d.source, coalesce(any_value(s.total), 0) as total from d left join (select lang, source, sum(n) as total from u group by all) s using (lang, source) group by all),
+            p as (select g.lang, g.source, k.term, coalesce(u.n, 0) as n, 1 + (1000000000 * (coalesce(u.n, 0) + 1)) // (g.total + l.v) as p, 1 + (1000000000 * (k.n + 1)) // (l.total + l.v) as q
+                  from g join l using (lang) join k using (lang) left join u using (lang, source, term)),
+            f as (select a.lang, a.source, b.source as item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) as value from p a join p b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all),
+            r as (select a.lang, a.source, 'pair' as part, b.source as item, cast(coalesce(f.value, 0) as bigint) as value
+                  from g a join g b on a.lang = b.lang and a.source <> b.source left join f on f.lang = a.lang and f.source = a.source and f.item = b.source
+                  union all select lang, source, 'term', term, cast(((p - q) * (p - q)) // q as bigint) from p where n > 0 and p > q),
+            o as (select *, cast(row_number() over (partition by lang, source, part order by value desc, item) as integer) as rank from r)
+            select lang, source, part, item, value, rank from o where part = 'pair' or rank <= 200""",
+        "op12_spelling": f"""
+            with recursive tab as (select list(c order by i) as t from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: if(c & 1 = 1, xor(c >> 1, 3988292384), c >> 1)) as c from range(256) r(i))),
+            run as (select doc_id, run, count(*) as n from (select doc_id, unnest(regexp_extract_all(coalesce({fold}, ''), '[A-Za-z\\x{{C0}}-\\x{{FF}}]+')) as run from documents) where length(run) >= 7 group by all),
+            code as (select doc_id, run, n, hex(encode(doc_id || ':' || run)) as s from run),
+            crc as (select doc_id, run, n, xor(4294967295, list_reduce(list_prepend(4294967295, [cast('0x' || substr(s, 2 * i + 1, 2) as bigint) for i in range(length(s) // 2)]),
+                           lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]))) as h from code, tab),
+            w as (select case when h % 31 = 0 then left(run, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, n from crc),
+            v as (select word, cast(sum(n) as bigint) as n from w where length(word) >= 7 group by word having sum(n) >= 2),
+            cut as (select word, i, left(word, i - 1) || substr(word, i + 1) as rest from (select word, unnest(range(1, length(word) + 1)) as i from v)),
+            near as (select a.word, b.word as other from cut a join cut b on a.i = b.i and a.rest = b.rest and a.word <> b.word
+                     union select cut.word, v.word from cut join v on cut.rest = v.word union select v.word, cut.word from cut join v on cut.rest = v.word),
+            best as (select near.word, count(*) as n_near, first(near.other order by v.n desc, near.other) as form, max(v.n) as form_n from near join v on v.word = near.other group by near.word),
+            led as (select v.word, v.n, coalesce(n_near, 0) as n_near, case when form_n >= 10 * v.n then form end as form, case when form_n >= 10 * v.n then form_n end as form_n from v left join best using (word)),
+            path(word, here, k) as (select word, word, 0 from led union all select path.word, led.form, k + 1 from path join led on led.word = path.here where led.form is not null)
+            select word, form, root, n, n_near, form_n from led join (select word, max_by(here, k) as root from path group by word) using (word)""",
+        "op13_ngram_join": f"""
+            with recursive w as (select doc_id, regexp_extract_all(coalesce({fold}, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+            s as (select distinct doc_id, case when len(ws) < 3 then array_to_string(ws, ' ') else array_to_string(ws[k:k + 2], ' ') end as g
+                  from (select doc_id, ws, unnest(range(1, greatest(len(ws) - 2, 1) + 1)) as k from w where len(ws) > 0)),
+            n as (select doc_id, count(*) as n from s group by doc_id),
+            p as (select a.doc_id as a, b.doc_id as b, count(*) as shared from s a join s b on a.g = b.g and a.doc_id < b.doc_id group by 1, 2),
+            e as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * shared >= 90 * (x.n + y.n - shared)),
+            e2 as (select a, b from e union all select b, a from e),
+            reach(a, b) as (select doc_id, doc_id from documents union select r.a, e2.b from reach r join e2 on e2.a = r.b),
+            c as (select a as doc_id, min(b) as component_id from reach group by a)
+            select c.doc_id, coalesce(n.n, 0) as n_shingles, component_id from c left join n on n.doc_id = c.doc_id""",
     }

@@ -133,18 +133,18 @@ class Words:
         return np.repeat(np.arange(len(self.first) - 1), self.counts())
 
 
-def shingles(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of five consecutive words, in text order, and the row bounds into them. A row of one
-    to four words has its whole sequence as the only shingle; a row of none has none."""
+def shingles(words: Words, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of ``size`` (at most five) consecutive words, in text order, and the row bounds into them. A row of fewer
+    words, but not none, has its whole sequence as the only shingle; a row of none has none."""
     h, n = words.hash, words.counts()
-    per = np.where(n >= SHINGLE, n - SHINGLE + 1, (n > 0).astype(n.dtype))
+    per = np.where(n >= size, n - size + 1, (n > 0).astype(n.dtype))
     bounds = np.concatenate([[0], np.cumsum(per)])
     at = np.arange(bounds[-1]) - np.repeat(bounds[:-1], per) + np.repeat(words.first[:-1], per)
-    padded = np.concatenate([h, np.zeros(SHINGLE, U64)])
+    padded = np.concatenate([h, np.zeros(size, U64)])
     out = np.zeros(len(at), dtype=U64)
-    for j in range(SHINGLE):
+    for j in range(size):
         out += padded[at + j] * _SHINGLE_C[j]
-    for r in np.flatnonzero((n > 0) & (n < SHINGLE)):
+    for r in np.flatnonzero((n > 0) & (n < size)):
         out[bounds[r]] = (h[words.first[r] : words.first[r + 1]] * _SHINGLE_C[: n[r]]).sum() + U64(int(n[r]))
     return mix(out), bounds
 
