@@ -8,8 +8,10 @@ from pyspark.sql import functions as F
 from coffer.llm.store import Scratch
 
 
-def _mark(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+def _stars(edges: DataFrame) -> bool:
+    """Whether each node has one edge to a root, and each root none."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("k")).unionByName(edges.select(F.col("v").alias("x"), F.lit(0).alias("k")))
+    return ends.groupBy("x").agg(F.sum("k").alias("up"), F.min("k").alias("least")).where("up > 1 or up = 1 and least = 0").isEmpty()
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -18,9 +20,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     gathered; each round is written, so that lineage stays short."""
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = scratch.keep(e, "edges")
-    last = None
-    while (now := _mark(e)) != last:
-        last = now
+    while not _stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
@@ -29,5 +29,5 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         following = scratch.keep(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
         scratch.drop(e)
         e = following
-    roots = e.groupBy("u").agg(F.min("v").alias("root")).select(F.col("u").alias("node"), "root")
+    roots = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(roots.select(F.col("root").alias("node"), "root").distinct())
