@@ -135,8 +135,8 @@ def _boundary(hist: DataFrame, carried: list[str], descending: bool) -> DataFram
 
 def thresholds(scored: DataFrame, top: int, scratch: Scratch) -> DataFrame:
     """For each group with more than ``top`` rows of ``scored`` (lang, source, item, value; value >= 0): the value of rank
-    ``top`` and the UTF-8 bytes ``path`` such that the first ``top`` rows are those of a greater value, and of that value those whose
-    leading bytes are at most ``path``."""
+    ``top``, and UTF-8 bytes ``path`` and their number ``depth`` such that the first ``top`` rows are those of a greater value, and of that value those
+    whose first ``depth`` bytes are at most ``path`` (which is shorter if it is an item's end)."""
     sizes = scored.groupBy(*GROUP).agg(F.count("*").alias("size")).where(F.col("size") > top)
     state = scratch.keep(sizes.select(*GROUP, F.lit(0).cast("long").alias("value"), F.lit(top).cast("long").alias("need")), "state")
     for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
@@ -153,10 +153,10 @@ def thresholds(scored: DataFrame, top: int, scratch: Scratch) -> DataFrame:
         hist = at.groupBy(*GROUP, "value", "need", "path", F.expr(f"substring(bytes, {length + 1}, {DIGIT_BYTES})").alias("digit")).agg(F.count("*").alias("c"))
         found = _boundary(hist, ["value", "need", "path"], descending=False)
         found = scratch.keep(found.select(*GROUP, "value", "need", "before", "c", F.concat("path", "digit").alias("path")), "paths")
-        done.append(found.where("before + c = need").select(*GROUP, "value", "path"))
+        done.append(found.where("before + c = need").select(*GROUP, "value", "path", F.lit(length + DIGIT_BYTES).alias("depth")))
         open_ = found.where("before + c > need").select(*GROUP, "value", (F.col("need") - F.col("before")).alias("need"), "path")
         length += DIGIT_BYTES
-    out = state.select(*GROUP, "value", F.lit(None).cast("binary").alias("path")).limit(0) if not done else done[0]
+    out = state.select(*GROUP, "value", F.lit(None).cast("binary").alias("path"), F.lit(0).alias("depth")).limit(0) if not done else done[0]
     for more in done[1:]:
         out = out.unionByName(more)
     return out
@@ -164,8 +164,8 @@ def thresholds(scored: DataFrame, top: int, scratch: Scratch) -> DataFrame:
 
 def _leading(scored: DataFrame, top: int, scratch: Scratch) -> DataFrame:
     """The first ``top`` rows of each group."""
-    at = thresholds(scored, top, scratch).select(*GROUP, F.col("value").alias("least"), "path")
-    head = F.expr("least is null or value > least or (value = least and substring(encode(item, 'UTF-8'), 1, octet_length(path)) <= path)")
+    at = thresholds(scored, top, scratch).select(*GROUP, F.col("value").alias("least"), "path", "depth")
+    head = F.expr("least is null or value > least or (value = least and substring(encode(item, 'UTF-8'), 1, depth) <= path)")
     return scored.join(at, GROUP, "left").where(head).select(*GROUP, "item", "value")
 
 
