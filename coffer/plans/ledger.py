@@ -91,14 +91,15 @@ class Ledger:
 
     def create(self, path: str | None = None, stdin: str | None = None, df: DataFrame | None = None, dry_run: bool = False, source: tuple[str, str | None] = ("dataframe", None)) -> dict:
         """``source``: kind and reference that the run record gets for rows that are in Spark."""
-        raw, kind, ref = (frame(df), *source) if df is not None else read_source(self.spark, path, stdin)
         now = time.time_ns()
         import_id, stamp = f"imp_{now:020d}", str(now // 10**9)
-        with self.files.lock() as owner:
-            try:
+        try:
+            staged = lambda rows, name: self._staged(rows, import_id, name)
+            raw, kind, ref = (frame(df), *source) if df is not None else read_source(self.spark, path, stdin, staged)
+            with self.files.lock() as owner:
                 return self._import(owner, raw, import_id, stamp, dry_run, kind, ref)
-            finally:
-                self.files.delete(f"staging/{import_id}")
+        finally:
+            self.files.delete(f"staging/{import_id}")
 
     def _staged(self, df: DataFrame, import_id: str, name: str) -> DataFrame:
         """The rows written and read again, so that the source is parsed and the expressions run once."""

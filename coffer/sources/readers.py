@@ -1,7 +1,7 @@
 """Import sources: one JSON array or one CSV text, as rows of nullable strings with their number.
 
-An import file is parsed on the driver, because row numbers follow the file's order; what follows is
-distributed. ``frame`` takes rows that are in Spark already.
+A large file, and any that is named with its file system, is scanned in ranges by Spark (``splits``). A local file of up to
+``ONE_PIECE`` bytes and stdin are parsed on the driver, with the same rows and errors. ``frame`` takes rows that are in Spark already.
 """
 
 from __future__ import annotations
@@ -9,15 +9,17 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 from coffer.errors import CofferError
-from coffer.operators.importing import OPTIONAL, REQUIRED
+from coffer.sources import splits
+from coffer.sources.contract import FIELDS, SCHEMA, check_headers, detect_head, is_json, scalar_text
 
-FIELDS = REQUIRED + OPTIONAL
-SCHEMA = "row long, " + ", ".join(f"{c} string" for c in FIELDS)
+ONE_PIECE = 8 << 20
 
 
 def resolve(path: str | None = None, stdin: str | None = None) -> tuple[str, str, str | None]:
@@ -40,47 +42,13 @@ def resolve(path: str | None = None, stdin: str | None = None) -> tuple[str, str
     raise CofferError("invalid_argument", "No import source was provided.")
 
 
-def _is_json(text: str, kind: type | None = None) -> bool:
-    try:
-        value = json.loads(text)
-    except ValueError:
-        return False
-    return kind is None or isinstance(value, kind)
-
-
 def detect(content: str) -> str:
     """``json`` or ``csv``; other inputs are errors."""
     text = content.strip()
-    if not text:
-        raise CofferError("invalid_argument", "Import source is empty.")
     lines = [x for x in text.splitlines() if x.strip()]
-    if len(lines) >= 2 and all(_is_json(x, dict) for x in lines):
+    if len(lines) >= 2 and all(is_json(x, dict) for x in lines):
         raise CofferError("invalid_argument", "NDJSON is not supported. Provide a JSON array or CSV.", {"format": "ndjson"})
-    if text.startswith("["):
-        return "json"
-    if "," in lines[0]:
-        return "csv"
-    known = "json_non_array" if _is_json(text) else "unknown"
-    raise CofferError("invalid_argument", "Provide a top-level JSON array of objects, or CSV with headers.", {"format": known})
-
-
-def scalar_text(value: object) -> str | None:
-    """Null stays missing, text stays, a number becomes its shortest text as a double, the rest JSON text."""
-    if value is None or isinstance(value, str):
-        return value
-    if isinstance(value, bool) or not isinstance(value, int | float):
-        return json.dumps(value, separators=(",", ":"))
-    x = float(value)
-    if x == int(x) if abs(x) < 1e16 else False:
-        return str(int(x)) if x or str(x)[0] != "-" else "-0"
-    return format(x, "f") if 1e-5 > abs(x) and len(format(x, "f")) < 12 and float(format(x, "f")) == x else repr(x)
-
-
-def check_headers(headers: list[str]) -> None:
-    missing = [c for c in REQUIRED if c not in headers]
-    unknown = [c for c in headers if c not in FIELDS]
-    if missing or unknown:
-        raise CofferError("import_schema_mismatch", "CSV headers do not match the import contract.", {"missing": missing, "unknown": unknown})
+    return detect_head(text)
 
 
 def parse(content: str) -> list[tuple]:
@@ -105,7 +73,22 @@ def parse(content: str) -> list[tuple]:
     return [(k, *[(r[headers.index(c)] if c in headers else None) for c in FIELDS]) for k, r in enumerate(rows[1:], 1)]
 
 
-def read_source(spark: SparkSession, path: str | None = None, stdin: str | None = None) -> tuple[DataFrame, str, str | None]:
+def in_ranges(path: str | None) -> str | None:
+    """The path as Spark reads it if the file is to be scanned in ranges, else null."""
+    if path is None or path == "-":
+        return None
+    if re.match("[A-Za-z][A-Za-z0-9+.-]*://?", path):
+        return path
+    local = Path(path)
+    return local.absolute().as_uri() if local.is_file() and local.stat().st_size > ONE_PIECE else None
+
+
+def read_source(spark: SparkSession, path: str | None = None, stdin: str | None = None, stage: Callable[[DataFrame, str], DataFrame] | None = None) -> tuple[DataFrame, str, str | None]:
+    """Rows, kind and reference of the source. ``stage`` writes and rereads what a scan in ranges has parsed."""
+    if stage is not None and (place := in_ranges(path)):
+        if stdin and stdin.strip():
+            raise CofferError("invalid_argument", "A file and stdin were both given; give one of them.")
+        return splits.scan(spark, place, stage), "file", path
     content, kind, ref = resolve(path, stdin)
     return spark.createDataFrame(parse(content), SCHEMA), kind, ref
 
