@@ -124,6 +124,21 @@ _DIALECT = {
         """select txn_id, least(amount, 10) as lo, greatest(amount, 0, 5) as hi, case when merchant is null then null else greatest(merchant, 'm') end as word, substr(description, 1, 1) as a, right(description, 1) as b, substr(description, 1, 2) as c,
            substr(description, 2) as e, printf('%05d|%.2f|%s', cast(amount as bigint), amount, coalesce(merchant, '')) as p, round(amount / 3.0 * 100, 0) / 100 as r, account_key as k, 'it''s' as q from v1_transactions""",
     ),
+    "sql_integer_division": (
+        "select account_key, count(*)/2 as half, -count(*)/7 as below, count(*) % 10 as rest, count(*)/3/2 as twice, count(*)/(5/2) as nested, count(*)/2.0 as exact from v1_transactions group by account_key having count(*)/4 > 1",
+        """select account_key, count(*) // 2 as half, -(count(*) // 7) as below, count(*) % 10 as rest, count(*) // 3 // 2 as twice, count(*) // 2 as nested, cast(count(*) as double) / 2 as exact
+           from v1_transactions group by account_key having count(*) // 4 > 1""",
+    ),
+    "sql_null_arithmetic": (
+        "select txn_id, amount/0 as a, length(description) % 0 as b, coalesce(length(description)/(length(account_key) - length(account_key)), -1) as c, amount/nullif(amount, amount) as d, abs(amount/2) as e from v1_transactions",
+        "select txn_id, cast(null as double) as a, cast(null as integer) as b, cast(-1 as bigint) as c, cast(null as double) as d, abs(amount / 2) as e from v1_transactions",
+    ),
+    "sql_affinity": (
+        """select txn_id, cast(amount as integer) as whole, cast(amount as integer)/2 as half, cast('12abc' as integer) + length(account_key) as n, cast(length(description) as real)/2 as x, cast(length(account_key) as text) || '!' as t
+           from v1_transactions where merchant is not 'none' and not (posted_at isnull)""",
+        """select txn_id, cast(trunc(amount) as bigint) as whole, cast(trunc(amount) as bigint) // 2 as half, cast(12 + length(account_key) as bigint) as n, cast(length(description) as double) / 2 as x, cast(length(account_key) as varchar) || '!' as t
+           from v1_transactions where merchant is distinct from 'none' and posted_at is not null""",
+    ),
 }
 for _name, (_text, _other) in _DIALECT.items():
     _QUERIES[_name] = _guarded(_text)

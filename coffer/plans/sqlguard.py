@@ -26,7 +26,7 @@ _OPERATORS = {"between"}
 _BARE_CALLS = {"current_catalog", "current_database", "current_date", "current_schema", "current_time", "current_timestamp", "current_timezone", "current_user", "localtime", "localtimestamp", "now", "session_user", "user"}
 _EXPRESSION_OK = {
     "Add", "Alias", "And", "AttributeReference", "BitwiseAnd", "BitwiseNot", "BitwiseOr", "CaseWhen", "Cast", "Concat", "CurrentRow$", "Divide", "EqualNullSafe", "EqualTo", "Exists", "GreaterThan", "GreaterThanOrEqual", "In", "InSubquery",
-    "IsNotNull", "IsNull", "LessThan", "LessThanOrEqual", "Like", "ListQuery", "Literal", "Multiply", "Not", "Or", "Remainder", "ScalarSubquery", "SortOrder", "SpecifiedWindowFrame", "Subtract", "UnaryMinus", "UnaryPositive",
+    "IsNotNull", "IsNull", "LessThan", "LessThanOrEqual", "Like", "ListQuery", "Literal", "Multiply", "Not", "Or", "Remainder", "ScalarSubquery", "ShiftLeft", "ShiftRight", "SortOrder", "SpecifiedWindowFrame", "Subtract", "UnaryMinus", "UnaryPositive",
     "UnboundedFollowing$", "UnboundedPreceding$", "UnresolvedAlias", "UnresolvedAttribute", "UnresolvedFunction", "UnresolvedOrdinal", "UnresolvedStar", "UnresolvedWindowExpression", "UnspecifiedFrame$", "WindowExpression", "WindowSpecDefinition",
 }
 _PLAN_OK = {
@@ -125,7 +125,7 @@ def query(spark: SparkSession, views: dict[str, DataFrame], sql: str) -> DataFra
         plan = spark._jvm.org.apache.spark.sql.classic.Dataset.ofRows(child._jsparkSession, df._jdf.logicalPlan())
         type(df)(plan, child).createOrReplaceTempView(name)
     with mapped():
-        return child.sql(dialect.to_spark(sql))
+        return child.sql(dialect.divide(child, dialect.to_spark(sql)))
 
 
 def _kind(values: list) -> dict:
