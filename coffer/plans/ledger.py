@@ -9,6 +9,7 @@ lock. The root is a folder that driver and executors share, on any Hadoop file s
 from __future__ import annotations
 
 import json
+import re
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,6 +33,8 @@ TABLES = {
     "anomalies": "txn_id string, account_key string, posted_at date, merchant string, amount double, currency string, reason_code string, reason string, score double, severity string",
 }
 PREVIEW = 50
+#: Issues that the error of a rejected import holds.
+ISSUES = 1000
 #: Folders of a table beyond which they are put together.
 MOST_PARTS = 64
 
@@ -110,12 +113,9 @@ class Ledger:
     def _import(self, owner: str, raw: DataFrame, import_id: str, stamp: str, dry_run: bool, kind: str, ref: str | None) -> dict:
         ledger, accounts = self.table("transactions"), self.table("accounts")
         clean, issues = imp.split_checked(self._staged(imp.checked(raw), import_id, "checked"), import_id)
-        found = [r.asDict() for r in issues.orderBy("row", "field").collect()]
-        if found:
-            raise CofferError("import_validation_failed", "No rows were imported.", {"issues": found, "rows_invalid": len({x["row"] for x in found})})
+        self._reject(issues, import_id)
         for check, code in ((imp.statement_reuse(clean, ledger), "statement_id_reused"), (imp.ledger_type_conflicts(clean, accounts), "account_type_conflict_with_ledger")):
-            if bad := [r["row"] for r in check.select("row").orderBy("row").collect()]:
-                raise CofferError("import_validation_failed", "No rows were imported.", {"issues": [{"row": r, "code": code} for r in bad]})
+            self._reject(check.select("row", F.lit(code).alias("code")), import_id)
         batch = imp.batch_duplicates(clean.withColumn("dedupe_key", imp.dedupe_key()))
         matched = imp.ledger_matches(batch.where("matched_row is null"), ledger)
         every = self._staged(matched.unionByName(batch.where("matched_row is not null"), allowMissingColumns=True), import_id, "matched")
@@ -140,6 +140,38 @@ class Ledger:
         )
         return result | {"ledger_accounts": self.accounts()}
 
+    def _reject(self, issues: DataFrame, import_id: str) -> None:
+        """Raises if there are issues. All of them stay in a table of the rejected import; the error holds counts and the first ones, so that
+        its size does not grow with the import."""
+        kept = f"rejected/{import_id}"
+        issues.write.mode("overwrite").parquet(self.files.path(kept))
+        issues = self.spark.read.schema(issues.schema).parquet(self.files.path(kept))
+        order = [c for c in ("row", "field", "code") if c in issues.columns]
+        first = [r.asDict() for r in issues.orderBy(*order).limit(ISSUES + 1).collect()]
+        if not first:
+            self.files.delete(kept)
+            return
+        total = issues.agg(F.count("*").alias("issues_total"), F.count_distinct("row").alias("rows_invalid")).first().asDict()
+        by_code = {r["code"]: r["count"] for r in issues.groupBy("code").count().orderBy("code").collect()}
+        raise CofferError(
+            "import_validation_failed", "No rows were imported.", {"issues": first[:ISSUES], "issues_truncated": len(first) > ISSUES, "issues_by_code": by_code, "rejected_import": import_id} | total
+        )
+
+    def issues(self, rejected_import: str) -> DataFrame:
+        """All issues of a rejected import."""
+        if not re.fullmatch("imp_[0-9]+", rejected_import) or not self.files.exists(f"rejected/{rejected_import}"):
+            raise CofferError("invalid_argument", f"No rejected import {rejected_import} is known.")
+        return self.spark.read.parquet(self.files.path(f"rejected/{rejected_import}"))
+
+    def forget_issues(self, older_than_seconds: float = 30 * 86_400) -> int:
+        """Deletes the issues of imports that were rejected so long ago; returns how many."""
+        limit, gone = time.time_ns() - int(older_than_seconds * 10**9), 0
+        for name in self.files.names("rejected"):
+            if name.startswith("imp_") and int(name.removeprefix("imp_")) < limit:
+                self.files.delete(f"rejected/{name}")
+                gone += 1
+        return gone
+
     @staticmethod
     def _duplicates(repeated: DataFrame, import_id: str, stamp: str) -> DataFrame:
         """Candidates of rows that repeat an earlier row of the batch (matched_row) or of the ledger."""

@@ -74,6 +74,12 @@ class Files:
     def delete(self, name: str) -> None:
         self.fs.delete(self._path(name), True)
 
+    def exists(self, name: str) -> bool:
+        return self.fs.exists(self._path(name))
+
+    def names(self, folder: str) -> list[str]:
+        return sorted(x.getPath().getName() for x in self.fs.listStatus(self._path(folder))) if self.exists(folder) else []
+
     def _holder(self) -> dict | None:
         text = self.read("LOCK")
         try:

@@ -175,3 +175,19 @@ def test_import_of_a_file_in_ranges(narrow, tmp_path):
     assert len(txn) == 30 and '"quoted"' in txn["e7"] and "line 7, é" in txn["e7"]
     with pytest.raises(CofferError, match="no such file"):
         ledger.create(path=f"file://{tmp_path}/absent.csv")
+
+
+def test_issues_of_a_large_rejected_import_stay_in_a_table(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    columns = "'acct' as account_key, '2024-02-30' as posted_at, '1.234' as amount, 'USD' as currency, 'x' as description"
+    with pytest.raises(CofferError) as e:
+        ledger.create(df=spark.range(1, 3001).selectExpr("id as row", *columns.split(", ")))
+    data = e.value.data
+    assert (data["issues_total"], data["rows_invalid"], data["issues_by_code"]) == (6000, 3000, {"invalid_amount_scale": 3000, "invalid_date": 3000})
+    assert len(data["issues"]) == 1000 and data["issues_truncated"] and data["issues"] == sorted(data["issues"], key=lambda r: (r["row"], r["field"]))
+    kept = ledger.issues(data["rejected_import"])
+    assert kept.count() == 6000 and kept.where("row = 3000").count() == 2
+    assert ledger.forget_issues(3600) == 0 and ledger.forget_issues(0) == 1
+    with pytest.raises(CofferError, match="No rejected import"):
+        ledger.issues(data["rejected_import"])
+    assert ledger.table("transactions").count() == 0 and not (tmp_path / "ledger" / "staging").exists() or not list((tmp_path / "ledger" / "staging").iterdir())
