@@ -33,6 +33,8 @@ TABLES = {
     "anomalies": "txn_id string, account_key string, posted_at date, merchant string, amount double, currency string, reason_code string, reason string, score double, severity string",
 }
 PREVIEW = 50
+#: How long folders stay that no current table names.
+RETAIN_SECONDS = 7 * 86_400.0
 #: Issues that the error of a rejected import holds.
 ISSUES = 1000
 #: Folders of a table beyond which they are put together.
@@ -78,6 +80,24 @@ class Ledger:
         self.files.check(owner)
         self.files.replace("CURRENT", json.dumps(pointer))
 
+    def vacuum(self, retain_seconds: float = RETAIN_SECONDS) -> dict:
+        """Deletes table folders that the current state doesn't name, and staging that a dead writer left, if they were written longer ago
+        than ``retain_seconds``: readers of an older state may run that long. Returns the number of folders and bytes."""
+        limit, gone, size = time.time_ns() - int(retain_seconds * 10**9), 0, 0
+        with self.files.lock() as owner:
+            used = {part for parts in self._current().values() for part in parts}
+            old = [f"{v}/{name}" for v in self.files.names("") if re.fullmatch("v[0-9]+", v) and int(v[1:]) < limit for name in self.files.names(v)]
+            dead = [f"staging/{x}" for x in self.files.names("staging") if re.fullmatch("imp_[0-9]+", x) and int(x[4:]) < limit]
+            for folder in [x for x in old if x not in used] + dead:
+                self.files.check(owner)
+                size += self.files.size(folder)
+                self.files.delete(folder)
+                gone += 1
+            for version in {x.split("/")[0] for x in old}:
+                if not self.files.names(version):
+                    self.files.delete(version)
+        return {"folders": gone, "bytes": size}
+
     def backfill(self) -> dict:
         """Accounts and per-import counters of a ledger that has transactions and candidates but not those, from its history."""
         stamp = str(time.time_ns() // 10**9)

@@ -80,6 +80,9 @@ class Files:
     def names(self, folder: str) -> list[str]:
         return sorted(x.getPath().getName() for x in self.fs.listStatus(self._path(folder))) if self.exists(folder) else []
 
+    def size(self, name: str) -> int:
+        return self.fs.getContentSummary(self._path(name)).getLength()
+
     def _holder(self) -> dict | None:
         text = self.read("LOCK")
         try:

@@ -191,3 +191,21 @@ def test_issues_of_a_large_rejected_import_stay_in_a_table(spark, tmp_path):
     with pytest.raises(CofferError, match="No rejected import"):
         ledger.issues(data["rejected_import"])
     assert ledger.table("transactions").count() == 0 and not (tmp_path / "ledger" / "staging").exists() or not list((tmp_path / "ledger" / "staging").iterdir())
+
+
+def test_vacuum_keeps_what_the_current_state_names(spark, tmp_path):
+    ledger = Ledger(spark, f"file://{tmp_path}/ledger")
+    row = lambda k: {"account_key": "a", "posted_at": f"2024-01-0{k}", "amount": k, "currency": "USD", "description": f"d{k}"}
+    first = ledger.create(stdin=json.dumps([row(1), row(2)]))
+    ledger.create(stdin=json.dumps([row(2), row(3)]))
+    ledger.undo(first["import_id"])
+    (tmp_path / "ledger" / "staging" / "imp_00000000000000000001").mkdir(parents=True)
+    tables = ["transactions", "accounts", "import_runs", "stats", "candidates", "recurring", "anomalies"]
+    state = lambda: {t: sorted(map(str, ledger.table(t).collect())) for t in tables}
+    before = state()
+    assert ledger.vacuum() == {"folders": 1, "bytes": 0}  # only the dead writer's is that old
+    gone = ledger.vacuum(0)
+    assert gone["folders"] >= 6 and gone["bytes"] > 0 and state() == before and ledger.vacuum(0) == {"folders": 0, "bytes": 0}
+    named = {part.split("/")[0] for parts in json.loads((tmp_path / "ledger" / "CURRENT").read_text()).values() for part in parts}
+    assert {p.name for p in (tmp_path / "ledger").glob("v*")} == named
+    assert ledger.create(stdin=json.dumps([row(4)]))["inserted"] == 1
