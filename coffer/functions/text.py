@@ -80,8 +80,13 @@ def effective_scale(x: Column | str, clean: bool = False) -> Column:
 def valid_amount(x: Column | str, clean: bool = False) -> Column:
     """The finite number of a text of at most two effective decimal places, else null."""
     t = _clean(x, clean)
-    v = t.try_cast("double")
-    return F.when((effective_scale(t, True) <= 2) & (F.abs(v) < float("inf")), v)  # the scale of what is no number is null
+    return amount_at_scale(t, effective_scale(t, True))
+
+
+def amount_at_scale(t: Column | str, scale: Column | str) -> Column:
+    """The same of a clean text whose effective scale is known."""
+    v = _c(t).try_cast("double")
+    return F.when((_c(scale) <= 2) & (F.abs(v) < float("inf")), v)  # the scale of what is no number is null
 
 
 def account_type(x: Column | str, clean: bool = False) -> Column:

@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from coffer.functions.text import NOISE, account_type, counterparty, effective_scale, fingerprint, normal_text, round_to, valid_amount, valid_date
+from coffer.functions.text import NOISE, account_type, amount_at_scale, counterparty, effective_scale, fingerprint, normal_text, round_to, trimmed, valid_date
 from coffer.operators import importing as imp
 from coffer.operators import intelligence as intel
 from coffer.operators import profile
@@ -122,7 +122,13 @@ _TYPES = "select c_custkey as id, case c_custkey % 12 when 0 then 'Credit-Card'
 _add("account_type_canonical", lambda t: t.select("id", account_type("t").alias("account_type")), [_TYPES],
      "select id, case c % 12 when 0 then 'credit_card' when 1 then 'retirement' when 2 then 'brokerage' when 3 then 'hsa' when 4 then 'loan' when 5 then 'checking' when 6 then 'retirement' when 9 then 'loan' when 10 then 'credit_card' end as account_type from (select c_custkey as id, c_custkey as c from customer)")
 _AMOUNTS = "select l_orderkey * 10 + l_linenumber as id, case l_orderkey % 8 when 0 then cast(cast(l_quantity as int) as string) || '.5' when 1 then '-' || cast(cast(l_quantity as int) as string) || '.125' when 2 then cast(cast(l_quantity as int) as string) || '.5e1' when 3 then '1d' when 4 then '.25' when 5 then ' +7. ' when 6 then '12e-3' else 'n/a' end as t from lineitem"
-_add("amount_scale_check", lambda t: t.select("id", effective_scale("t").alias("scale"), valid_amount("t").alias("amount")), [_AMOUNTS],
+def _scales(t: DataFrame) -> DataFrame:
+    """Each text is trimmed and its scale told once."""
+    once = t.select("id", trimmed("t").alias("t")).select("id", "t", effective_scale("t", True).alias("scale"))
+    return once.select("id", "scale", amount_at_scale("t", "scale").alias("amount"))
+
+
+_add("amount_scale_check", _scales, [_AMOUNTS],
      "with!p as (select id, trim(t) as t from a), q as (select id, t, regexp_full_match(t, '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') as ok, len(regexp_extract(t, '\\.([0-9]*)', 1)) - coalesce(try_cast(nullif(regexp_extract(t, '[eE]([+-]?[0-9]+)$', 1), '') as int), 0) as s from p) select id, cast(case when ok then greatest(0, s) end as integer) as scale, case when ok and greatest(0, s) <= 2 then try_cast(t as double) end as amount from q", {"a": _AMOUNTS})
 _DATES = "select o_orderkey as id, case o_orderkey % 5 when 0 then cast(cast(o_orderdate as date) as string) when 1 then '2024-02-30' when 2 then '24-1-1' when 3 then '2024-13-01' else ' 2024-02-29 ' end as t from orders"
 _add("date_check", lambda t: t.select("id", valid_date("t").alias("d")), [_DATES], "select id, case when regexp_full_match(trim(t), '[0-9]{4}-[0-9]{2}-[0-9]{2}') then try_cast(trim(t) as date) end as d from d", {"d": _DATES})
