@@ -43,14 +43,21 @@ SPIKE_ROWS, SPIKE_FLOOR, SPIKE_SHARE, SPIKE_MADS, SPIKE_RATIO, SPIKE_SCORE = 6,
 HIGH, MEDIUM = 0.92, 0.86
 
 
-def grouped(transactions: DataFrame) -> DataFrame:
-    """Nonzero, dated rows with their counterparty and sign."""
+def grouped(transactions: DataFrame, *more: str) -> DataFrame:
+    """Nonzero, dated rows with their counterparty and sign, and the columns ``more``. Rows that have them stay as they are."""
+    if "counterparty" in transactions.columns:
+        return transactions
     t = transactions.where("amount <> 0 and posted_at is not null")
-    t = t.select("txn_id", trimmed("account_key").alias("account_key"), "posted_at", "amount", F.upper(trimmed("currency")).alias("currency"), trimmed("merchant").alias("merchant"), trimmed("description").alias("description"))
+    t = t.select(*more, "txn_id", trimmed("account_key").alias("account_key"), "posted_at", "amount", F.upper(trimmed("currency")).alias("currency"), trimmed("merchant").alias("merchant"), trimmed("description").alias("description"))
     t = t.withColumn("who", counterparty("merchant", "description")).where("who is not null")
     return t.select("*", sign_key("amount").alias("sign"), F.col("who.key").alias("counterparty")).drop("merchant")
 
 
+def bucket(buckets: int, name: str = "counterparty") -> Column:
+    """Which of ``buckets`` a group belongs to; both signs of a counterparty share one. The detectors call the counterparty merchant."""
+    return F.pmod(F.xxhash64("account_key", "currency", name), F.lit(buckets)).cast("int")
+
+
 def group_key() -> Column:
     return F.concat_ws("|", *GROUP)
 
@@ -145,6 +152,11 @@ def cadence_candidates(rows: DataFrame) -> DataFrame:
     return _candidates(cells(rows))
 
 
+def is_active(latest: Column) -> Column:
+    """Whether a series was seen lately, as of the latest day of all grouped rows."""
+    return (F.datediff(latest, "last_seen_at") <= F.col("active_days")).cast("long")
+
+
 def recurring(transactions: DataFrame) -> DataFrame:
     """The detected series, with their evidence."""
     counted = cells(grouped(transactions))  # one exchange, which the three branches share
@@ -158,7 +170,7 @@ def recurring(transactions: DataFrame) -> DataFrame:
     due = F.when(F.col("cadence") == "weekly", F.date_add("last_seen_at", 7)).when(F.col("cadence") == "biweekly", F.date_add("last_seen_at", 14)).otherwise(F.add_months("last_seen_at", 1))
     return best.select(
         group_key().alias("group_key"), "account_key", F.col("counterparty").alias("merchant"), "cadence", round_to("signed_median", 2).alias("typical_amount"), "currency", "last_seen_at", due.alias("next_expected_at"),
-        F.col("n").alias("occurrence_count"), round_to("raw", 4).alias("score"), (F.datediff("latest", "last_seen_at") <= F.col("active_days")).cast("long").alias("is_active"),
+        F.col("n").alias("occurrence_count"), round_to("raw", 4).alias("score"), is_active(F.col("latest")).alias("is_active"), "active_days",
         round_to("cadence_fit", 4).alias("cadence_fit"), round_to("amount_fit", 4).alias("amount_fit"), "amount_min", "amount_max", "first_seen_at", F.col("who.source").alias("source"), "sample_description",
     )
 

@@ -4,6 +4,14 @@ Each commit or undo writes what it changes under a new version and then replaces
 that leaves the old state whole. An import appends: the pointer lists the folders that make up a table, and only the
 new rows are written; many small folders are put together now and then. One writer at a time holds a
 lock. The root is a folder that driver and executors share, on any Hadoop file system.
+
+The detectors are incremental. ``grouped`` holds the rows of ``transactions`` as the detectors group them, in folders by bucket of
+(account, currency, counterparty), and so do the results. A commit appends its rows to their buckets, reads those buckets
+alone, and puts their results in the place of the old ones; what it scans and writes follows the counterparties of its rows, not the
+ledger. Whether a series is active depends on the latest day of all rows, which is kept per bucket and compared when results are read.
+
+An undo rewrites no transactions: the version names the reverted imports, whose rows all readers leave out (an import
+id is never used again). They go when folders are put together, and all of them at ``refresh``, which makes the detectors' tables anew.
 """
 
 from __future__ import annotations
@@ -11,6 +19,7 @@ from __future__ import annotations
 import json
 import re
 import time
+from collections import Counter
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,7 +41,18 @@ TABLES = {
     "recurring": "group_key string, account_key string, merchant string, cadence string, typical_amount double, currency string, last_seen_at date, next_expected_at date, occurrence_count long, score double, is_active long",
     "anomalies": "txn_id string, account_key string, posted_at date, merchant string, amount double, currency string, reason_code string, reason string, score double, severity string",
 }
+#: As stored: whether a series is active is told when it is read.
+STORED = TABLES | {
+    "recurring": TABLES["recurring"].replace("is_active long", "active_days int"),
+    "grouped": "import_id string, txn_id string, account_key string, posted_at date, amount double, currency string, description string, "
+    "who struct<key: string, source: string, quality: double, eligible: boolean>, sign string, counterparty string",
+}
+BUCKETED = ["grouped", "recurring", "anomalies"]
 PREVIEW = 50
+#: Buckets of a ledger's groups; a ledger keeps its number until ``refresh``.
+BUCKETS = 256
+#: Folders of a bucket beyond which they are put together.
+MOST_OF_BUCKET = 16
 #: How long folders stay that no current table names.
 RETAIN_SECONDS = 7 * 86_400.0
 #: Issues that the error of a rejected import holds.
@@ -42,41 +62,100 @@ MOST_PARTS = 64
 
 
 class Ledger:
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.files = spark, Files(spark, root)
+    def __init__(self, spark: SparkSession, root: str, buckets: int = BUCKETS):
+        self.spark, self.files, self.buckets = spark, Files(spark, root), buckets
 
     # Storage
 
-    def _current(self) -> dict[str, list[str]]:
-        text = self.files.read("CURRENT")
+    def _json(self, name: str) -> dict:
+        text = self.files.read(name)
         try:
             return {} if text is None else json.loads(text)
         except ValueError as e:
-            raise CofferError("ledger_corrupt", "CURRENT can't be read.") from e
+            raise CofferError("ledger_corrupt", f"{name} can't be read.") from e
+
+    def _current(self) -> dict[str, list[str]]:
+        return self._json("CURRENT")
+
+    def _state(self, pointer: dict[str, list[str]]) -> dict:
+        """buckets: their number; latest: the latest day of each; reverted: imports whose rows folders may still hold. Empty for a
+        ledger that was written before there were buckets."""
+        return self._json(pointer["state"][0]) if "state" in pointer else {}
 
-    def _read(self, name: str, parts: list[str]) -> DataFrame:
+    def _read(self, name: str, parts: list[str], reverted: list[str] | None = None) -> DataFrame:
         if not parts:
-            return self.spark.createDataFrame([], TABLES[name])
-        return self.spark.read.schema(TABLES[name]).parquet(*[self.files.path(p) for p in parts])
+            return self.spark.createDataFrame([], STORED[name])
+        df = self.spark.read.schema(STORED[name]).option("recursiveFileLookup", "true").parquet(*[self.files.path(p) for p in parts])
+        mine = F.col("import_id")
+        return df.where(mine.isNull() | ~mine.isin(reverted)) if reverted and name in ("transactions", "grouped") else df
 
     def table(self, name: str) -> DataFrame:
-        return self._read(name, self._current().get(name, []))
-
-    def _publish(self, owner: str, new: dict[str, DataFrame] | None = None, changed: dict[str, DataFrame] | None = None) -> None:
-        """Writes the new rows and the changed tables, then both detectors over all transactions, then the pointer."""
+        pointer = self._current()
+        state, parts = self._state(pointer), pointer.get(name, [])
+        if name != "recurring":
+            return self._read(name, parts, state.get("reverted"))
+        if parts and not state:
+            return self.spark.read.schema(TABLES[name]).parquet(*[self.files.path(p) for p in parts])
+        latest = F.lit(max(state.get("latest", {}).values(), default=None)).cast("date")
+        return self._read(name, parts).select("*", intel.is_active(latest).alias("is_active")).drop("active_days")
+
+    def _publish(
+        self, owner: str, new: dict[str, DataFrame] | None = None, changed: dict[str, DataFrame] | None = None, reverted: tuple[str, DataFrame] | None = None, anew: bool = False
+    ) -> None:
+        """Writes the new rows and the changed tables, then both detectors over the buckets of rows that came or went (or over all
+        transactions, if ``anew``), then the pointer. ``reverted``: an import and its rows."""
         version, pointer = f"v{time.time_ns()}", self._current()
-
-        def write(name: str, df: DataFrame) -> str:
-            df.select(*[c.split()[0] for c in TABLES[name].split(", ")]).write.parquet(self.files.path(f"{version}/{name}"))
-            return f"{version}/{name}"
-
-        for name, df in (new or {}).items():
-            parts = pointer.get(name, [])
-            pointer[name] = [*parts, write(name, df)] if len(parts) < MOST_PARTS else [write(name, self._read(name, parts).unionByName(df))]
+        state = self._state(pointer)
+        gone, came, touched = list(state.get("reverted", [])), None, set()
+        if not state or anew:
+            anew, state = True, {"buckets": self.buckets, "latest": {}}
+
+        def stored(name: str, df: DataFrame, *more: str) -> DataFrame:
+            return df.select(*[c.split(":")[0].split()[0] for c in re.split(r", (?![^<]*>)", STORED[name])], *more)
+
+        def write(name: str, df: DataFrame, folder: str | None = None) -> str:
+            stored(name, df).write.parquet(self.files.path(f"{version}/{folder or name}"))
+            return f"{version}/{folder or name}"
+
+        def write_buckets(name: str, df: DataFrame, folder: str | None = None) -> list[str]:
+            """Rows dealt to their buckets; the exchange splits a hot bucket over tasks and puts small ones together."""
+            place = f"{version}/{folder or name}"
+            dealt = df.withColumn("bucket", intel.bucket(state["buckets"], "counterparty" if name == "grouped" else "merchant"))
+            stored(name, dealt, "bucket").hint("rebalance", "bucket").write.partitionBy("bucket").parquet(self.files.path(place))
+            return [f"{place}/{b}" for b in self.files.names(place) if b.startswith("bucket=")]
+
+        if reverted:
+            touched |= {str(r[0]) for r in intel.grouped(reverted[1]).select(intel.bucket(state["buckets"])).distinct().collect()}
+            gone.append(reverted[0])
         for name, df in (changed or {}).items():
             pointer[name] = [write(name, df)]
-        ledger = self._read("transactions", pointer.get("transactions", []))
-        pointer |= {"recurring": [write("recurring", intel.recurring(ledger))], "anomalies": [write("anomalies", intel.anomalies(ledger))]}
+        for name, df in (new or {}).items():
+            part = write(name, df)
+            parts = [*pointer.get(name, []), part]
+            pointer[name] = parts if len(parts) <= MOST_PARTS else [write(name, self._read(name, parts, gone), f"{name}-whole")]
+            came = self._read(name, [part]) if name == "transactions" else came
+        if anew:
+            came, pointer = self._read("transactions", pointer.get("transactions", []), gone), pointer | {t: [] for t in BUCKETED}
+            if gone:
+                pointer["transactions"] = [write("transactions", came, "transactions-whole")]
+                came, gone = self._read("transactions", pointer["transactions"]), []
+        if came is not None:
+            parts = write_buckets("grouped", intel.grouped(came, "import_id"))
+            touched |= {bucket_of(p) for p in parts}
+            pointer["grouped"] = pointer["grouped"] + parts
+        if touched:
+            mine = [p for p in pointer["grouped"] if bucket_of(p) in touched]
+            rows_ = self._read("grouped", mine, gone)
+            crowded = [b for b, n in Counter(map(bucket_of, mine)).items() if n > MOST_OF_BUCKET]
+            if crowded:
+                whole = write_buckets("grouped", self._read("grouped", [p for p in mine if bucket_of(p) in crowded], gone), "grouped-whole")
+                pointer["grouped"] = [p for p in pointer["grouped"] if bucket_of(p) not in crowded] + whole
+            for name, found in (("recurring", intel.recurring(rows_)), ("anomalies", intel.anomalies(rows_))):
+                pointer[name] = [p for p in pointer[name] if bucket_of(p) not in touched] + write_buckets(name, found)
+            days = rows_.groupBy(intel.bucket(state["buckets"]).alias("b")).agg(F.max("posted_at").cast("string")).collect()  # a row per bucket
+            state["latest"] = {b: d for b, d in state["latest"].items() if b not in touched} | {str(b): d for b, d in days}
+        self.files.create(f"{version}/state", json.dumps(state | {"reverted": gone}))
+        pointer["state"] = [f"{version}/state"]
         self.files.check(owner)
         self.files.replace("CURRENT", json.dumps(pointer))
 
@@ -86,9 +165,11 @@ class Ledger:
         limit, gone, size = time.time_ns() - int(retain_seconds * 10**9), 0, 0
         with self.files.lock() as owner:
             used = {part for parts in self._current().values() for part in parts}
+            partly = {part.rsplit("/", 1)[0] for part in used if "/bucket=" in part}
             old = [f"{v}/{name}" for v in self.files.names("") if re.fullmatch("v[0-9]+", v) and int(v[1:]) < limit for name in self.files.names(v)]
+            buckets = [f"{x}/{b}" for x in old if x in partly for b in self.files.names(x) if b.startswith("bucket=")]
             dead = [f"staging/{x}" for x in self.files.names("staging") if re.fullmatch("imp_[0-9]+", x) and int(x[4:]) < limit]
-            for folder in [x for x in old if x not in used] + dead:
+            for folder in [x for x in old + buckets if x not in used and x not in partly] + dead:
                 self.files.check(owner)
                 size += self.files.size(folder)
                 self.files.delete(folder)
@@ -219,17 +300,20 @@ class Ledger:
             dead = candidates.withColumn("promoted_txn_id", F.when(mine & F.col("promoted_txn_id").isNull(), "__invalid__").otherwise(F.col("promoted_txn_id")))
             chosen = imp.promotions(removed, imp.open_candidates(dead, runs), rest)
             chosen = chosen.withColumn("txn_id", F.concat(F.lit(f"txn_{now:020d}_"), "candidate_id"))
-            after = rest.unionByName(chosen.select(*ledger.columns))
+            promoted = chosen.select(*ledger.columns)
+            after = rest.unionByName(promoted)
             dead = dead.join(chosen.select("candidate_id", F.col("txn_id").alias("new_txn")), "candidate_id", "left").withColumn("promoted_txn_id", F.coalesce("new_txn", "promoted_txn_id"))
             touched = self.table("stats").where(mine).select("account_key").distinct()
             gone = touched.join(after.select("account_key"), "account_key", "left_anti")
             counts = {"rows_reverted": removed.count(), "rows_promoted": chosen.count()}
-            self._publish(owner, changed={"transactions": after, "import_runs": runs, "candidates": dead, "accounts": accounts.join(gone, "account_key", "left_anti")})
+            changed = {"import_runs": runs, "candidates": dead, "accounts": accounts.join(gone, "account_key", "left_anti")}
+            self._publish(owner, {"transactions": promoted}, changed, (import_id, removed))
         return {"import_id": import_id, **counts, "intelligence_refreshed": True}
 
     def refresh(self) -> dict:
+        """Makes the detectors' tables anew from all transactions, with the number of buckets that this ledger was opened with."""
         with self.files.lock() as owner:
-            self._publish(owner)
+            self._publish(owner, anew=True)
         return {"recurring": self.table("recurring").count(), "anomalies": self.table("anomalies").count()}
 
     # Reads
@@ -282,6 +366,10 @@ class Ledger:
         return {"ledger_path": self.files.root, "public_views": [{"name": n, "columns": columns(df)} for n, df in views.items()]}
 
 
+def bucket_of(part: str) -> str:
+    return part.rsplit("/bucket=", 1)[1]
+
+
 def live_pointers(candidates: DataFrame, ledger: DataFrame) -> DataFrame:
     """Each candidate with the ledger row that stands for it now: promoted, else the one met at import, else any it matches."""
     ids = ledger.select("txn_id", "import_id")
