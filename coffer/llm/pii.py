@@ -8,7 +8,7 @@ match but keeps them linear on very long texts.
 The bootstrap's instances are candidates of a loose form: runs of digit groups over up to three separators, so a spaced phone
 or card is one instance, and other white-space tokens that hold a digit or an @. A candidate is of the form of a kind if it
 could be one written carelessly (``FORMS``). Those that touch a base span are seeds of its kind, with reliability 1.
-The lexical patterns are the word before, the two words before and the word after a candidate. Patterns and instances make a
+The lexical patterns are the word before, the two words before and the word after a candidate, within ``near`` characters. Patterns and instances make a
 graph of (kind, pattern, instance, count), on which ``rounds`` turns of aggregates and joins run. A pattern's reliability for a
 kind is what its reliable instances weigh against the candidates that are of another kind or of no such form; those that are not
 known yet speak neither way, but must not outweigh the known ones. An instance's reliability is that of its best pattern, and
@@ -43,8 +43,10 @@ FORMS = {
     "card": r"^(?:[0-9][\x20.:/-]{0,3}){11,18}[0-9]$",
     "phone": r"^[+(]?(?:[0-9][\x20().:/-]{0,3}){6,14}[0-9]$",
 }
-#: Context words are looked for among so many characters on each side.
+#: Context words are looked for among so many characters on each side (parameter ``near``).
 NEAR = 80
+#: Spans that are worked on at once in a text of many.
+BLOCK = 64
 SUPPORT = 5
 CONFIDENCE = 0.8
 ROUNDS = 3
@@ -52,12 +54,31 @@ _SPAN = "array<struct<s:int,e:int,v:string>>"
 
 
 def _places(matches: str, pieces: str) -> Column:
-    """Start, end and value of each match, from the lengths of the pieces between them."""
-    return F.expr(
-        f"aggregate(sequence(1, size({matches})), named_struct('at', 0, 'out', cast(array() as {_SPAN})), (acc, k) -> named_struct("
-        f"'at', acc.at + length(element_at({pieces}, k)) + length(element_at({matches}, k)), 'out', array_append(acc.out, named_struct("
-        f"'s', acc.at + length(element_at({pieces}, k)), 'e', acc.at + length(element_at({pieces}, k)) + length(element_at({matches}, k)), 'v', element_at({matches}, k)))), acc -> acc.out)"
+    """Start, end and value of each match, from the lengths of the pieces between them. Running sums go over blocks of matches and then
+    within each block, as an array that grows by one is copied at each step."""
+    step = f"length(element_at({pieces}, k)) + length(element_at({matches}, k))"
+    block = f"sequence(g * {BLOCK} + 1, least((g + 1) * {BLOCK}, size({matches})))"
+    groups = f"sequence(0, cast((size({matches}) - 1) div {BLOCK} as int))"
+    sums = f"transform({groups}, g -> aggregate({block}, 0, (acc, k) -> acc + {step}))"
+    heads = f"aggregate({sums}, named_struct('at', 0, 'out', cast(array() as array<int>)), (acc, x) -> named_struct('at', acc.at + x, 'out', array_append(acc.out, acc.at)), acc -> acc.out)"
+    inner = (
+        f"aggregate({block}, named_struct('at', h, 'out', cast(array() as {_SPAN})), (acc, k) -> named_struct('at', acc.at + {step}, 'out', array_append(acc.out, "
+        f"named_struct('s', acc.at + length(element_at({pieces}, k)), 'e', acc.at + {step}, 'v', element_at({matches}, k)))), acc -> acc.out)"
     )
+    return F.expr(f"flatten(transform({heads}, (h, g) -> {inner}))")
+
+
+def _touched(t: Column) -> Column:
+    """The first kind with a base span that touches a candidate. A kind's spans are in order and apart, so in a text of many the first one that
+    ends behind the candidate's start is found by halving."""
+    few = F.get(F.filter("base", lambda b: (b["s"] < t["e"]) & (b["e"] > t["s"])), F.lit(0))["k"]
+
+    def kind(n: int) -> Column:
+        spans = F.col(f"base_{n}")
+        upto = F.aggregate(F.array(*[F.lit(1 << k) for k in range(30, -1, -1)]), F.lit(0), lambda at, x: F.when(F.get(spans, at + x - 1)["e"] <= t["s"], at + x).otherwise(at))
+        return F.when(F.get(spans, upto)["s"] < t["e"], F.lit(n))
+
+    return F.when(F.size("base") <= BLOCK, few).otherwise(F.coalesce(*map(kind, range(len(KINDS)))))
 
 
 def _digits(v: Column) -> Column:
@@ -82,7 +103,7 @@ def _valid(kind: str, v: Column) -> Column:
     return F.lit(True)
 
 
-def base_spans(documents: DataFrame) -> DataFrame:
+def base_spans(documents: DataFrame, near: int = NEAR) -> DataFrame:
     """doc_id, key (the text's hash), base (kind number, s, e, v) in order, and tokens (s, e, v, patterns)."""
     df = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("key", F.xxhash64("text"))
     none = F.lit(None).cast("array<string>")
@@ -106,7 +127,7 @@ def base_spans(documents: DataFrame) -> DataFrame:
         return F.lower(F.coalesce(F.nullif(F.regexp_extract(side, pattern, 1), F.lit("")), F.lit("#")))
 
     def contexts(i: Column) -> Column:
-        left, right = F.right(F.get("p_token", i), F.lit(NEAR)), F.left(F.get("p_token", i + 1), F.lit(NEAR))
+        left, right = F.right(F.get("p_token", i), F.lit(near)), F.left(F.get("p_token", i + 1), F.lit(near))
         return F.array(
             F.concat(F.lit("before:"), word(left, r"(\S++)\s*$")), F.concat(F.lit("two before:"), word(left, r"(\S++\s++\S++)\s*$")), F.concat(F.lit("after:"), word(right, r"^\s*(\S++)"))
         )
@@ -122,9 +143,11 @@ def _forms(v: Column) -> Column:
 
 def learned_spans(found: DataFrame, scratch: Scratch, support: int = SUPPORT, confidence: float = CONFIDENCE, rounds: int = ROUNDS) -> DataFrame:
     """(doc_id, key, k, s, e): candidates that high-confidence patterns add."""
-    touch = F.filter("base", lambda b: (b["s"] < F.col("t.e")) & (b["e"] > F.col("t.s")))
-    rows = found.where(F.size("tokens") > 0).select("doc_id", "key", "base", F.explode("tokens").alias("t"))
-    rows = rows.select("doc_id", "key", "t.s", F.regexp_replace("t.v", r"[.,;:!?)\]\"']++$", "").alias("v"), "t.patterns", F.get(touch, F.lit(0))["k"].alias("seed"))
+    each_kind = {f"base_{n}": F.filter("base", lambda b, n=n: b["k"] == n) for n in range(len(KINDS))}
+    tokens = F.transform("tokens", lambda t: F.struct(t["s"].alias("s"), t["v"].alias("v"), t["patterns"].alias("patterns"), _touched(t).alias("seed")))
+    # The base is looked up before the explode, which would copy it to each candidate.
+    rows = found.where(F.size("tokens") > 0).withColumns(each_kind).select("doc_id", "key", F.explode(tokens).alias("t"))
+    rows = rows.select("doc_id", "key", "t.s", F.regexp_replace("t.v", r"[.,;:!?)\]\"']++$", "").alias("v"), "t.patterns", "t.seed")
     rows = rows.withColumn("forms", F.when(F.col("seed").isNotNull(), F.array("seed")).otherwise(_forms(F.col("v"))))
     rows = scratch.keep(rows.withColumn("e", F.col("s") + F.length("v")), "instances")
     # The graph: a pattern, each instance that it extracts of a kind's form, and how often; and all candidates of a pattern.
@@ -154,10 +177,11 @@ def learned_spans(found: DataFrame, scratch: Scratch, support: int = SUPPORT, co
     return new.select("doc_id", "key", "k", "s", "e").distinct()
 
 
-def find_personal_data(documents: DataFrame) -> DataFrame:
-    """Per document: doc_id, base and all spans as arrays of (k, s, e), k as in KINDS."""
+def find_personal_data(documents: DataFrame, near: int = NEAR) -> DataFrame:
+    """Per document: doc_id, base and all spans as arrays of (k, s, e), k as in KINDS. A context word of which more than ``near`` characters
+    lie between is read as none."""
     scratch = Scratch(documents.sparkSession, "pii")
-    found = scratch.keep(base_spans(documents), "base")
+    found = scratch.keep(base_spans(documents, near), "base")
     more = learned_spans(found, scratch).groupBy("doc_id", "key").agg(F.collect_list(F.struct("k", "s", "e")).alias("more"))
     more = more.select(F.col("doc_id").alias("__id"), F.col("key").alias("__key"), "more")
     plain = F.transform("base", lambda x: F.struct(x["k"].alias("k"), x["s"].alias("s"), x["e"].alias("e")))
