@@ -3,9 +3,12 @@
 A unit of text is a vector over its words with weights tf * idf, idf from the templates, which are few and fixed; a word of
 no template has the largest idf. Units of a file are each of its lines, each block of lines between blank ones (a
 header wrapped over lines), and the whole text. A unit's licence is the template of the best cosine, at least ``least``, ties to
-the smaller name; a file's own licence is that of its best unit, whatever words it holds and however long it is.
-A licence file is one whose whole text reaches ``least``; it speaks for its directory (the smallest path, if there
-are several). A file without its own licence takes that of its nearest ancestor directory with one, by an
+the smaller name. A file's own licence is that of its whole text, else of a block, else of a line, the best cosine first, however long the file is; a
+licence that only reserves rights (``RESERVED``) counts only if nothing else is found, as such a line stands above other licences too. The
+score is the best cosine of a unit with the file's own licence.
+A licence file is one whose whole text reaches ``least``, or one with a licence that is called LICENSE, LICENCE, COPYING or UNLICENSE, whatever follows a dot,
+hyphen or underscore; there the first block, where a long licence has its title, goes before all other blocks. It speaks for its directory (the
+smallest path, if there are several). A file without its own licence takes that of its nearest ancestor directory with one, by an
 equi-join of all its ancestors, the longest first, with the licensed directories.
 
 Sums over words are differences of running sums, so a file's lines cost no more than its words. A unit's norm needs its
@@ -102,6 +105,9 @@ TEMPLATES = {
     "Proprietary": ["All rights reserved.", "Copyright. All rights reserved. Proprietary and confidential."],
 }
 LEAST = 0.75
+RESERVED = "Proprietary"
+LICENCE_NAME = re.compile(r"(?:^|/)(?:licen[cs]e|copying|unlicense)(?:[._-][^/]*)?$", re.I)
+_LINE, _BLOCK, _HEAD, _WHOLE = range(4)
 _WORD = "[0-9A-Za-z\x80-\U0010ffff]+"
 _SCHEMA = "file_id long, path string, own string, score double, is_licence_file boolean"
 
@@ -157,8 +163,9 @@ class Templates:
         return best, score
 
 
-def _units(column: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, first word, end) of each line, each block between blank lines, and each whole text that has words; whole texts come last."""
+def _units(column: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(row, first word, end, level) of each line, each block of several lines, and each whole text that has words. A line between blank ones is
+    a block; the first block of a text is its head."""
     data, off = utf8(column)
     n_rows = len(off) - 1
     feed = np.flatnonzero(data == 0x0A)
@@ -175,24 +182,35 @@ def _units(column: pa.Array, words: Words) -> tuple[np.ndarray, np.ndarray, np.n
     first, last = words.first[:-1], words.first[1:]
     whole = np.flatnonzero(last > first)
     rows = np.concatenate([row[full], row[opens][several], whole])
-    return rows, np.concatenate([b[full], b[opens][several], first[whole]]), np.concatenate([e[full], e[closes][several], last[whole]])
+    block = np.full(len(several), _BLOCK)
+    block[np.unique(row[opens], return_index=True)[1]] = _HEAD
+    line = np.full(len(full), _LINE)
+    line[np.flatnonzero(opens)[~several]] = block[~several]
+    level = np.concatenate([line[full], block[several], np.full(len(whole), _WHOLE)])
+    return rows, np.concatenate([b[full], b[opens][several], first[whole]]), np.concatenate([e[full], e[closes][several], last[whole]]), level
 
 
 def _scorer(templates: dict[str, list[str]], least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = Templates(templates)
+        reserved = np.array([n == RESERVED for n in model.names])
         for part in chunks(batches, "text"):
             column = part.column(2)
             words = Words(column, ALNUM)
             n = part.num_rows
-            rows, begin, end = _units(column, words)
+            rows, begin, end, level = _units(column, words)
             best, score = model.score(words, begin, end, least)
+            named = np.array([bool(p and LICENCE_NAME.search(p)) for p in part.column(1).to_pylist()], dtype=bool)
+            level = np.where((level == _HEAD) & ~named[rows], _BLOCK, level)
             own, top, speaks = [None] * n, np.zeros(n), np.zeros(n, dtype=bool)
             found = np.flatnonzero(best >= 0)
-            for i in found[np.lexsort((best[found], -score[found]))][::-1].tolist():  # the best comes last and stays
-                own[rows[i]], top[rows[i]] = model.names[best[i]], score[i]
-            whole = found[found >= len(rows) - int((np.diff(words.first) > 0).sum())]
-            speaks[rows[whole]] = True
+            order = np.lexsort((best[found], -score[found], -level[found], reserved[best[found]]))
+            for i in found[order][::-1].tolist():  # the first in this order comes last and stays
+                own[rows[i]] = model.names[best[i]]
+                speaks[rows[i]] |= named[rows[i]] or level[i] == _WHOLE
+            for i in found.tolist():
+                if own[rows[i]] == model.names[best[i]]:
+                    top[rows[i]] = max(top[rows[i]], score[i])
             none = np.array([x is None for x in own], dtype=bool)
             yield pa.RecordBatch.from_arrays(
                 [part.column(0), part.column(1), pa.array(own, pa.string()), pa.array(top, mask=none), pa.array(speaks)], names=["file_id", "path", "own", "score", "is_licence_file"]

@@ -258,6 +258,19 @@ def test_personal_data(spark, docs, empty):
     assert pii.find_personal_data(docs).count() == len(ROWS)
 
 
+def test_personal_data_of_a_text_of_many_matches(spark):
+    """100 000 candidates in one text, of which many are base spans of each kind; places and seeds as plain Python has them."""
+    kinds = ["10.0.0.7", "x@y.zz", "+12 345 678 901,", "4111111111111111,", "77", "300.1.1.7"]
+    t = " é ".join(kinds[k % 6] for k in range(100_000))
+    got = pii.find_personal_data(spark.createDataFrame([(1, t), (2, t[:3000])], "doc_id long, text string")).collect()
+    plain = ["x@y.zz", r"10\.0\.0\.7", "4111111111111111", r"\+12 345 678 901"]
+    for r in got:
+        full = t if r["doc_id"] == 1 else t[:3000]
+        assert [tuple(x) for x in r["base"]] == [(k, m.start(), m.end()) for k, p in enumerate(plain) for m in re.finditer(p, full)]
+        base, spans = ({tuple(x) for x in r[c]} for c in ("base", "spans"))
+        assert base <= spans and all(full[b:e] == "300.1.1.7" and k == 1 for k, b, e in spans - base)
+
+
 def test_bootstrap_learns_a_context(spark):
     rows = [(k, f"ping host 10.0.0.{k} now") for k in range(20)] + [(100, "ping host 300.1.1.7 today"), (101, "about 300.1.1.8 today")]
     got = {r["doc_id"]: r["spans"] for r in pii.digest(pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
@@ -484,6 +497,21 @@ def test_licences_equal_plain_cosine(spark):
     assert got[0][0] == got[1][0] == got[2][0] == "MPL-2.0" and got[3][0] == got[5][0] == "BSD-3-Clause" and got[11][0] == "MIT" and got[6][0] is None
 
 
+def test_licence_files_and_reserved_rights(spark):
+    bsd, gpl = licenses.TEMPLATES["BSD-3-Clause"][2], "GNU GENERAL PUBLIC LICENSE\n   Version 3, 29 June 2007\n\n"
+    body = "\n".join(text(*range(7 * k, 7 * k + 9)) for k in range(200))
+    rows = [
+        (1, "a/LICENSE", "Copyright (c) 2020, Someone\nAll rights reserved.\n\n" + bsd), (2, "a/x.c", "code"), (3, "g/COPYING.txt", gpl + body + "\n\nGNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007\n\n" + body),
+        (4, "g/h/y.c", "code"), (5, "s/main.c", "Released under the MIT License.\n\n" + body), (6, "s/other.c", "code"), (7, "p/z.c", "All rights reserved.\n" + body), (8, "n/license_utils/q.c", "code"), (9, "n/LICENSE", body),
+        (10, "r/f.c", "All rights reserved.\nReleased under the MIT License.\n" + body),
+    ]
+    got = {r["file_id"]: (r["own"], r["licence"], r["inherited_from"]) for r in licenses.scan_licences(spark.createDataFrame(rows, "file_id long, path string, text string")).collect()}
+    assert got == {
+        1: ("BSD-3-Clause", "BSD-3-Clause", None), 2: (None, "BSD-3-Clause", "a"), 3: ("GPL-3.0", "GPL-3.0", None), 4: (None, "GPL-3.0", "g"), 5: ("MIT", "MIT", None), 6: (None, None, None),
+        7: ("Proprietary", "Proprietary", None), 8: (None, None, None), 9: (None, None, None), 10: ("MIT", "MIT", None),
+    }
+
+
 def test_licences_of_deep_paths_and_clashing_columns(spark):
     deep = "/".join(f"d{k}" for k in range(60))
     rows = [(1, "LICENSE", "Released under the MIT License."), (2, deep + "/x.py", "code"), (3, deep + "/y.py", "a" * 50000 + " code" * 3000), (4, "d0/COPYING", "Licensed under CC BY 4.0."), (5, "d0/COPYING", "Licensed under CC BY-SA 4.0.")]
