@@ -15,9 +15,10 @@ of fewer words is one shingle). Two documents are linked if 100 * |A and B| >= 7
    So a group of near copies of any size is joined by its star.
 4. What a list leaves in several components is settled on the sets themselves: their members are
    posted under their rarest shingles, of which a linked pair must share one (prefix filter), and lists
-   that span components get sixteen times the centres, spread by a hash, round by round, until a list is
-   in one component or each member has been a centre, which is when there are as many centres as members. So no link is lost, and pairs that are
-   joined already are not made.
+   that span components get 64 times the centres, spread by a hash, round by round, until a list is
+   in one component or each member has been a centre, which is when there are as many centres as members. After the first such round
+   the join itself also holds each pair against an exact bound: of 512 bits, each the parity of the set's shingles with that hash, at least as
+   many shingles differ as bits do. So no link is lost, and pairs that are joined already, or can't be linked, are not made.
 5. Links between classes become components by star contraction; each round contracts only the roots known so far.
 
 Null doc_id: the row is returned with its set size, linked with nothing, kept. Null text, or one
@@ -41,6 +42,8 @@ from coffer.llm.textkernel import SPACED, U64, Words, chunks, distinct_per_row,
 COORDINATES = 64
 MATCHES = 32
 PERCENT = 75
+SPREAD = 64
+PARITIES = [f"f{k}" for k in range(8)]
 _A = stream(COORDINATES, 1201) | U64(1)
 _FEATURES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()), ("sig", pa.list_(pa.int64()))])
 
@@ -110,6 +113,17 @@ def _shingle_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([rep, pa.array(np.full(len(x), len(x), dtype=np.int64)), pa.array(x.view(np.int64))], names=["rep", "n", "token"])
 
 
+def _parity_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """512 bits of each set (rep, shingles) as eight longs: whether an odd number of its shingles has that hash."""
+    bits = 64 * len(PARITIES)
+    for batch in batches:
+        out = np.zeros((batch.num_rows, len(PARITIES)), dtype=np.int64)
+        for i in range(batch.num_rows):
+            at = (mix(np.frombuffer(batch.column(1)[i].as_buffer(), U64).copy()) & U64(bits - 1)).astype(np.int64)
+            out[i] = np.packbits((np.bincount(at, minlength=bits) & 1).astype(np.uint8)).view(np.int64)
+        yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(np.ascontiguousarray(column)) for column in out.T)], names=["rep", *PARITIES])
+
+
 def _slot(centres: int) -> Column:
     """The centre's place of a member in a list of ``size``: in a small list each member has its own."""
     return F.when(F.col("size") <= centres, F.col("rep")).otherwise(F.pmod(F.xxhash64("rep"), F.lit(centres))).alias("slot")
@@ -146,12 +160,17 @@ class _Linker:
 
     def step(self, lists: DataFrame, centres: int) -> DataFrame:
         """Meets each member of ``lists`` (rep, n, token, pos, root) with its list's centres of other components
-        and returns the lists that still span components."""
-        head = F.min(F.struct("rep", "n", "pos", "root")).alias("c")
-        heads = lists.groupBy("token", _slot(centres)).agg(head).select("token", F.col("c.rep").alias("c"), F.col("c.n").alias("cn"), F.col("c.pos").alias("cpos"), F.col("c.root").alias("croot"))
+        and returns the lists that still span components. Lists with parities meet only where these allow a link."""
+        parities = [f for f in PARITIES if f in lists.columns]
+        head = F.min(F.struct("rep", "n", "pos", "root", *parities)).alias("c")
+        heads = lists.groupBy("token", _slot(centres)).agg(head)
+        heads = heads.select("token", F.col("c.rep").alias("c"), *[F.col(f"c.{k}").alias(f"c{k}") for k in ["n", "pos", "root", *parities]])
         # From its first common shingle on, each side must hold enough for the overlap that a link needs.
         room = F.least(F.col("n") - F.col("pos"), F.col("cn") - F.col("cpos"))
         met = lists.join(heads, "token").where((F.col("croot") != F.col("root")) & ((100 + PERCENT) * room >= PERCENT * (F.col("n") + F.col("cn"))))
+        if parities:
+            differ = " + ".join(f"bit_count({f} ^ c{f})" for f in parities)
+            met = met.where(f"{100 + PERCENT} * ({differ}) <= {100 - PERCENT} * (n + cn)")
         pairs = met.select(F.least("c", "rep").alias("a"), F.greatest("c", "rep").alias("b")).distinct()
         if self.tested:  # one scan of all, so that plans stay short
             tested = pairs.sparkSession.read.schema("a long, b long").parquet(*[t._coffer_path for t in self.tested])
@@ -198,12 +217,13 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
         rows = open_.mapInArrow(_shingle_rows, "rep long, n long, token long")
         posted = _prefix(rows, scratch, F.ceil(F.col("n") * PERCENT / 100).cast("int") - 1)
         posted = posted.select("rep", "n", "token", (F.col("single") + F.col("at")).alias("pos"))
-        lists, centres = linker.rooted(scratch.keep(posted, "posts").select("*", unsized)), 1
-        while True:
+        lists, centres = linker.step(linker.rooted(scratch.keep(posted, "posts").select("*", unsized)), 1), SPREAD
+        if not lists.isEmpty():
+            crowded = sets.join(lists.select("rep").distinct(), "rep", "left_semi").select("rep", "shingles")
+            lists = lists.join(crowded.mapInArrow(_parity_rows, ", ".join(f"{c} long" for c in ["rep", *PARITIES])), "rep")
+        while not lists.isEmpty():
             lists = linker.step(lists, centres)
-            if lists.isEmpty():
-                break
-            centres *= 16
+            centres *= SPREAD
     if repeated:
         rows = real.select(F.col("doc_id"), *key).join(classes.select(*key, "rep"), key)
         rows = scratch.keep(rows.select("doc_id", "rep").distinct(), "rows")

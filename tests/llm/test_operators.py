@@ -69,6 +69,26 @@ def test_near_duplicates_group_of_partial_links(spark):
     assert got == {i: find(i) for i in sets}
 
 
+def test_near_duplicates_of_crowds(spark, monkeypatch):
+    """Clouds of near copies about the threshold; few centres a round, so that all rounds run."""
+    monkeypatch.setattr(minhash, "SPREAD", 4)
+    rng, rows = np.random.default_rng(5), []
+    for cloud, size in enumerate((30, 60, 120, 300)):
+        base = [f"c{cloud}w{k}" for k in range(size)]
+        for k in range(50):
+            t = list(base)
+            for _ in range(rng.integers(0, 2 + size // 20)):
+                t[rng.integers(0, size)] = f"e{rng.integers(0, 40 if k % 2 else 10**6)}"
+            rows.append((1000 * cloud + k, " ".join(t[: size - int(rng.integers(0, 4))])))
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    sets = {i: {tuple(w[k : k + 5]) for k in range(len(w) - 4)} for i, t in rows for w in [words(t)]}
+    root = {i: i for i in sets}
+    for a, b in ((a, b) for a in sets for b in sets if a < b and 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b])):
+        x, y = sorted((root[a], root[b]))
+        root = {i: x if r == y else r for i, r in root.items()}
+    assert 4 < len(set(root.values())) < len(rows) and got == root
+
+
 def test_near_duplicates_of_one_id_with_two_texts(spark):
     a, b, c = text(*range(100)), text(*range(200, 300)), text(*range(400, 500))
     near = lambda t, k: t.rsplit(" ", 1)[0] + f" other{k}"
