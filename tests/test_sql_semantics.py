@@ -65,3 +65,19 @@ def test_rendering_is_linear():
                 sql = call.format(sql)
             sizes.append(len(dialect.to_spark("select " + sql)))
         assert sizes[1] < 2.2 * sizes[0], call
+
+
+def test_outer_joins_do_not_gather_the_rows_of_a_key(spark):
+    """A small kept side is hashed in each partition and the rows of a hot key stream past it."""
+    rows = spark.range(40_000).selectExpr("id as txn_id", "'i' || cast(id % 3 as string) as import_id")
+    imports = spark.range(40_000).selectExpr("'i' || cast(id % 2 * 4 as string) as import_id").distinct()
+    sql = "select i.import_id, count(t.txn_id) as n from v1_transactions t right join v1_imports i on t.import_id = i.import_id group by i.import_id"
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = sqlguard.query(spark, {"v1_transactions": rows, "v1_imports": imports}, sql)
+        df.sparkSession.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        assert sorted(map(tuple, df.collect())) == [("i0", 13334), ("i4", 0)]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan
