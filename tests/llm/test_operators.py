@@ -268,6 +268,21 @@ def test_passages_with_one_edit_are_all_met(spark):
     assert {(r["doc_id"], r["source_doc_id"]) for r in got} == {(2 * k + 1, 2 * k) for k in range(n)}
 
 
+@pytest.mark.parametrize("spread", [64, 2])
+def test_passages_edited_behind_a_head_that_holds_a_part(spark, monkeypatch, spread):
+    """Documents 2 and 3, 6 and 7 ... share 60 words of which one is replaced; earlier ones share two pieces of 28 of them."""
+    monkeypatch.setattr(passages, "SPREAD", spread)
+    rows, n = [], 12
+    for k in range(n):
+        at = 10_000 * (k + 1)
+        body, own = list(range(at, at + 60)), lambda j: range(at + 1000 + 100 * j, at + 1040 + 100 * j)  # noqa: B023
+        edited = [*body[:30], at + 99, *body[31:]]
+        rows += [(4 * k, text(*own(0), *body[:29], *own(1), *body[31:], *own(2))), (4 * k + 1, text(*own(7), *body[:29], *own(8)))]
+        rows += [(4 * k + 2, text(*own(3), *body, *own(4))), (4 * k + 3, text(*own(5), *edited, *own(6)))]
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r["doc_id"], r["source_doc_id"]) for r in got} == {(4 * k + 3, 4 * k + 2) for k in range(n)}
+
+
 def test_personal_data(spark, docs, empty):
     rows = [(1, "a@b.co_d@e.fg x 1.2.3.4.5.6.7.8 256.1.1.1"), (2, "é 4111 1111 1111 1111, +1 (523) 555-1055. +12"), (3, None), (3, None), (4, "9" * 3000 + " " + "a" * 5000 + "@b.c"), (None, "q@r.st")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "base": F.lit(2)})
