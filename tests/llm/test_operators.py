@@ -6,6 +6,7 @@ import zlib
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -283,6 +284,29 @@ def test_passages_edited_behind_a_head_that_holds_a_part(spark, monkeypatch, spr
     assert {(r["doc_id"], r["source_doc_id"]) for r in got} == {(4 * k + 3, 4 * k + 2) for k in range(n)}
 
 
+def test_passages_of_stretches_that_repeat_a_few_words(spark):
+    """Every document that shares 50 words with another has a row with one such, whole stretches too, and a stretch has few posts whatever its length."""
+    rng, rows = np.random.default_rng(5), []
+    for k in range(160):
+        pieces = []
+        for _ in range(3):
+            period, pool = int(rng.integers(1, 9)), int(rng.integers(0, 12))
+            stretch = [40_000 + 100 * period + 10 * (pool % 2) + j % period for j in range(int(rng.integers(10, 130)))]
+            pieces += [stretch, list(range(1000 * pool, 1000 * pool + int(rng.integers(3, 30)))), [int(x) for x in rng.integers(0, 2**20, 8)] if rng.random() < 0.5 else []]
+        rows.append((k, text(*[x for p in pieces for x in p])))
+    later, pairs = brute_passages(rows)
+    got = passages.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(later) > 100 and later <= {r["doc_id"] for r in got}
+    root = {k: k for k, _ in rows}
+    for r in got:
+        a, b = root[r["doc_id"]], root[r["source_doc_id"]]
+        root = {k: min(a, b) if v in (a, b) else v for k, v in root.items()}
+    assert all(root[i] == root[j] for i, j in pairs)
+    for period in range(1, 8):
+        batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": [text(*range(100, 130), *[k % period for k in range(5000)], *range(200, 230))]})
+        assert sum(x.num_rows for x in passages._windows(iter([batch]))) < 80
+
+
 def test_personal_data(spark, docs, empty):
     rows = [(1, "a@b.co_d@e.fg x 1.2.3.4.5.6.7.8 256.1.1.1"), (2, "é 4111 1111 1111 1111, +1 (523) 555-1055. +12"), (3, None), (3, None), (4, "9" * 3000 + " " + "a" * 5000 + "@b.c"), (None, "q@r.st")]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({"key": F.lit(1), "base": F.lit(2)})
