@@ -173,3 +173,16 @@ def test_ngram_join_of_crowds(spark, monkeypatch):
     for name, value in (("SHORT", 2), ("SPREAD", 4), ("FREQUENT", 3)):
         monkeypatch.setattr(ngram_join, name, value)
     check_similar(spark, rows)
+
+
+def test_ngram_join_crowded_pairs_are_made_once(spark, monkeypatch):
+    """Members that share many lists meet once; with fewer lists than they have told, in each, and never less often than list by list."""
+    rows = [(k, 100 + k % 3, key, 95 + (k + key) % 9, 40, k % 7) for k in range(40) for key in range(12) if (k * key) % 5]
+    lists = spark.createDataFrame(rows, "rep long, n long, key long, room int, size long, root long")
+    every = "rep < b and root <> broot"
+    for centres, which in ((lists, every), (ngram_join._centres(lists, 8), "root <> broot")):
+        plain, once = rows_of(ngram_join._pairs(lists, centres, which)), rows_of(ngram_join._pairs_once(lists, centres, which))
+        assert set(plain) <= set(once) and len(plain) > 2 * len(set(plain))
+        assert len(once) <= (1 if which == every else 2) * len(set(once))
+    monkeypatch.setattr(ngram_join, "MOST_KEYS", 3)
+    assert set(rows_of(ngram_join._pairs(lists, lists, every))) <= set(rows_of(ngram_join._pairs_once(lists, lists, every)))
