@@ -18,6 +18,7 @@ Repeated rows are written each; rows that share a doc_id (or have none) stand in
 
 from __future__ import annotations
 
+import functools
 import json
 import os
 import zlib
@@ -200,13 +201,16 @@ class Codes:
         return out
 
 
-_ENCODERS: dict[str, Encoder] = {}
+@functools.cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder in each Python worker, for all its tasks. Tasks find this function by its name; a table beside ``run`` would come with
+    each task anew, and empty."""
+    return Encoder(path)
 
 
 def _writer(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _ENCODERS.setdefault(path, None) or Encoder(path)
-        _ENCODERS[path] = encoder
+        encoder = encoder_of(path)
         part, seq, start = TaskContext.get().partitionId(), 0, 0
         docs, ids, lens = [], [], []
 

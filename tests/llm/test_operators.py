@@ -437,6 +437,18 @@ def test_fm_index():
             assert sorted(index.locate(np.arange(a, b)).tolist()) == want
 
 
+def test_tokens_encoder_serves_all_tasks_of_a_worker(monkeypatch):
+    from pyspark import TaskContext, cloudpickle
+
+    made, init, path = [], token_store.Encoder.__init__, tokenizer_file("byte_bpe_50k.json")
+    monkeypatch.setattr(token_store.Encoder, "__init__", lambda self, path: (made.append(path), init(self, path))[1])
+    monkeypatch.setattr(TaskContext, "get", classmethod(lambda cls: type("Task", (), {"partitionId": lambda self: 0})()))
+    task = cloudpickle.dumps(token_store._writer(path))
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1], "text": ["one two"]})
+    first, second = (next(cloudpickle.loads(task)(iter([batch]))) for _ in range(2))
+    assert first == second and len(made) <= 1
+
+
 def test_tokens(spark, docs, empty):
     from tokenizers import Tokenizer
 
