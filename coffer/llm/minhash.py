@@ -18,7 +18,7 @@ of fewer words is one shingle). Two documents are linked if 100 * |A and B| >= 7
    that span components get 64 times the centres, spread by a hash, round by round, until a list is
    in one component or each member has been a centre, which is when there are as many centres as members. After the first such round
    the join itself also holds each pair against an exact bound: of 512 bits, each the parity of the set's shingles with that hash, at least as
-   many shingles differ as bits do. So no link is lost, and pairs that are joined already, or can't be linked, are not made.
+   many shingles differ as bits do; such pairs go to the full sets without a look at their signatures. So no link is lost, and pairs that are joined already, or can't be linked, are not made.
 5. Links between classes become components by star contraction; each round contracts only the roots known so far.
 
 Null doc_id: the row is returned with its set size, linked with nothing, kept. Null text, or one
@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coffer.llm.components import components
-from coffer.llm.store import Scratch
+from coffer.llm.store import Scratch, small
 from coffer.llm.textkernel import SPACED, U64, Words, chunks, distinct_per_row, mix, shingles, stream
 
 COORDINATES = 64
@@ -140,7 +140,7 @@ class _Linker:
     def rooted(self, posts: DataFrame) -> DataFrame:
         if self.roots is None:
             return posts.withColumn("root", F.col("rep"))
-        return posts.join(self.roots.withColumnRenamed("node", "rep"), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
+        return posts.join(small(self.roots, self.roots.withColumnRenamed("node", "rep")), "rep", "left").withColumn("root", F.coalesce("root", "rep"))
 
     def absorb(self, links: DataFrame) -> None:
         """Brings links (a, b) into the components."""
@@ -149,13 +149,14 @@ class _Linker:
         if self.roots is not None:
             old = self.roots
             for k in "ab":
-                links = links.join(old.select(F.col("node").alias(k), F.col("root").alias(f"r{k}")), k, "left").withColumn(k, F.coalesce(f"r{k}", k)).drop(f"r{k}")
+                links = links.join(small(old, old.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))), k, "left").withColumn(k, F.coalesce(f"r{k}", k)).drop(f"r{k}")
+            links = self.scratch.keep(links, "between")
         new = self.scratch.keep(components(links, self.scratch), "contracted")
         if self.roots is None:
             self.roots = new
         elif not new.isEmpty():
-            moved = old.join(new.select(F.col("node").alias("root"), F.col("root").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
-            self.roots = self.scratch.keep(moved.unionByName(new.join(old.select("node"), "node", "left_anti")), "roots")
+            moved = old.join(small(new, new.select(F.col("node").alias("root"), F.col("root").alias("to"))), "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+            self.roots = self.scratch.keep(moved.unionByName(new.join(small(old, old.select("node")), "node", "left_anti")), "roots")
             self.scratch.drop(new)  # but not the old roots, which lists may still read
 
     def step(self, lists: DataFrame, centres: int) -> DataFrame:
@@ -167,7 +168,7 @@ class _Linker:
         heads = heads.select("token", F.col("c.rep").alias("c"), *[F.col(f"c.{k}").alias(f"c{k}") for k in ["n", "pos", "root", *parities]])
         # From its first common shingle on, each side must hold enough for the overlap that a link needs.
         room = F.least(F.col("n") - F.col("pos"), F.col("cn") - F.col("cpos"))
-        met = lists.join(heads, "token").where((F.col("croot") != F.col("root")) & ((100 + PERCENT) * room >= PERCENT * (F.col("n") + F.col("cn"))))
+        met = lists.join(small(lists, heads) if parities else heads, "token").where((F.col("croot") != F.col("root")) & ((100 + PERCENT) * room >= PERCENT * (F.col("n") + F.col("cn"))))
         if parities:
             differ = " + ".join(f"bit_count({f} ^ c{f})" for f in parities)
             met = met.where(f"{100 + PERCENT} * ({differ}) <= {100 - PERCENT} * (n + cn)")
@@ -176,11 +177,14 @@ class _Linker:
             tested = pairs.sparkSession.read.schema("a long, b long").parquet(*[t._coffer_path for t in self.tested])
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         two = lambda df, x: [df.select(F.col("rep").alias(k), F.col(x).alias(x + k)) for k in "ab"]
-        sa, sb = two(self.sigs, "sig")
-        agree = F.size(F.array_intersect("siga", "sigb"))
-        pairs = self.scratch.keep(pairs.join(sa, "a").join(sb, "b").select("a", "b", (agree >= MATCHES).alias("close")), "pairs")
+        if not parities:
+            sa, sb = two(self.sigs, "sig")
+            agree = F.size(F.array_intersect("siga", "sigb"))
+            pairs = pairs.join(sa, "a").join(sb, "b").select("a", "b", (agree >= MATCHES).alias("close"))
+        pairs = self.scratch.keep(pairs, "pairs")
         xa, xb = two(self.sets, "shingles")
-        full = pairs.where("close").select("a", "b").join(xa, "a").join(xb, "b").select("a", "b", "shinglesa", "shinglesb")
+        close = pairs if parities else pairs.where("close").select("a", "b")
+        full = small(pairs, close).join(xa, "a").join(xb, "b").select("a", "b", "shinglesa", "shinglesb")
         found = self.scratch.keep(full.mapInArrow(_confirm, "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
         self.tested.append(pairs)
         self.absorb(found)
@@ -189,7 +193,7 @@ class _Linker:
         crowd = now.groupBy("token", _slot(centres)).agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         crowd = crowd.groupBy("token").agg(F.max("k").alias("k"), F.sum("k").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi and k > 1").select("token", "size")
         crowd = self.scratch.keep(crowd, "crowd")  # dealt anew by the join, so a hot list can be split over tasks
-        return self.scratch.keep(now.drop("size").join(crowd, "token"), "lists")
+        return self.scratch.keep(now.drop("size").join(small(crowd), "token"), "lists")
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -213,14 +217,15 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     unsized = F.lit(None).cast("long").alias("size")
     left = linker.step(linker.rooted(posts.select("*", unsized)), 1)
     if not left.isEmpty():
-        open_ = sets.join(left.select("rep").distinct(), "rep", "left_semi")
+        open_ = sets.join(small(left, left.select("rep")), "rep", "left_semi")
         rows = open_.mapInArrow(_shingle_rows, "rep long, n long, token long")
         posted = _prefix(rows, scratch, F.ceil(F.col("n") * PERCENT / 100).cast("int") - 1)
         posted = posted.select("rep", "n", "token", (F.col("single") + F.col("at")).alias("pos"))
         lists, centres = linker.step(linker.rooted(scratch.keep(posted, "posts").select("*", unsized)), 1), SPREAD
         if not lists.isEmpty():
-            crowded = sets.join(lists.select("rep").distinct(), "rep", "left_semi").select("rep", "shingles")
-            lists = lists.join(crowded.mapInArrow(_parity_rows, ", ".join(f"{c} long" for c in ["rep", *PARITIES])), "rep")
+            linker.sets = crowded = scratch.keep(sets.join(small(lists, lists.select("rep")), "rep", "left_semi").select("rep", "shingles"), "crowded")
+            parities = crowded.mapInArrow(_parity_rows, ", ".join(f"{c} long" for c in ["rep", *PARITIES]))
+            lists = scratch.keep(small(lists).join(parities, "rep"), "lists")
         while not lists.isEmpty():
             lists = linker.step(lists, centres)
             centres *= SPREAD
@@ -242,7 +247,7 @@ def _prefix(rows: DataFrame, scratch: Scratch, spare: Column) -> DataFrame:
     """Posts of each rep's rarest tokens, of all that it shares with others but the ``spare`` most common: rep, n, token, its place (at), and
     the number of tokens it has alone (single), which come before all others."""
     common = scratch.keep(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "common")  # written, so a hot token can be split
-    ranked = rows.join(common, "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
+    ranked = rows.join(small(common), "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     room = F.size("t") - spare
     short = F.transform(F.slice("t", F.lit(1), room), lambda x: x["token"])
     return ranked.where(room > 0).select("rep", "n", (F.col("n") - F.size("t")).alias("single"), F.posexplode(short).alias("at", "token"))

@@ -8,7 +8,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coffer.llm import divergence, ngram_join, spelling
+from coffer.llm import divergence, ngram_join, spelling, store
+from coffer.llm.components import components
 from coffer.llm.store import Scratch
 
 
@@ -186,3 +187,40 @@ def test_ngram_join_crowded_pairs_are_made_once(spark, monkeypatch):
         assert len(once) <= (1 if which == every else 2) * len(set(once))
     monkeypatch.setattr(ngram_join, "MOST_KEYS", 3)
     assert set(rows_of(ngram_join._pairs(lists, lists, every))) <= set(rows_of(ngram_join._pairs_once(lists, lists, every)))
+
+
+def shuffles(monkeypatch):
+    """The number of shuffles by which each table is made that is written from now on."""
+    made, keep = [], Scratch.keep
+
+    def counted(self, df, label="t", options=None):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        made.append((label, plan.count("Exchange hashpartitioning") - plan.count("ReusedExchange")))
+        return keep(self, df, label, options)
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    return made
+
+
+def test_components_of_small_tables_shuffle_once_a_table(spark, monkeypatch):
+    """Paths, stars, doubled edges and loops against plain Python. Joins with small tables take no shuffle."""
+    monkeypatch.setattr(store, "SMALL", 2 << 20)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        rng = np.random.default_rng(3)
+        edges = [(k, k + 1) for k in range(100, 140)] + [(200, k) for k in range(201, 240)] + [(7, 7)] + [tuple(map(int, rng.integers(300, 400, 2))) for _ in range(60)]
+        edges += edges[:20]
+        least = {x: x for e in edges if e[0] != e[1] for x in e}
+        for _ in edges:
+            for a, b in edges:
+                if a != b:
+                    least[a] = least[b] = min(least[a], least[b])
+        scratch = Scratch(spark, "t")
+        table = scratch.keep(spark.createDataFrame(edges, "a long, b long"), "links")
+        made = shuffles(monkeypatch)
+        assert sorted(rows_of(components(table, scratch))) == sorted(least.items())
+        assert len(made) > 2 and max(n for _, n in made) == 1
+        monkeypatch.setattr(store, "SMALL", 0)
+        assert sorted(rows_of(components(table, scratch))) == sorted(least.items())
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
