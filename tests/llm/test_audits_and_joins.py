@@ -224,3 +224,36 @@ def test_components_of_small_tables_shuffle_once_a_table(spark, monkeypatch):
         assert sorted(rows_of(components(table, scratch))) == sorted(least.items())
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_ngram_join_crowded_rounds_read_each_text_once(spark, monkeypatch):
+    """All rounds after the frequency index take their sets from one table and need few shuffles; results as by hand."""
+    rows = []
+    rng = np.random.default_rng(11)
+    for k in range(50):
+        t = [f"w{j}" for j in range(66)]
+        for _ in range(rng.integers(0, 5)):
+            t[rng.integers(0, 66)] = f"e{rng.integers(0, 40)}"
+        rows.append((k, " ".join(t)))
+    for name, value in (("SHORT", 2), ("SPREAD", 4), ("FREQUENT", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    made = shuffles(monkeypatch)
+    check_similar(spark, rows)
+    labels = [label for label, _ in made]
+    assert labels.count("pairs") > 1 and labels.count("sets") == 2 and labels.count("possible") == 1
+
+
+def test_ngram_join_hot_passage_makes_no_pairs(spark, monkeypatch):
+    """Members of long lists that differ too much are told apart by their bitmaps in the join, before a pair is written."""
+    rows = [(k, " ".join([f"h{j}" for j in range(40)] + [f"own{k}x{j}" for j in range(40)])) for k in range(40)]
+    counts, keep = [], Scratch.keep
+
+    def counted(self, df, label="t", options=None):
+        out = keep(self, df, label, options)
+        if label in ("lists", "pairs"):
+            counts.append((label, out.count()))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    check_similar(spark, rows)
+    assert counts[0][1] > 0 and counts[1] == ("pairs", 0)
