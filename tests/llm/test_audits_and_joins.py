@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from coffer.llm import divergence, ngram_join, spelling, store
+from coffer.llm import divergence, ngram_join, passages, spelling, store
 from coffer.llm.components import components
 from coffer.llm.store import Scratch
 
@@ -257,3 +257,23 @@ def test_ngram_join_hot_passage_makes_no_pairs(spark, monkeypatch):
     monkeypatch.setattr(Scratch, "keep", counted)
     check_similar(spark, rows)
     assert counts[0][1] > 0 and counts[1] == ("pairs", 0)
+
+
+def test_passages_are_verified_in_parts(spark, monkeypatch):
+    """Pairs of more bytes than a part are verified part by part, and each part's regions go before the next; the rows are the same."""
+    rows = [(k, " ".join([f"own{k}x{j}" for j in range(20)] + [f"p{k % 7}w{j}" for j in range(60)])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    tables, keep = [], Scratch.keep
+
+    def sized(self, df, label="t", options=None):
+        out = keep(self, df, label, options)
+        tables.append((label, out))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", sized)
+    whole = sorted(rows_of(passages.repeated_passages(df)))
+    assert len(whole) >= 53 and [label for label, _ in tables].count("regions") == 1
+    monkeypatch.setattr(passages, "PART", next(t._coffer_bytes for label, t in tables if label == "pairs") // 2)
+    tables.clear()
+    assert sorted(rows_of(passages.repeated_passages(df))) == whole
+    assert [label for label, _ in tables].count("regions") > 1
