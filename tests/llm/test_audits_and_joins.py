@@ -5,6 +5,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -277,3 +278,71 @@ def test_passages_are_verified_in_parts(spark, monkeypatch):
     tables.clear()
     assert sorted(rows_of(passages.repeated_passages(df))) == whole
     assert [label for label, _ in tables].count("regions") > 1
+
+
+def test_passages_texts_are_read_for_few_parts_only(spark, monkeypatch):
+    """However many bytes the pairs have, texts are read for a few parts; each has its regions once, and its pairs are verified in turns."""
+    rows = [(k, " ".join([f"own{k}x{j}" for j in range(20)] + [f"p{k % 7}w{j}" for j in range(60)])) for k in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    whole = sorted(rows_of(passages.repeated_passages(df)))
+    labels, keep = [], Scratch.keep
+    monkeypatch.setattr(Scratch, "keep", lambda self, d, label="t", options=None: labels.append(label) or keep(self, d, label, options))
+    monkeypatch.setattr(passages, "PART", 100)
+    monkeypatch.setattr(passages, "CARRIED", 1)
+    assert sorted(rows_of(passages.repeated_passages(df))) == whole
+    assert labels.count("regions") == 4 * labels.count("pairs") <= labels.count("checked")
+
+
+def _plain_passages(a, b, shift):
+    """(start, end, other start, other end, similarity) of runs of a that b repeats, and of exact runs on the diagonal that none of them holds."""
+    first = {x: b.index(x) for x in set(b)}
+    hits = [p for p, x in enumerate(a) if x in first]
+    cuts = [0] + [i + 1 for i in range(len(hits) - 1) if hits[i + 1] - hits[i] > passages.GAP] + [len(hits)]
+    todo, out, least = [hits[x:y] for x, y in zip(cuts, cuts[1:], strict=False) if y > x], [], passages.LEAST_WORDS - passages.SHINGLE + 1
+    while todo:
+        run = todo.pop()
+        s, e, at = run[0], run[-1] + 1, [first[a[p]] for p in run]
+        if e - s < least:
+            continue
+        p, q = set(a[s:e]), set(b[min(at) : max(at) + 1])
+        similarity = len(p & q) / len(p | q)
+        if similarity >= passages.SIMILARITY and max(at) + 1 - min(at) >= least:
+            out.append((s, e, min(at), max(at) + 1, similarity))
+        elif e - s > len(run):
+            widest = max(range(len(run) - 1), key=lambda i: (run[i + 1] - run[i], -i))
+            todo += [run[: widest + 1], run[widest + 1 :]]
+    p = max(0, shift)
+    while p < min(len(a), len(b) + shift):
+        e = p
+        while e < min(len(a), len(b) + shift) and a[e] == b[e - shift]:
+            e += 1
+        if e - p >= least and not any(y[0] <= p and e <= y[1] for y in out):
+            out.append((p, e, p - shift, e - shift, 1.0))
+        p = max(e, p + 1)
+    return out
+
+
+@pytest.mark.parametrize("at_once", [50, 3000, 1 << 20])
+def test_passages_verification_equals_plain_python(monkeypatch, at_once):
+    """Random edits, repeats, empty regions, slices of batches and places outside a region."""
+    monkeypatch.setattr(passages, "_AT_ONCE", at_once)
+    rng, rows, want = np.random.default_rng(9), [], []
+    for i in range(400):
+        size = int(rng.choice([4, 60, 1 << 40]))
+        a = rng.integers(0, size, int(rng.integers(0, 300))).tolist()
+        b = list(a)
+        for _ in range(int(rng.integers(0, 9))):
+            at, n = int(rng.integers(0, len(b) + 1)), int(rng.integers(1, 7))
+            b[at : at + n * int(rng.integers(0, 2))] = rng.integers(0, size, n * int(rng.integers(0, 2))).tolist()
+        b = [] if i % 40 == 0 else b
+        la, lb, off = (int(x) for x in rng.integers([0, 0, -2], [50, 50, 3]))
+        members = [{"c": la + int(rng.integers(0, len(a) + 3)), "key": int(k)} for k in range(rng.integers(0, 5))]
+        rows.append({"a": 1000 + i, "b": i, "la": la, "lb": lb, "diagonal": la - lb + off, "hashes": 1, "members": members, "da": passages._packed(np.array(a, np.uint64)), "db": passages._packed(np.array(b, np.uint64))})
+        found = _plain_passages(a, b, off)
+        want += [(1000 + i, la + s, la + e + 4, i, lb + s2, lb + e2 + 4, x, 1, None) for s, e, s2, e2, x in found]
+        want += [(1000 + i, m["c"], None, i, m["c"] - la + lb - off, None, None, None, m["key"]) for m in members if not any(x[0] <= m["c"] - la < x[1] for x in found)]
+    kinds = [("a", pa.int64()), ("b", pa.int64()), ("la", pa.int32()), ("lb", pa.int32()), ("diagonal", pa.int32()), ("hashes", pa.int32())]
+    kinds += [("members", pa.list_(pa.struct([("c", pa.int32()), ("key", pa.int64())]))), ("da", pa.binary()), ("db", pa.binary())]
+    batch = pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
+    got = [tuple(r.values()) for x in passages._verify(iter([batch.slice(0, 150), batch.slice(150, 0), batch.slice(150)])) for r in x.to_pylist()]
+    assert sum(x[8] is None for x in want) > 50 and sorted(got, key=str) == sorted(want, key=str)
