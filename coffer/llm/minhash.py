@@ -36,7 +36,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from coffer.llm.components import components
-from coffer.llm.store import Scratch, small
+from coffer.llm.store import Scratch, only, small
 from coffer.llm.textkernel import SPACED, U64, Words, chunks, distinct_per_row, mix, shingles, stream
 
 COORDINATES = 64
@@ -152,6 +152,8 @@ class _Linker:
                 links = links.join(small(old, old.select(F.col("node").alias(k), F.col("root").alias(f"r{k}"))), k, "left").withColumn(k, F.coalesce(f"r{k}", k)).drop(f"r{k}")
             links = self.scratch.keep(links, "between")
         new = self.scratch.keep(components(links, self.scratch), "contracted")
+        if self.roots is not None:
+            self.scratch.drop(links)
         if self.roots is None:
             self.roots = new
         elif not new.isEmpty():
@@ -184,16 +186,19 @@ class _Linker:
         pairs = self.scratch.keep(pairs, "pairs")
         xa, xb = two(self.sets, "shingles")
         close = pairs if parities else pairs.where("close").select("a", "b")
-        full = small(pairs, close).join(xa, "a").join(xb, "b").select("a", "b", "shinglesa", "shinglesb")
+        full = small(pairs, close).join(only(xa, "a", pairs, "a"), "a").join(only(xb, "b", pairs, "b"), "b").select("a", "b", "shinglesa", "shinglesb")
         found = self.scratch.keep(full.mapInArrow(_confirm, "a long, b long, linked boolean").where("linked").select("a", "b"), "links")
         self.tested.append(pairs)
         self.absorb(found)
+        self.scratch.drop(found)
         now = self.rooted(lists.drop("root"))
         # A list is done when it lies in one component, or when each of its members was a centre.
         crowd = now.groupBy("token", _slot(centres)).agg(F.count("*").alias("k"), F.min("root").alias("lo"), F.max("root").alias("hi"))
         crowd = crowd.groupBy("token").agg(F.max("k").alias("k"), F.sum("k").alias("size"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo < hi and k > 1").select("token", "size")
         crowd = self.scratch.keep(crowd, "crowd")  # dealt anew by the join, so a hot list can be split over tasks
-        return self.scratch.keep(now.drop("size").join(small(crowd), "token"), "lists")
+        out = self.scratch.keep(now.drop("size").join(small(crowd), "token"), "lists")
+        self.scratch.drop(crowd)
+        return out
 
 
 def near_duplicates(documents: DataFrame) -> DataFrame:
@@ -207,28 +212,38 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     classes = real.groupBy(*key).agg(F.min("doc_id").alias("doc"), F.first("sig").alias("sig")).withColumn("rep", F.monotonically_increasing_id())
     classes = scratch.keep(classes, "classes")
     repeated = _repeated(features)
+    slim = scratch.keep(features.select("doc_id", *key), "keys")  # the signatures go on with the classes alone
+    scratch.drop(features)
+    features, real = slim, slim.where("doc_id is not null and n > 0")
 
-    posts = scratch.keep(_prefix(classes.select("rep", "n", F.explode("sig").alias("token")), scratch, F.lit(MATCHES - 1)).withColumn("pos", F.lit(0)).drop("single", "at"), "posts")
-    scarce = classes.join(posts.select("rep").distinct(), "rep", "left_semi").select("doc", "rep", "h1", "h2")
-    sets = docs.join(scarce, F.col("doc_id") == F.col("doc")).select("rep", "text", "h1", "h2").mapInArrow(_set_rows, "rep long, shingles binary")
+    posts = _prefix(classes.select("rep", "n", F.explode("sig").alias("token")), scratch, F.lit(MATCHES - 1), F.lit(0))
+    scarce = scratch.keep(classes.join(posts.select("rep").distinct(), "rep", "left_semi").select("doc", "rep", "h1", "h2"), "scarce")
+    sets = only(docs, "doc_id", scarce, "doc").join(small(scarce), F.col("doc_id") == F.col("doc")).select("rep", "text", "h1", "h2").mapInArrow(_set_rows, "rep long, shingles binary")
     sets = scratch.keep(sets.groupBy("rep").agg(F.max("shingles").alias("shingles")) if repeated else sets, "sets")
+    scratch.drop(scarce)
 
     linker = _Linker(scratch, classes, sets)
     unsized = F.lit(None).cast("long").alias("size")
     left = linker.step(linker.rooted(posts.select("*", unsized)), 1)
+    scratch.drop(posts)
     if not left.isEmpty():
         open_ = sets.join(small(left, left.select("rep")), "rep", "left_semi")
         rows = open_.mapInArrow(_shingle_rows, "rep long, n long, token long")
-        posted = _prefix(rows, scratch, F.ceil(F.col("n") * PERCENT / 100).cast("int") - 1)
-        posted = posted.select("rep", "n", "token", (F.col("single") + F.col("at")).alias("pos"))
-        lists, centres = linker.step(linker.rooted(scratch.keep(posted, "posts").select("*", unsized)), 1), SPREAD
+        posted = _prefix(rows, scratch, F.ceil(F.col("n") * PERCENT / 100).cast("int") - 1, F.col("single") + F.col("at"))
+        scratch.drop(left)
+        lists, centres = linker.step(linker.rooted(posted.select("*", unsized)), 1), SPREAD
+        scratch.drop(posted)
         if not lists.isEmpty():
             linker.sets = crowded = scratch.keep(sets.join(small(lists, lists.select("rep")), "rep", "left_semi").select("rep", "shingles"), "crowded")
+            scratch.drop(sets)
             parities = crowded.mapInArrow(_parity_rows, ", ".join(f"{c} long" for c in ["rep", *PARITIES]))
-            lists = scratch.keep(small(lists).join(parities, "rep"), "lists")
+            held = scratch.keep(small(lists).join(parities, "rep"), "lists")
+            scratch.drop(lists)
+            lists = held
         while not lists.isEmpty():
-            lists = linker.step(lists, centres)
-            centres *= SPREAD
+            following = linker.step(lists, centres)
+            scratch.drop(lists)
+            lists, centres = following, centres * SPREAD
     if repeated:
         rows = real.select(F.col("doc_id"), *key).join(classes.select(*key, "rep"), key)
         rows = scratch.keep(rows.select("doc_id", "rep").distinct(), "rows")
@@ -243,14 +258,17 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     return out.select("doc_id", F.col("n").alias("n_shingles"), root.alias("component_id"), F.coalesce(F.col("doc_id") == root, F.lit(True)).alias("kept"))
 
 
-def _prefix(rows: DataFrame, scratch: Scratch, spare: Column) -> DataFrame:
-    """Posts of each rep's rarest tokens, of all that it shares with others but the ``spare`` most common: rep, n, token, its place (at), and
-    the number of tokens it has alone (single), which come before all others."""
+def _prefix(rows: DataFrame, scratch: Scratch, spare: Column, pos: Column) -> DataFrame:
+    """Posts (rep, n, token, pos) of each rep's rarest tokens, of all that it shares with others but the ``spare`` most common. ``pos`` may use a token's place
+    among them (at) and the number of tokens that the rep has alone (single), which come before all others."""
     common = scratch.keep(rows.groupBy("token").agg(F.count("*").alias("df")).where("df > 1"), "common")  # written, so a hot token can be split
     ranked = rows.join(small(common), "token").groupBy("rep", "n").agg(F.sort_array(F.collect_list(F.struct("df", "token"))).alias("t"))
     room = F.size("t") - spare
     short = F.transform(F.slice("t", F.lit(1), room), lambda x: x["token"])
-    return ranked.where(room > 0).select("rep", "n", (F.col("n") - F.size("t")).alias("single"), F.posexplode(short).alias("at", "token"))
+    posts = ranked.where(room > 0).select("rep", "n", (F.col("n") - F.size("t")).alias("single"), F.posexplode(short).alias("at", "token"))
+    posts = scratch.keep(posts.select("rep", "n", "token", pos.alias("pos")), "posts")
+    scratch.drop(common)
+    return posts
 
 
 def _repeated(features: DataFrame) -> bool:

@@ -9,7 +9,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from coffer.llm import divergence, ngram_join, passages, spelling, store
+from coffer.llm import divergence, minhash, ngram_join, passages, spelling, store
 from coffer.llm.components import components
 from coffer.llm.store import Scratch
 
@@ -346,3 +346,38 @@ def test_passages_verification_equals_plain_python(monkeypatch, at_once):
     batch = pa.RecordBatch.from_pylist(rows, pa.schema(kinds))
     got = [tuple(r.values()) for x in passages._verify(iter([batch.slice(0, 150), batch.slice(150, 0), batch.slice(150)])) for r in x.to_pylist()]
     assert sum(x[8] is None for x in want) > 50 and sorted(got, key=str) == sorted(want, key=str)
+
+
+def _left_over(monkeypatch, run):
+    """The result's rows, and the labels of the tables that are still there."""
+    there, keep, drop = {}, Scratch.keep, Scratch.drop
+
+    def kept(self, df, label="t", options=None):
+        out = keep(self, df, label, options)
+        there[out._coffer_path] = label
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    monkeypatch.setattr(Scratch, "drop", lambda self, df: (there.pop(df._coffer_path), drop(self, df)))
+    rows = sorted(rows_of(run()))
+    return rows, list(there.values())
+
+
+def _cloud():
+    rng, rows = np.random.default_rng(11), []
+    for k in range(50):
+        t = [f"w{j}" for j in range(66)]
+        for _ in range(rng.integers(0, 5)):
+            t[rng.integers(0, 66)] = f"e{rng.integers(0, 40)}"
+        rows.append((k, " ".join(t)))
+    return rows
+
+
+def test_near_duplicates_keep_no_used_tables(spark, monkeypatch):
+    """Signatures, posts, lists and sets go once they are used; the rows are the same if keys are too many to be broadcast."""
+    monkeypatch.setattr(minhash, "SPREAD", 4)
+    df = spark.createDataFrame(_cloud(), "doc_id long, text string")
+    rows, left = _left_over(monkeypatch, lambda: minhash.near_duplicates(df))
+    assert len(rows) == 50 and not {"features", "common", "posts", "scarce", "links", "crowd", "between"} & {*left}
+    monkeypatch.setattr(store, "KEYS", 0)
+    assert sorted(rows_of(minhash.near_duplicates(df))) == rows
