@@ -381,3 +381,14 @@ def test_near_duplicates_keep_no_used_tables(spark, monkeypatch):
     assert len(rows) == 50 and not {"features", "common", "posts", "scarce", "links", "crowd", "between"} & {*left}
     monkeypatch.setattr(store, "KEYS", 0)
     assert sorted(rows_of(minhash.near_duplicates(df))) == rows
+
+
+def test_ngram_join_keeps_no_used_tables(spark, monkeypatch):
+    """As above for the n-gram join."""
+    for name, value in (("SHORT", 2), ("SPREAD", 4), ("FREQUENT", 3)):
+        monkeypatch.setattr(ngram_join, name, value)
+    df = spark.createDataFrame(_cloud(), "doc_id long, text string")
+    rows, left = _left_over(monkeypatch, lambda: ngram_join.similar_documents(df))
+    assert len(rows) == 50 and not {"features", "classes", "common", "prefixes", "combinations", "sizes", "folded", "possible", "wanted", "tokens", "shared", "posts", "spans", "open", "links"} & {*left}
+    monkeypatch.setattr(store, "KEYS", 0)
+    assert sorted(rows_of(ngram_join.similar_documents(df))) == rows
